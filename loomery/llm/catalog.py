@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import cutoff, packing, pieces, tokenize
+from . import copies, cutoff, packing, pieces, tokenize
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select("document_id", F.when(forced, "forced").otherwise("natural").alias("cut"))
 
 
+def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return copies.collapse_copies(table(spark, d, "text_records"), table(spark, d, "cleaning_policies"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d)[1]
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d)[0]
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
@@ -49,7 +61,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p8_packed)}
 
 
 def oracle_sql():
