@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, cutoff, packing, pieces, tokenize
+from . import copies, cutoff, defects, packing, pieces, tokenize
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,10 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d)[0]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.flag_pairs(table(spark, d, "pair_records"), table(spark, d, "quality_decisions"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
@@ -61,7 +65,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed)}
 
 
 def oracle_sql():
