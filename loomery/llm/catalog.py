@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, cutoff, defects, packing, pieces, tokenize
+from . import copies, cutoff, defects, packing, pieces, prose, tokenize
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    return prose.classify_texts(table(spark, d, "text_records"), table(spark, d, "common_words"), table(spark, d, "cleaning_policies"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d).filter("kind <> 'prose'").select("record_id", "kind")
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _kinds(spark, d)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +77,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed)}
 
 
 def oracle_sql():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks that stray around keys.
-BLANKS = " \t\r\n 　​﻿"
+BLANKS = " \t\r\n\u00a0\u3000\u200b\ufeff"
 
 
 def plain_key(c: Column | str) -> Column:
