@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, cutoff, defects, packing, pieces, prose, tokenize
+from . import copies, cutoff, defects, packing, pieces, prose, reading, tokenize
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +61,10 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "grade")
+
+
 SQL = {
     "p3_found": """
         WITH r AS (SELECT lower(trim(source)) AS source, score FROM text_records WHERE source IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
@@ -77,7 +81,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed, p9_found)}
 
 
 def oracle_sql():
