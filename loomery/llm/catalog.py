@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, cutoff, defects, packing, pieces, prose, reading, tokenize
+from . import copies, cutoff, defects, overlap, packing, pieces, prose, reading, tokenize
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +21,14 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _kinds(spark, d)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(table(spark, d, "pair_records"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, d, "pair_records"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     got = cutoff.keep_cutoffs(table(spark, d, "text_records"), table(spark, d, "keep_targets"))
     return got.select("source", F.round(F.col("cutoff") * 1000).cast("bigint").alias("cutoff_milli"), "kept_rows")
@@ -81,7 +89,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_kinds, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_report, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed, p9_found)}
 
 
 def oracle_sql():
