@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .common import plain_key
 
 #: Rows of one digest are spread over so many tasks before they meet.
 SALTS = 64
+#: Bits of the map that says which digests may occur twice: 2 ** 17 words, however many records there are.
+MAP_BITS = 1 << 23
 _NAMED = re.compile(r"\s*([^：:=;；{}\"]{1,24}?)\s*[：:=]\s*(.+?)\s*\Z", re.S)
 _OTHER = re.compile(r"[\W_]+")
 
@@ -98,12 +101,17 @@ def collapse_copies(
     root digest; then each member's whole canonical form is compared with its group's first. Members that
     differ although their digests are equal form groups by their canonical forms.
     """
-    forms = _forms(records, policies, id_col, text_col, source_col)
+    forms = materialize(_forms(records, policies, id_col, text_col, source_col), "forms")
     # pre-aggregated digests, then one row for each digest held by more than one record
     part = forms.groupBy("_key", "_salt").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     many = part.groupBy("_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")).filter("_n > 1")
     spread = part.select("_key", "_salt").join(many.select("_key", "_first"), "_key")
-    members = forms.join(spread, ["_key", "_salt"])
+    # a map of bounded size keeps most forms that have no copy out of the shuffle; what it lets through is joined exactly
+    place = F.pmod(F.xxhash64("_key"), F.lit(MAP_BITS))
+    word, bit = F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_key), {MAP_BITS}) & 63 as int))")
+    bits = many.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    maybe = forms.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    members = maybe.join(spread, ["_key", "_salt"])
     # the first member's form goes to all tasks that hold members
     first = members.filter("_id = _first").groupBy("_key").agg(F.min("_form").alias("_of_first"))
     checked = members.join(spread.select("_key", "_salt").join(first, "_key"), ["_key", "_salt"])
