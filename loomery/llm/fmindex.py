@@ -9,6 +9,9 @@ DEPTH = 16
 LEVELS = 8
 
 
+KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "place": np.int32, "starts": np.int64}
+
+
 def symbols(cp: np.ndarray) -> np.ndarray:
     """Code points as symbols 1 to 255. Different letters may share one, so matches are a superset."""
     with np.errstate(over="ignore"):
@@ -18,19 +21,23 @@ def symbols(cp: np.ndarray) -> np.ndarray:
 class Index:
     """Search of a concatenation of fields, each closed by the symbol 0."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, zeros: np.ndarray, shift: np.ndarray, field: np.ndarray, offset: np.ndarray):
-        self.words, self.ranks, self.zeros, self.shift, self.field, self.offset = words, ranks, zeros, shift, field, offset
-        self.n = len(field)
+    def __init__(self, words: np.ndarray, ranks: np.ndarray, zeros: np.ndarray, shift: np.ndarray, place: np.ndarray, starts: np.ndarray):
+        self.words, self.ranks, self.zeros, self.shift, self.place = words, ranks, zeros, shift, place
+        self.starts = starts
+        self.n = len(place)
+        # the field of each row, from the place of its suffix in the text
+        self.field = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, self.n)))[place]
 
     @classmethod
     def build(cls, text: np.ndarray, starts: np.ndarray) -> Index:
         """text: symbols with a 0 after each field; starts: where the fields begin."""
         n = len(text)
-        padded = np.concatenate([text, np.zeros(DEPTH, np.uint8)]).astype(np.uint64)
+        padded = np.concatenate([text, np.zeros(DEPTH, np.uint8)])
         key = np.zeros(n + 8, np.uint64)
         for j in range(8):
-            key = (key << np.uint64(8)) | padded[j : j + n + 8]
-        order = np.lexsort((key[8 : n + 8], key[:n])).astype(np.int64)
+            np.left_shift(key, np.uint64(8), out=key)
+            np.bitwise_or(key, padded[j : j + n + 8], out=key)
+        order = np.lexsort((key[8 : n + 8], key[:n])).astype(np.int32)
         del key, padded
         bwt = text[order - 1]
         words, ranks, zeros = [], [], []
@@ -46,11 +53,10 @@ class Index:
         count = np.bincount(bwt, minlength=256)
         first = np.concatenate([[0], np.cumsum(count)[:-1]])
         # where each symbol's run begins once all levels are sorted: by bits in reversed order
-        place = np.zeros(256, np.int64)
+        begin = np.zeros(256, np.int64)
         some, at = np.unique(level, return_index=True)
-        place[some] = at
-        field = np.searchsorted(starts, order, "right") - 1
-        return cls(np.array(words), np.array(ranks), np.array(zeros, np.int64), (first - place).astype(np.int64), field.astype(np.int32), (order - starts[field]).astype(np.int32))
+        begin[some] = at
+        return cls(np.array(words), np.array(ranks), np.array(zeros, np.int64), (first - begin).astype(np.int64), order, starts.astype(np.int64))
 
     def extend(self, sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of each pattern with one symbol more in front."""
@@ -77,12 +83,15 @@ class Index:
             live = live[(at[live] > stop[live]) & (hi[live] - lo[live] > 1)]
         return lo, np.maximum(hi, lo), at
 
+    def offset(self, rows: np.ndarray) -> np.ndarray:
+        """How far into its field each row's suffix begins."""
+        return self.place[rows] - self.starts[self.field[rows]]
+
     def pack(self) -> dict[str, bytes]:
-        return {k: getattr(self, k).tobytes() for k in ("words", "ranks", "zeros", "shift", "field", "offset")}
+        return {k: np.ascontiguousarray(getattr(self, k)).tobytes() for k in KINDS}
 
     @classmethod
     def unpack(cls, d: dict[str, bytes]) -> Index:
-        kinds = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "field": np.int32, "offset": np.int32}
-        own = {k: np.frombuffer(d[k], t) for k, t in kinds.items()}
+        own = {k: np.frombuffer(d[k], t) for k, t in KINDS.items()}
         own["words"], own["ranks"] = own["words"].reshape(LEVELS, -1), own["ranks"].reshape(LEVELS, -1)
         return cls(**own)

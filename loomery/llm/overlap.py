@@ -21,7 +21,7 @@ SHARD_SYMBOLS = 8_000_000
 #: One character in so many of the longer text may differ.
 ONE_IN = 10
 #: Training texts searched together, and hits looked at together.
-SEARCH_ROWS, HITS = 2000, 4_000_000
+SEARCH_ROWS, HITS = 1000, 500_000
 _BINS = 64
 
 
@@ -74,7 +74,7 @@ def _histograms(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How often each text has the letters of each of _BINS bins."""
     n = len(at) - 1
     text = np.repeat(np.arange(n), np.diff(at))
-    return np.bincount(text * _BINS + cp % _BINS, minlength=n * _BINS).reshape(n, _BINS).astype(np.int32)
+    return np.bincount(text * _BINS + cp % _BINS, minlength=n * _BINS).reshape(n, _BINS).clip(0, 32_000).astype(np.int16)
 
 
 def _build(g: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +89,7 @@ def _build(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-_INDEX = "shard int, words binary, ranks binary, zeros binary, shift binary, field binary, offset binary, keys binary, texts binary, lengths binary"
+_INDEX = "shard int, words binary, ranks binary, zeros binary, shift binary, place binary, starts binary, keys binary, texts binary, lengths binary"
 
 
 class Shard:
@@ -97,24 +97,28 @@ class Shard:
         self.index = Index.unpack(row)
         self.keys = [row["keys"][i : i + 16] for i in range(0, len(row["keys"]), 16)]
         self.length = np.frombuffer(row["lengths"], np.int32).reshape(-1, 2).astype(np.int64)
-        text = row["texts"].decode()
-        at = np.concatenate([[0], np.cumsum(self.length.ravel())])
-        self.cp, self.at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), at
-        self.hist = _histograms(self.cp, at).reshape(-1, 2, _BINS)
-        self.text = text
+        self.text = row["texts"].decode()
+        self.at = np.concatenate([[0], np.cumsum(self.length.ravel())])
+        self.hist = np.concatenate([self._counts(a, a + 2000) for a in range(0, 2 * len(self.keys), 2000)]).reshape(-1, 2, _BINS)
+
+    def _counts(self, a: int, b: int) -> np.ndarray:
+        at = self.at[a : b + 1]
+        return _histograms(np.frombuffer(self.text[at[0] : at[-1]].encode("utf-32-le", "surrogatepass"), np.uint32), at - at[0])
 
     def field(self, i: int, f: int) -> str:
         return self.text[self.at[2 * i + f] : self.at[2 * i + f + 1]]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def load_shard(path: str, shard: int) -> Shard:
     """A shard of the index from the folder all executors share, kept by the worker."""
     import pyarrow.dataset as ds
     import pyarrow.fs
 
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
-    return Shard(ds.dataset(root, format="parquet", filesystem=fs).to_table(filter=ds.field("shard") == shard).to_pylist()[0])
+    found = Shard(ds.dataset(root, format="parquet", filesystem=fs).to_table(filter=ds.field("shard") == shard).to_pylist()[0])
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def _pieces(lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +159,7 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
             d = sh.index.field[rows]
             doc, x = d >> 1, text[which]
             here = np.maximum(length[x, f], sh.length[doc, f]) // ONE_IN
-            ok = ((d & 1) == f) & (np.abs(sh.index.offset[rows] - off[which]) <= here)
+            ok = ((d & 1) == f) & (np.abs(sh.index.offset(rows) - off[which]) <= here)
             doc, x = doc[ok], x[ok]
             for g in (0, 1):
                 ok = np.abs(length[x, g] - sh.length[doc, g]) * ONE_IN <= np.maximum(length[x, g], sh.length[doc, g])
@@ -167,10 +171,10 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
     x, doc = pair // len(sh.keys), pair % len(sh.keys)
     hist = np.stack([_histograms(cp, at) for cp, at in fields], 1)
     keep = []
-    for a in range(0, len(x), 100_000):
-        i, j = x[a : a + 100_000], doc[a : a + 100_000]
+    for a in range(0, len(x), 50_000):
+        i, j = x[a : a + 50_000], doc[a : a + 50_000]
         most = np.maximum(length[i], sh.length[j]) // ONE_IN
-        keep.append((np.abs(hist[i] - sh.hist[j]).sum(2) <= 2 * most).all(1))
+        keep.append((np.abs(hist[i] - sh.hist[j]).sum(2, dtype=np.int64) <= 2 * most).all(1))
     ok = np.concatenate(keep) if keep else np.zeros(0, bool)
     out = []
     for i, j in zip(x[ok].tolist(), doc[ok].tolist()):
