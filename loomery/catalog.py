@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import cleaning
+
+MODULES = (cleaning,)
+
 
 def queries():
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
