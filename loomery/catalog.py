@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import cleaning
+from .plans import cleaning, curation
 
-MODULES = (cleaning,)
+MODULES = (cleaning, curation)
 
 
 def queries():

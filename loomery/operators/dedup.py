@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +62,31 @@ def lexicographic_keep(edges: DataFrame) -> DataFrame:
     return gone
 
 
+def block_masks(threshold: int) -> list[int]:
+    """All choices of three of threshold + 3 blocks of 64 bits, as signed masks."""
+    n = threshold + 3
+    edge = [64 * i // n for i in range(n + 1)]
+    block = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(n)]
+    found = [sum(c) for c in itertools.combinations(block, 3)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
 def simhash_near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: int = 3) -> DataFrame:
     """(id, class_id, duplicate): duplicate rows share 8 bits with, and differ in at most ``threshold`` bits from,
     an earlier kept row. Rows of one hash are one class, named by their smallest id, and compared once.
 
-    Every pair within 7 bits shares one of eight bytes. A text without letters hashes to all ones.
+    Of threshold + 3 blocks of bits, three stand equal in every pair that counts: rows meet on three blocks at
+    a time, about 32 bits for the usual threshold of 3, so chance meetings stay few among billions of rows.
+    A text without letters hashes to all ones.
     """
     rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), udfs.simhash64(tx.dedupe_form(text_col)).alias("h"))
     rows = materialize(rows, "simhash")
     classes = materialize(rows.groupBy("h").agg(F.min("id").alias("class_id")), "hashes")
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", 8 * i).bitwiseAND(F.lit(255)).alias("v")) for i in range(8)))
-    cut = classes.withColumn("_b", F.explode(bands)).select("class_id", "h", "_b.band", "_b.v")
-    other = cut.select(F.col("class_id").alias("b"), F.col("h").alias("h2"), "band", "v")
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(threshold)))))
+    cut = classes.withColumn("_b", keys).select("class_id", "h", "_b.mask", "_b.v")
+    other = cut.select(F.col("class_id").alias("b"), F.col("h").alias("h2"), "mask", "v")
     near = (F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= threshold) & (F.col("class_id") < F.col("b"))
-    edges = cut.join(other, ["band", "v"]).filter(near).select(F.col("class_id").alias("a"), "b").distinct()
+    edges = cut.join(other, ["mask", "v"]).filter(near).select(F.col("class_id").alias("a"), "b").distinct()
     gone = lexicographic_keep(edges).withColumnRenamed("id", "class_id").withColumn("_gone", F.lit(True))
     out = rows.join(classes, "h").join(gone, "class_id", "left")
     return out.select(F.col("id").alias(id_col), "class_id", (F.coalesce("_gone", F.lit(False)) | (F.col("id") != F.col("class_id"))).alias("duplicate"))
