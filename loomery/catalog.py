@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, curation
+from .plans import cleaning, curation, pairs, tokens
 
-MODULES = (cleaning, curation)
+MODULES = (cleaning, curation, pairs, tokens)
 
 
 def queries():
