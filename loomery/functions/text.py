@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters and patterns the results depend on.
-ZERO_WIDTH = "".join(map(chr, (0xFEFF, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060)))
-CONTROL = r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}&&[^\n\t]]"
+ZERO_WIDTH = r"[\x{feff}\x{200b}-\x{200f}\x{2060}]"
+CONTROL_OR_BLANK = r"[ \t\x{a0}\x{3000}\x00-\x08\x0b-\x1f\x7f-\x{9f}\p{Cf}\p{Co}\p{Cs}]+"
 HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 URL = r"(?i)https?://\S+|www\.\S+"
 HTML_TAG = r"<[^>\n]{1,120}>"
@@ -16,6 +16,8 @@ NUMBER_SPAN = r"\p{Nd}+(?:[.:：/\-—]\p{Nd}+)*%?"
 SENTENCE_ENDINGS = "。！？.!?；;）)]】》\"'”’"
 CLOSING = "。！？.!?"
 BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
+#: The same characters one by one, for trimming.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def col(c: Column | str) -> Column:
@@ -29,7 +31,7 @@ def let(value: Column, f) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Unicode blanks off both ends."""
-    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -37,10 +39,9 @@ def clean_text(c: Column | str) -> Column:
 
     Null stays null. Compatibility forms aren't folded here: ``udfs.nfkc`` does that where a policy asks.
     """
-    t = F.translate(col(c), ZERO_WIDTH, "")
+    t = F.regexp_replace(col(c), ZERO_WIDTH, "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
-    t = F.regexp_replace(t, CONTROL, " ")
-    t = F.regexp_replace(t, r"[ \t\x{a0}\x{3000}]+", " ")
+    t = F.regexp_replace(t, CONTROL_OR_BLANK, " ")
     return strip(F.regexp_replace(t, r"[\s\p{Z}]*\n[\s\p{Z}]*", "\n"))
 
 
@@ -99,9 +100,9 @@ def visible_chars(c: Column | str) -> Column:
     return F.length(compact(c))
 
 
-def cjk_ratio(c: Column | str) -> Column:
+def cjk_ratio(c: Column | str, visible: Column | None = None) -> Column:
     """Han among the visible characters; 0 for blank texts."""
-    return ratio(F.regexp_count(col(c), F.lit(HAN)), visible_chars(c))
+    return ratio(matched_chars(c, HAN), visible_chars(c) if visible is None else visible)
 
 
 def url_ratio(c: Column | str) -> Column:
@@ -112,12 +113,12 @@ def html_ratio(c: Column | str) -> Column:
     return ratio(matched_chars(c, HTML_TAG), F.greatest(F.length(col(c)), F.lit(1)))
 
 
-def punctuation_ratio(c: Column | str) -> Column:
-    return ratio(F.regexp_count(col(c), F.lit(r"\p{P}")), visible_chars(c))
+def punctuation_ratio(c: Column | str, visible: Column | None = None) -> Column:
+    return ratio(matched_chars(c, r"\p{P}"), visible_chars(c) if visible is None else visible)
 
 
-def digit_ratio(c: Column | str) -> Column:
-    return ratio(F.regexp_count(col(c), F.lit(r"\p{Nd}")), visible_chars(c))
+def digit_ratio(c: Column | str, visible: Column | None = None) -> Column:
+    return ratio(matched_chars(c, r"\p{Nd}"), visible_chars(c) if visible is None else visible)
 
 
 def lines(c: Column | str) -> Column:
@@ -127,8 +128,7 @@ def lines(c: Column | str) -> Column:
 
 def repeated_line_ratio(c: Column | str) -> Column:
     """Lines that repeat an earlier one among all lines; 0 under four lines."""
-    own = lines(c)
-    return F.when(F.size(own) >= 4, ratio(F.size(own) - F.size(F.array_distinct(own)), F.size(own))).otherwise(F.lit(0.0))
+    return let(lines(c), lambda own: F.when(F.size(own) >= 4, ratio(F.size(own) - F.size(F.array_distinct(own)), F.size(own))).otherwise(F.lit(0.0)))
 
 
 def char_ngrams(c: Column | str, n: int, whole_if_short: bool = False) -> Column:

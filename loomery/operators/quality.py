@@ -40,18 +40,19 @@ def _over(value: Column, bound: Column) -> Column:
     return (bound >= 0) & (value > bound)
 
 
-def text_reason(t: Column | str, p: dict[str, Column]) -> Column:
-    """The first reason to reject a cleaned text; null for one that is kept."""
+def text_reason(t: Column | str, p: dict[str, Column], visible: Column | None = None) -> Column:
+    """The first reason to reject a cleaned text; null for one that is kept. ``visible``: its characters that aren't blank, if a column has them."""
     t = tx.col(t)
+    v = tx.visible_chars(t) if visible is None else visible
     return (
         F.when(F.length(t) < p["min_chars"], "too_short")
         .when(F.length(t) > p["max_chars"], "too_long_after_split")
-        .when(tx.cjk_ratio(t) < p["min_cjk_ratio"], "low_cjk_ratio")
-        .when(tx.visible_chars(t) == 0, "empty_text_after_clean")
+        .when(tx.cjk_ratio(t, v) < p["min_cjk_ratio"], "low_cjk_ratio")
+        .when(v == 0, "empty_text_after_clean")
         .when(_over(tx.url_ratio(t), p["max_url_ratio"]), "high_url_ratio")
         .when(_over(tx.html_ratio(t), p["max_html_ratio"]), "high_html_ratio")
-        .when(_over(tx.punctuation_ratio(t), p["max_punctuation_ratio"]), "high_punctuation_ratio")
-        .when(_over(tx.digit_ratio(t), p["max_digit_ratio"]), "high_digit_ratio")
+        .when(_over(tx.punctuation_ratio(t, v), p["max_punctuation_ratio"]), "high_punctuation_ratio")
+        .when(_over(tx.digit_ratio(t, v), p["max_digit_ratio"]), "high_digit_ratio")
         .when(_over(tx.repeated_line_ratio(t), p["max_repeated_line_ratio"]), "high_repeated_line_ratio")
     )
 

@@ -63,7 +63,8 @@ def clean_reject_report(spark, d):
     """Reasons by source's policy without folding and cutting, duplicates by digest; first copy wins."""
     p = quality.policy_columns()
     own = quality.join_policies(_cleaned(spark, d), table(spark, d, "cleaning_policies"))
-    own = own.withColumn("reason", F.coalesce(quality.record_reason("score", "t", p), quality.text_reason("t", p))).withColumn("mode", p["dedupe_mode"])
+    own = own.withColumn("v", tx.visible_chars("t"))
+    own = own.withColumn("reason", F.coalesce(quality.record_reason("score", "t", p), quality.text_reason("t", p, F.col("v")))).withColumn("mode", p["dedupe_mode"])
     own = own.select("record_id", "source_file", "source_row", "reason", "mode", F.when(F.col("reason").isNull(), tx.dedupe_digest("t", F.col("mode"))).alias("digest"))
     own = dedup.mark_duplicates(own, "digest", ORDER)
     reason = F.coalesce("reason", F.when(F.col("duplicate"), F.concat(F.lit("duplicate_"), "mode")), F.lit("kept"))
@@ -84,14 +85,15 @@ def corpus_cleaning_incremental(spark, d):
 
 def quality_ratios(spark, d):
     r = lambda c: F.round(c, 6)
-    return _cleaned(spark, d).select(
-        "record_id", r(tx.cjk_ratio("t")).alias("cjk"), r(tx.url_ratio("t")).alias("url"), r(tx.html_ratio("t")).alias("html"),
-        r(tx.punctuation_ratio("t")).alias("punctuation"), r(tx.digit_ratio("t")).alias("digits"), r(tx.repeated_line_ratio("t")).alias("repeated_lines"),
+    v = F.col("v")
+    return _cleaned(spark, d).withColumn("v", tx.visible_chars("t")).select(
+        "record_id", r(tx.cjk_ratio("t", v)).alias("cjk"), r(tx.url_ratio("t")).alias("url"), r(tx.html_ratio("t")).alias("html"),
+        r(tx.punctuation_ratio("t", v)).alias("punctuation"), r(tx.digit_ratio("t", v)).alias("digits"), r(tx.repeated_line_ratio("t")).alias("repeated_lines"),
     )
 
 
 def char_class_profile(spark, d):
-    n = lambda p: F.sum(F.regexp_count("t", F.lit(p))).alias
+    n = lambda p: F.sum(tx.matched_chars("t", p)).alias
     return _cleaned(spark, d).groupBy(F.lower(F.trim("source")).alias("source")).agg(
         F.count("*").alias("texts"), n(tx.HAN)("han"), n(r"\p{Nd}")("digits"), n(r"\p{P}")("punctuation"), n(r"[A-Za-z]")("latin"), F.sum(F.length("t")).alias("chars"), F.sum(F.octet_length("t")).alias("bytes")
     )

@@ -32,5 +32,18 @@ def materialize(df: DataFrame, what: str = "t") -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables of a data folder.
+
+    A table that lies in fewer splits than half the cores (one small file of one row group) is spread over them;
+    tables of ordinary size are read as they lie, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() <= cores and _rows_known(df) > 1000:
+        df = df.repartition(cores)
+    return df
+
+
+def _rows_known(df: DataFrame) -> int:
+    """A guess of the rows from the files' size, without reading them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 100
