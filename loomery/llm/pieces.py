@@ -43,6 +43,7 @@ def split_oversized(
     lim = lim.select("_key", "max_chars", F.least(F.greatest(F.coalesce("_o", F.lit(0)), F.lit(0)), F.col("max_chars") - 1).alias("overlap_chars"))
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(key_col).alias("_key"), F.col(order_col).alias("_at"))
     own = own.join(lim, "_key").filter(F.length("_text") > F.col("max_chars"))
+    own = own.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")  # few bytes, much work: not to be coalesced
     newest = Window.partitionBy("_id").orderBy(F.col("_at").desc_nulls_last(), F.col("_text").desc())
     own = own.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1")
     cut = own.withColumn("_runs", F.regexp_extract_all("_text", piece_pattern(F.col("max_chars") - F.col("overlap_chars")), F.lit(0)))
