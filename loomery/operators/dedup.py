@@ -13,15 +13,14 @@ from ..session import materialize
 
 
 def first_wins(df: DataFrame, digest: Column | str, order: list[str]) -> DataFrame:
-    """The first row of each digest by ``order``, and every row without a digest.
+    """The first row of each digest by ``order`` (unique), and every row without a digest.
 
     Rows are reduced before the shuffle, so a digest that a third of all rows hold costs one row a task.
     """
     names = df.columns
-    keyed = df.withColumn("_d", tx.col(digest))
-    best = F.min_by(F.struct(*names), F.struct(*order)).alias("_r")
-    kept = keyed.filter("_d is not null").groupBy("_d").agg(best).select("_r.*")
-    return kept.unionByName(keyed.filter("_d is null").drop("_d"))
+    own = F.concat_ws("\0", F.lit("row"), *(F.col(c).cast("string") for c in order))  # a key of its own for a row without digest
+    keyed = df.withColumn("_d", F.coalesce(tx.col(digest), own))
+    return keyed.groupBy("_d").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r")).select("_r.*")
 
 
 def mark_duplicates(df: DataFrame, digest: Column | str, order: list[str], salts: int = 32) -> DataFrame:

@@ -66,7 +66,7 @@ def clean_reject_report(spark, d):
     own = own.withColumn("v", tx.visible_chars("t"))
     own = own.withColumn("reason", F.coalesce(quality.record_reason("score", "t", p), quality.text_reason("t", p, F.col("v")))).withColumn("mode", p["dedupe_mode"])
     own = own.select("record_id", "source_file", "source_row", "reason", "mode", F.when(F.col("reason").isNull(), tx.dedupe_digest("t", F.col("mode"))).alias("digest"))
-    own = dedup.mark_duplicates(own, "digest", ORDER)
+    own = dedup.mark_duplicates(materialize(own, "reasons"), "digest", ORDER)  # judged once, read twice
     reason = F.coalesce("reason", F.when(F.col("duplicate"), F.concat(F.lit("duplicate_"), "mode")), F.lit("kept"))
     return own.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
 
