@@ -43,6 +43,7 @@ def keep_cutoffs(
     target = target.select("source", "part", "before", "all_rows", need.alias("need"))
 
     falling = Window.partitionBy("source", "part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    exact = ranged.join(F.broadcast(target), ["source", "part"])  # one row a source that has a target.withColumn("kept_rows", F.col("before") + F.sum("n").over(falling))
+    # at most one row for each source that has a target
+    exact = ranged.join(F.broadcast(target), ["source", "part"]).withColumn("kept_rows", F.col("before") + F.sum("n").over(falling))
     first = exact.filter((100 * F.col("kept_rows") >= F.col("need")) & (100 * (F.col("kept_rows") - F.col("n")) < F.col("need")))
     return first.select("source", F.col("score").alias("cutoff"), "kept_rows", "all_rows")
