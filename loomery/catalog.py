@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, curation, pairs, tokens
+from .plans import cleaning, curation, evaluation, pairs, tokens
 
-MODULES = (cleaning, curation, pairs, tokens)
+MODULES = (cleaning, curation, pairs, tokens, evaluation)
 
 
 def queries():
