@@ -53,19 +53,17 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
 
 def calibration_error(df: DataFrame, confidence: str, correct: str, n_bins: int = 10) -> DataFrame:
     """(ece): the mean gap of accuracy and confidence over bins [low, high), the last closed; other values drop out."""
-    every = df.agg(F.count("*").alias("n"))
-    inside = df.filter(F.col(confidence).between(0, 1)).withColumn("b", F.least(F.floor(F.col(confidence) * n_bins), F.lit(n_bins - 1)))
-    by = inside.groupBy("b").agg(F.count("*").alias("k"), F.avg(F.col(correct).cast("double")).alias("acc"), F.avg(confidence).alias("conf"))
-    return by.join(F.broadcast(every)).agg(F.round(F.coalesce(F.sum(F.col("k") / F.col("n") * F.abs(F.col("acc") - F.col("conf"))), F.lit(0.0)), 9).alias("ece"))
+    inside = F.when(F.col(confidence).between(0, 1), F.least(F.floor(F.col(confidence) * n_bins), F.lit(n_bins - 1)))
+    by = df.groupBy(inside.alias("b")).agg(F.count("*").alias("k"), F.avg(F.col(correct).cast("double")).alias("acc"), F.avg(confidence).alias("conf"))
+    gap = F.when(F.col("b").isNotNull(), F.col("k") * F.abs(F.col("acc") - F.col("conf")))
+    return by.agg(F.round(F.coalesce(F.sum(gap) / F.sum("k"), F.lit(0.0)), 9).alias("ece"))
 
 
 def unigram_entropy(tokens: DataFrame, token: str) -> DataFrame:
     """(tokens, vocabulary, entropy, perplexity) of the empirical distribution, in nats."""
-    counts = tokens.groupBy(F.col(token).alias("_token")).agg(F.count("*").alias("_c"))
-    total = counts.agg(F.sum("_c").alias("_n"))
-    own = counts.join(F.broadcast(total))  # one row
-    h = -F.sum(F.col("_c") / F.col("_n") * F.log(F.col("_c") / F.col("_n")))
-    return own.agg(F.sum("_c").alias("tokens"), F.count("*").alias("vocabulary"), F.round(h, 6).alias("entropy"), F.round(F.exp(h), 4).alias("perplexity"))
+    counts = tokens.groupBy(F.col(token).alias("_token")).agg(F.count("*").cast("double").alias("_c"))
+    h = F.log(F.sum("_c")) - F.sum(F.col("_c") * F.log("_c")) / F.sum("_c")  # the same as -sum(p ln p), in one pass
+    return counts.agg(F.sum("_c").cast("bigint").alias("tokens"), F.count("*").alias("vocabulary"), F.round(h, 6).alias("entropy"), F.round(F.exp(h), 4).alias("perplexity"))
 
 
 def interval_union(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

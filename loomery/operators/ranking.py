@@ -105,12 +105,14 @@ def split_by_source(df: DataFrame, source: str, order: str, share: float, seed:
     Sources aren't spread over both sides. Ties of ``order`` go to the smaller source. Null sources are train.
     """
     bound = f"{int(share * (1 << 64)):016x}" if share < 1 else "g"
-    first = df.filter(F.col(source).isNotNull()).agg(F.min(F.struct(order, source)).alias("f")).select(F.col(f"f.{source}").alias("_first"))
-    own = df.withColumn("_hit", F.coalesce(tx.hash_fraction(F.col(source), seed) < bound, F.lit(False)))
-    sides = own.filter(F.col(source).isNotNull()).agg(F.bool_or("_hit").alias("_any"), F.bool_and("_hit").alias("_all"))
-    own = own.join(F.broadcast(first)).join(F.broadcast(sides))  # one row each
-    hit = F.when(~F.col("_any"), F.col(source) == F.col("_first")).when(F.col("_all"), F.col(source) != F.col("_first")).otherwise(F.col("_hit"))
-    return own.withColumn("split", F.when(hit, "validation").otherwise("train")).drop("_hit", "_any", "_all", "_first")
+    hit = F.coalesce(tx.hash_fraction(F.col(source), seed) < bound, F.lit(False))
+    # one row of three values decides whether a side stays empty
+    known = df.filter(F.col(source).isNotNull()).agg(F.bool_or(hit).alias("any"), F.bool_and(hit).alias("all"), F.min(F.struct(order, source)).alias("f")).first()
+    if known["f"] is not None and not known["any"]:
+        hit = F.coalesce(F.col(source) == known["f"][source], F.lit(False))
+    elif known["f"] is not None and known["all"]:
+        hit = F.coalesce(F.col(source) != known["f"][source], F.lit(False))
+    return df.withColumn("split", F.when(hit, "validation").otherwise("train"))
 
 
 def stratified_anchors(df: DataFrame, stratum: Column, ratios: dict[str, float], target: int, id_col: str, seed: int) -> DataFrame:
