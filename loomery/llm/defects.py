@@ -45,6 +45,8 @@ _CLOSE = "”’」』）)】》\"'＂]"
 
 #: Complete answers that the model of breaks is fitted on; each also gives answers broken off at known places.
 FIT_ROWS = 6000
+#: Longer answers and sources aren't fitted on (they are judged like all others).
+FIT_CHARS = 4000
 DIMS = 1 << 18
 
 
@@ -346,7 +348,7 @@ def flag_pairs(pairs: DataFrame, decisions: DataFrame, fit_rows: int = FIT_ROWS)
     answers (those with the least hashes of pair_id). The texts aren't shuffled, only ids and defects are.
     """
     spark = pairs.sparkSession
-    whole = pairs.select("pair_id", "source", "target").filter(F.regexp_like("target", F.lit(r"[。.！？!?]\s*\z")) & (F.length("target") >= 20) & F.col("source").isNotNull())
+    whole = pairs.select("pair_id", "source", "target").filter(F.regexp_like("target", F.lit(r"[。.！？!?]\s*\z")) & F.length("target").between(20, FIT_CHARS) & (F.length("source") <= FIT_CHARS))
     some = whole.orderBy(F.xxhash64("pair_id"), "pair_id").limit(fit_rows).select("source", "target").collect()
     weights = spark.sparkContext.broadcast(fit_breaks([(r[0], r[1]) for r in some]))
 

@@ -15,6 +15,8 @@ DIMS = 1 << 15
 SYNTAX = 8
 #: At most so many labelled documents are fitted on: those with the least hashes of doc_id.
 FIT_DOCS = 4000
+#: Longer documents aren't fitted on (they get a level like all others).
+FIT_CHARS = 20_000
 BINS = 2000
 
 _MARKUP = re.compile(r"<\|[^|<>]{0,40}\|>(?:\s*(?:system|user|assistant)\b)?|</?[A-Za-z][^<>]{0,200}>|https?://[^\s，。；、）)]+|&[a-z]{2,6};|\[/?INST\]|</?s>")
@@ -153,7 +155,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS)
     spark = docs.sparkSession
     sample = label_grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     ids = spark.createDataFrame(sample.collect(), "doc_id bigint, _grade double")  # at most fit_docs rows
-    graded = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id")
+    graded = docs.select("doc_id", "text").filter(F.length("text") <= FIT_CHARS).join(F.broadcast(ids), "doc_id")
 
     def vectors(batches):
         for b in batches:
