@@ -25,21 +25,17 @@ def _struct(df: DataFrame, names: list[str]) -> str:
     return "struct<" + ",".join(f"`{n}`:{df.schema[n].dataType.simpleString()}" for n in names) + ">"
 
 
-def position_lookup(points: DataFrame, starts: DataFrame, point: str, start: str, value: str, width: int) -> DataFrame:
-    """Each point with the value of the last start at or before it.
+def position_lookup(points: DataFrame, spans: DataFrame, point: str, start: str, size: str, value: str, width: int) -> DataFrame:
+    """Each point with the value of the span [start, start + size) that holds it; null outside all spans.
 
-    Both sides are cut into stretches of ``width``; a stretch without a start of its own carries the last one
-    before it, so the join is by equality and no side is sent whole to all tasks.
+    Spans don't overlap. Each is listed under every stretch of ``width`` it reaches into, which makes the join one
+    by equality: spans + positions / width rows in all, no order over everything, nothing sent whole to all tasks.
     """
-    at = F.floor(F.col(start) / width)
-    own = starts.select(at.alias("_b"), F.col(start).alias("_s"), F.col(value).alias("_v"))
-    per = own.groupBy("_b").agg(F.max(F.struct("_s", "_v")).alias("_last"))
-    wanted = points.select(F.floor(F.col(point) / width).alias("_b")).distinct()
-    every = wanted.join(per, "_b", "full_outer").withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-    carried = every.filter("_carry is not null").select("_b", "_carry._s", "_carry._v")
-    cand = own.unionByName(carried)
-    joined = points.withColumn("_b", F.floor(F.col(point) / width)).withColumn("_id", F.monotonically_increasing_id()).join(cand, "_b", "left").filter(F.col("_s").isNull() | (F.col("_s") <= F.col(point)))
-    return joined.groupBy("_id", *points.columns).agg(F.max(F.struct("_s", "_v")).alias("_m")).select(*points.columns, F.col("_m._v").alias(value))
+    last = F.floor((F.col(start) + F.col(size) - 1) / width)
+    own = spans.filter(F.col(size) > 0).select(F.explode(F.sequence(F.floor(F.col(start) / width), last)).alias("_b"), F.col(start).alias("_s"), (F.col(start) + F.col(size)).alias("_e"), F.col(value).alias("_v"))
+    at = points.withColumn("_b", F.floor(F.col(point) / width))
+    inside = (at["_b"] == own["_b"]) & (F.col("_s") <= F.col(point)) & (F.col(point) < F.col("_e"))
+    return at.join(own, inside, "left").select(*points.columns, F.col("_v").alias(value))
 
 
 def tree_paths(nodes: DataFrame, id_col: str, parent_col: str, most_depth: int = 64) -> DataFrame:

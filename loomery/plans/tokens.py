@@ -59,7 +59,7 @@ def position_lookup(spark, d):
     starts = tokens.running_starts(_docs(spark, d).select("doc_id", (F.length("text") + 2).alias("n")), "doc_id", "n")
     total = starts.agg(F.max(F.col("start") + F.col("n")).alias("n"))
     points = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(1000).cast("bigint"))).alias("position"))
-    return joins.position_lookup(points, starts, "position", "start", "doc_id", 4096)
+    return joins.position_lookup(points, starts, "position", "start", "n", "doc_id", 4096)
 
 
 def shard_fill(spark, d):

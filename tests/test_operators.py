@@ -128,9 +128,9 @@ def test_asof_lookup_and_trees(spark):
     a = spark.createDataFrame([("x", 5), ("x", 1), ("y", 9)], "k string, t int")
     b = spark.createDataFrame([("x", 2, "p"), ("x", 5, "q"), ("x", 7, "r")], "k string, u int, v string")
     assert rows(joins.asof(a, b, ["k"], "t", "u", ["v"])) == [("x", 1, None), ("x", 5, "q"), ("y", 9, None)]
-    s = spark.createDataFrame([(0, "a"), (100, "b"), (9000, "c")], "s bigint, d string")
-    p = spark.createDataFrame([(0,), (99,), (100,), (5000,), (9001,)], "p bigint")
-    assert rows(joins.position_lookup(p, s, "p", "s", "d", 64)) == [(0, "a"), (99, "a"), (100, "b"), (5000, "b"), (9001, "c")]
+    s = spark.createDataFrame([(0, 100, "a"), (100, 8900, "b"), (9000, 2, "c"), (9000, 0, "none")], "s bigint, n bigint, d string")
+    p = spark.createDataFrame([(0,), (99,), (100,), (5000,), (9001,), (9002,)], "p bigint")
+    assert rows(joins.position_lookup(p, s, "p", "s", "n", "d", 64)) == [(0, "a"), (99, "a"), (100, "b"), (5000, "b"), (9001, "c"), (9002, None)]
     n = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 6), (6, 5)], "id int, up int")
     assert rows(joins.tree_paths(n, "id", "up")) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0)]
 
