@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import math
+import os
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,14 @@ def near(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > k:
         return False
-    return distance(a, b) <= k
+    # k edits leave all but 3 k of the longer text's 3-grams; most candidates end here
+    shared = Counter(a[i : i + 3] for i in range(len(a) - 2)) & Counter(b[i : i + 3] for i in range(len(b) - 2))
+    if shared.total() < max(len(a), len(b)) - 2 - 3 * k:
+        return False
+    head = len(os.path.commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(os.path.commonprefix((a[::-1], b[::-1])))
+    return distance(a[: len(a) - tail], b[: len(b) - tail]) <= k
 
 
 def distance(a: str, b: str) -> int:
