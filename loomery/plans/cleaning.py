@@ -164,8 +164,8 @@ def utf8_parts(spark, d):
 
 
 def repetition_profile(spark, d):
-    """Share of repeated 4-grams by category of documents."""
-    own = table(spark, d, "documents").filter("text is not null and length(text) <= 2000").select("doc_id", "category", F.round(tx.repetition_ratio("text"), 6).alias("repetition"))
+    """Share of repeated 4-grams of each document."""
+    own = table(spark, d, "documents").filter("text is not null").select("doc_id", "category", F.round(tx.repetition_ratio("text"), 6).alias("repetition"))
     return own
 
 
@@ -207,7 +207,7 @@ SQL = {
     "seed_anti_dedup": f"{_T}, k AS (SELECT record_id, lower(trim(source)) AS s, {_FORM} AS f FROM c) SELECT record_id FROM k WHERE NOT coalesce(s, '') LIKE 'wiki%' AND f NOT IN (SELECT f FROM k WHERE s LIKE 'wiki%')",
     "dedup_bucket_skew": f"{_T}, k AS (SELECT sha256({_FORM}) AS h FROM c) SELECT CAST('0x' || substr(h, 1, 2) AS INTEGER) AS bucket, count(*) AS rows, count(DISTINCT h) AS digests FROM k GROUP BY 1",
     "duplicate_audit": f"{_T} SELECT count(*) - count(DISTINCT t) AS exact, count(*) - count(DISTINCT {_FORM}) AS normalized, count(*) - count(DISTINCT (source_file, source_row)) AS deliveries, count(*) - count(DISTINCT record_id) AS ids FROM c",
-    "repetition_profile": r"""WITH k AS (SELECT doc_id, category, regexp_replace(text, '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL AND length(text) <= 2000),
+    "repetition_profile": r"""WITH k AS (SELECT doc_id, category, regexp_replace(text, '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
         g AS (SELECT doc_id, category, CASE WHEN length(t) >= 4 THEN list_transform(generate_series(1, length(t) - 3), lambda i: substr(t, i, 4)) ELSE [] END AS g FROM k)
         SELECT doc_id, category, round(coalesce((len(g) - len(list_distinct(g))) / nullif(len(g), 0), 0), 6) AS repetition FROM g""",
 }

@@ -73,10 +73,9 @@ def pack_windows(spark, d):
 
 
 def target_masks(spark, d):
-    """Of two neighbours' characters in a window of 64, the places whose target stays in the document."""
-    own = _docs(spark, d).select("doc_id", F.least(F.length("text"), F.lit(40)).alias("n"))
-    ids = F.slice(F.concat(F.array_repeat(F.lit(1), F.col("n")), F.array_repeat(F.lit(2), F.lit(64))), 1, 64)
-    return own.select("doc_id", F.aggregate(tokens.target_mask(ids), F.lit(0), lambda a, x: a + x).alias("inside"))
+    """Of each document's characters, with two of a next document behind them, the places whose target stays inside."""
+    ids = F.concat(F.array_repeat(F.lit(1), F.length("text")), F.array(F.lit(2), F.lit(2)))
+    return _docs(spark, d).select("doc_id", F.aggregate(tokens.target_mask(ids), F.lit(0), lambda a, x: a + x).alias("inside"))
 
 
 def synthetic_math(spark, d):
@@ -147,7 +146,7 @@ SQL = {
     "char_vocabulary": f"{_D}, {_CH}, {_V} SELECT char, id FROM v WHERE id <= 60003",
     "token_starts": f"{_D} SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d",
     "position_lookup": f"{_D}, s AS (SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d), p AS (SELECT unnest(generate_series(0, (SELECT max(start + n) - 1 FROM s)::BIGINT, 1000)) AS position) SELECT position, doc_id FROM p JOIN s ON position >= start AND position < start + n",
-    "target_masks": f"{_D}, o AS (SELECT doc_id, least(n, 40) AS n FROM d) SELECT doc_id, CASE WHEN n = 0 THEN 63 ELSE 62 END AS inside FROM o",
+    "target_masks": f"{_D} SELECT doc_id, greatest(n - 1, 0) + 1 AS inside FROM d",
     "synthetic_math": "WITH r AS (SELECT i AS id, i * 7 % 97 + 3 AS a, i * 13 % 89 + 2 AS b FROM range(3000) t(i)) SELECT id, CASE id % 3 WHEN 0 THEN a || ' + ' || b WHEN 1 THEN a || ' * ' || b ELSE b || '% of ' || (a * 100) END AS question, CASE id % 3 WHEN 0 THEN a + b ELSE a * b END AS answer FROM r",
     "synthetic_json": """SELECT i AS id, '{"name":"item-' || i || '","amount":' || (i * 17 % 101) || '}' AS answer, 'Give item-' || i || ' with amount ' || (i * 17 % 101) || ' as JSON.' AS question FROM range(1000) t(i)""",
     "loss_acceptance": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS b FROM e), g AS (SELECT event_type, avg(value) FILTER (WHERE a <= 10) AS f, avg(value) FILTER (WHERE b <= 10) AS l FROM r GROUP BY 1) SELECT event_type, round(f, 6) AS first_mean, round(l, 6) AS last_mean, round(f - l, 6) AS drop, l < f AS accepted FROM g",
