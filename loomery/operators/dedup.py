@@ -95,14 +95,41 @@ def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str,
     """(id_a, best_id, jaccard): for each query text the most similar corpus text by 4-gram sets, from ``least`` on.
 
     Candidates share one of the ``anchors`` smallest CRC32 values of their 4-grams; none is cut off. Copies of a
-    corpus text are one, named by their smallest id. Queries and corpus texts without letters have no row.
+    corpus text are one, named by their smallest id, and query texts of one set are compared once. Queries and
+    corpus texts without letters have no row.
+
+    A set that the corpus holds too has its answer at once. The others meet on their anchors: the smallest value that
+    two sets share stands behind at most (1 - least) of either set, sizes can't be further apart than ``least``
+    allows, and neither set can have more than its part of the difference in bits of its 4-grams' hashes that the
+    other lacks. Pairs that so can't reach ``least`` are dropped before their texts are fetched.
     """
-    grams = lambda c: F.array_distinct(tx.char_ngrams(tx.dedupe_form(c), 4, whole_if_short=True))
-    q = queries.select(F.col(id_a).alias("qa"), grams(text_a).alias("ga")).filter(F.size("ga") > 0)
-    c = corpus.select(F.col(id_b).alias("cb"), grams(text_b).alias("gb")).filter(F.size("gb") > 0)
-    c = materialize(c.groupBy("gb").agg(F.min("cb").alias("cb")), "corpus")
-    anchor = lambda g: F.explode(F.slice(F.array_sort(F.array_distinct(F.transform(g, lambda x: F.crc32(x.cast("binary"))))), 1, anchors))
-    hits = q.select("qa", anchor(F.col("ga")).alias("k")).join(c.select("cb", anchor(F.col("gb")).alias("k")), "k").select("qa", "cb").distinct()
-    scored = hits.join(q, "qa").join(c, "cb").select("qa", "cb", F.round(tx.jaccard(F.col("ga"), F.col("gb")), 9).alias("j")).filter(F.col("j") >= least)
-    best = scored.groupBy("qa").agg(F.max_by(F.struct("cb", "j"), F.struct("j", -F.col("cb"))).alias("m"))
-    return best.select(F.col("qa").alias(id_a), F.col("m.cb").alias("best_id"), F.col("m.j").alias("jaccard"))
+    grams = lambda f: F.array_distinct(tx.char_ngrams(f, 4, whole_if_short=True))
+    digest = lambda g: F.unhex(F.sha2(F.array_join(F.array_sort(g), "\0"), 256))
+
+    def read(df: DataFrame, key: str, text: str) -> DataFrame:
+        own = df.select(F.col(key).alias("id"), tx.dedupe_form(text).alias("f")).filter("f <> ''")
+        return own.select("id", "f", digest(grams("f")).alias("h"))
+
+    own = materialize(read(queries, id_a, text_a), "queries")
+    c = materialize(read(corpus, id_b, text_b).groupBy("h").agg(F.min("id").alias("cb"), F.min("f").alias("fb")), "corpus")
+    q = own.groupBy("h").agg(F.min("id").alias("q"), F.min("f").alias("fa"))
+    q = materialize(q.join(c.select("h", "cb"), "h", "left"), "classes")
+    same = q.filter("cb is not null").select("q", F.struct("cb", F.lit(1.0).alias("j")).alias("m"))
+    ask = q.filter("cb is null").select("q", "fa")
+
+    def word(codes: Column, w: int) -> Column:
+        return F.aggregate(F.filter(codes, lambda x: x.bitwiseAND(F.lit(64)) == 64 * w), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def anchored(df: DataFrame, key: str, text: str, end: str) -> DataFrame:
+        """(key, size, two words of bits, anchor): a row for each anchor that a pair may meet on."""
+        sets = df.select(key, grams(text).alias("g")).select(key, F.size("g").alias("n"), F.array_sort(F.array_distinct(F.transform("g", lambda x: F.crc32(x.cast("binary"))))).alias("c"))
+        first = F.least(F.lit(anchors), F.floor(F.col("n") * (1 - least) + 1e-6).cast("int") + 1)
+        return sets.select(key, F.col("n").alias(f"n{end}"), word(F.col("c"), 0).alias(f"u{end}"), word(F.col("c"), 1).alias(f"v{end}"), F.explode(F.slice("c", F.lit(1), first)).alias("k"))
+
+    both = (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6  # 4-grams that a pair must share
+    lacks = lambda x, y: F.bit_count(F.col(f"u{x}").bitwiseAND(F.bitwise_not(F.col(f"u{y}")))) + F.bit_count(F.col(f"v{x}").bitwiseAND(F.bitwise_not(F.col(f"v{y}"))))
+    may = (F.least("na", "nb") >= both) & (lacks("a", "b") <= F.col("na") - both) & (lacks("b", "a") <= F.col("nb") - both)
+    hits = anchored(ask, "q", "fa", "a").join(anchored(c, "cb", "fb", "b"), "k").filter(may).select("q", "cb").distinct()
+    scored = hits.join(ask, "q").join(c.select("cb", "fb"), "cb").select("q", "cb", F.round(tx.jaccard(grams("fa"), grams("fb")), 9).alias("j")).filter(F.col("j") >= least)
+    best = scored.groupBy("q").agg(F.max_by(F.struct("cb", "j"), F.struct("j", -F.col("cb"))).alias("m")).unionByName(same)
+    return own.join(q.select("h", "q"), "h").join(best, "q").select(F.col("id").alias(id_a), F.col("m.cb").alias("best_id"), F.col("m.j").alias("jaccard"))

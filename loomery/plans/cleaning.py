@@ -141,9 +141,9 @@ def simhash_near_dup(spark, d):
 
 
 def anchor_jaccard_near_dup(spark, d):
-    """Sources of evaluation pairs (ids divisible by 100 among all) against training sources."""
+    """Sources of all pairs outside train, those without a split included, against training sources."""
     own = table(spark, d, "pair_records").withColumn("split", F.lower(F.trim("split")))
-    return dedup.anchor_overlap(own.filter("split <> 'train' and pair_id % 100 = 0"), own.filter("split = 'train'"), "pair_id", "pair_id", "source", "source")
+    return dedup.anchor_overlap(own.filter("split is null or split <> 'train'"), own.filter("split = 'train'"), "pair_id", "pair_id", "source", "source")
 
 
 def chunk_documents(spark, d):

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -147,3 +148,34 @@ def test_wilson_and_calibration(spark):
     assert round(r.a, 4) == 0.2366 and round(r.b, 4) == 0.7634 and r.c is None
     df = spark.createDataFrame([(0.95, True), (0.85, False), (1.2, True)], "c double, ok boolean")
     assert profiles.calibration_error(df, "c", "ok").first()[0] == round((0.05 + 0.85) / 3, 9)
+
+
+def test_all_evaluation_sources_are_audited(spark, tmp_path):
+    a, b = "河水在清晨缓缓流过古老的石桥，岸边的渔夫收起昨夜撒下的渔网准备回家", "图书馆从下个月开始延长开放时间，读者可以在晚上继续使用二楼的自习室"
+    data = [(1, "train", a), (2, "Train ", b), (3, "train", b), (101, "validation", a + "。"), (102, "test", b), (103, None, b[:-1]), (104, "test", "完全不同的一段话，没有任何地方和别处相同"), (105, "test", None), (200, "Test", b)]
+    spark.createDataFrame(data, "pair_id bigint, split string, source string").write.parquet(f"{tmp_path}/pair_records.parquet")
+    got = {r.pair_id: (r.best_id, r.jaccard) for r in cleaning.anchor_jaccard_near_dup(spark, str(tmp_path)).collect()}
+    assert set(got) == {101, 102, 103, 200} and got[101] == (1, 1.0) and got[102] == got[200] == (2, 1.0)
+    assert got[103][0] == 2 and 0.85 <= got[103][1] < 1
+
+
+def test_anchor_overlap_against_brute_force(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯") for _ in range(n)) for n in (3, 5, 30, 60, 120)]
+    texts = [t[:k] + rng.choice(["", "x", "yz"]) + t[k + rng.randint(0, 1) :] for t in base for k in (rng.randrange(len(t)) for _ in range(12))]
+    ask, held = list(enumerate(texts[::2])), list(enumerate(texts[1::2], 1000))
+
+    def grams(t):
+        return {t[i : i + 4] for i in range(len(t) - 3)} or {t}
+
+    def low(t):
+        return set(sorted({zlib.crc32(g.encode()) for g in grams(t)})[:12])
+
+    want = {}
+    for i, t in ask:
+        near = [(round(len(grams(t) & grams(u)) / len(grams(t) | grams(u)), 9), -k) for k, u in held if low(t) & low(u)]
+        if near and max(near)[0] >= 0.85:
+            want[i] = (-max(near)[1], max(near)[0])
+    df = [spark.createDataFrame(x, "id int, t string") for x in (ask, held)]
+    got = {r.id: (r.best_id, r.jaccard) for r in dedup.anchor_overlap(*df, "id", "id", "t", "t").collect()}
+    assert got == want and len({j for _, j in want.values()}) > 3
