@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,26 +14,43 @@ from ..functions import text as tx
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 
 
-def char_vocabulary(docs: DataFrame, text_col: str, most: int = 60_000) -> DataFrame:
-    """(char, id): the ``most`` commonest characters, ids from 4 on by falling count, then by character.
+def char_vocabulary(docs: DataFrame, text_col: str, most: int | None = 60_000) -> DataFrame:
+    """(char, id): the ``most`` commonest characters (None: all), ids from 4 on by falling count, then by character.
 
     Unicode bounds the rows, whatever the corpus holds.
     """
     chars = docs.select(F.explode(F.split(text_col, "")).alias("char")).filter("char <> ''").groupBy("char").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "char"))
-    return chars.orderBy(F.col("n").desc(), "char").limit(most).select("char", (rank + 3).cast("int").alias("id"))
+    own = chars if most is None else chars.orderBy(F.col("n").desc(), "char").limit(most)
+    return own.select("char", (rank + 3).cast("int").alias("id"))
 
 
 def encode_chars(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tokens): BOS, the characters' ids (UNK for others) and EOS. Null texts count as empty.
 
-    The vocabulary, bounded by its construction, goes to all tasks as one map.
+    The vocabulary, which Unicode bounds, goes to all tasks; ids are looked up by code point.
     """
-    codes = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("char", "id"))).alias("codes"))
-    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(codes))
-    chars = F.filter(F.split("_t", ""), lambda c: c != "")
-    ids = tx.let(F.struct(chars.alias("c"), F.col("codes").alias("m")), lambda x: F.transform(x["c"], lambda c: F.coalesce(F.try_element_at(x["m"], c), F.lit(UNK))))
-    return own.select(id_col, F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS))).alias("tokens"))
+    codes = vocabulary.select(F.col("char"), F.col("id")).toArrow()
+    cp = np.frombuffer("".join(codes.column("char").to_pylist()).encode("utf-32-le"), np.uint32)
+    ids = codes.column("id").to_numpy().astype(np.int32)
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+
+    def run(batches):
+        code = np.full(0x110000, UNK, np.int32)
+        code[cp] = ids
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+            end = np.cumsum(size)
+            out = np.full(int(size.sum()), EOS, np.int32)
+            out[end - size] = BOS
+            inner = np.ones(len(out), bool)
+            inner[end - size] = inner[end - 1] = False
+            out[inner] = code[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+            at = pa.array(np.concatenate([[0], end]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(out))], names=[id_col, "tokens"])
+
+    return own.mapInArrow(run, f"`{id_col}` {own.schema[id_col].dataType.simpleString()}, tokens array<int>")
 
 
 def running_starts(docs: DataFrame, order: str, size: str) -> DataFrame:

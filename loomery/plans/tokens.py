@@ -43,9 +43,9 @@ def char_vocabulary(spark, d):
 
 
 def char_encoding(spark, d):
-    """Length and digest of each document's ids by a vocabulary of the 500 commonest characters."""
+    """Length and digest of each document's ids by the vocabulary of all their characters."""
     docs = _docs(spark, d)
-    got = tokens.encode_chars(docs, tokens.char_vocabulary(docs, "text", 500), "doc_id", "text")
+    got = tokens.encode_chars(docs, tokens.char_vocabulary(docs, "text", None), "doc_id", "text")
     return got.select("doc_id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda x: x == tokens.UNK)).alias("unknown"), F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("digest"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomery.functions import udfs
 from loomery.operators import dedup, joins, profiles, quality, ranking, tokens
 from loomery.plans import cleaning, curation, pairs
+from loomery.plans import tokens as token_plans
 
 
 def rows(df):
@@ -179,3 +180,13 @@ def test_anchor_overlap_against_brute_force(spark):
     df = [spark.createDataFrame(x, "id int, t string") for x in (ask, held)]
     got = {r.id: (r.best_id, r.jaccard) for r in dedup.anchor_overlap(*df, "id", "id", "t", "t").collect()}
     assert got == want and len({j for _, j in want.values()}) > 3
+
+
+def test_every_character_has_its_id(spark, tmp_path):
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 700))) + "😀e\u0301\n"
+    spark.createDataFrame([(1, many), (2, ""), (3, None), (4, "一一😀")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.unknown) for r in token_plans.char_encoding(spark, str(tmp_path)).collect()}
+    assert got == {1: (706, 0), 2: (2, 0), 4: (5, 0)}
+    docs = spark.createDataFrame([(1, "bab"), (2, None), (3, "b😀?")], "id int, t string")
+    vocabulary = tokens.char_vocabulary(docs.filter("id < 3"), "t", None)
+    assert {r.id: r.tokens for r in tokens.encode_chars(docs, vocabulary, "id", "t").collect()} == {1: [1, 4, 5, 4, 2], 2: [1, 2], 3: [1, 4, 3, 3, 2]}
