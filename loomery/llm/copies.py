@@ -75,8 +75,8 @@ def _forms(records: DataFrame, policies: DataFrame, id_col: str, text_col: str,
     modes = modes.groupBy("_source").agg(F.max("_mode").alias("_mode"))
     rows = records.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), plain_key(source_col).alias("_source"))
     rows = rows.filter("_text is not null and _source is not null").join(modes, "_source")
-    # running text has no early mark between a name and a value: only the rest is parsed
-    maybe = (F.col("_mode") == "normalized") & F.regexp_like("_text", F.lit(r"\A(?:[\s\p{C}]*\{|[^：:=\n]{1,40}[：:=])"))
+    # an object has a brace, and two named fields have two marks between names and values: no other text is parsed
+    maybe = (F.col("_mode") == "normalized") & F.regexp_like("_text", F.lit(r"\{|[：:=][^：:=]*[：:=]"))
     rows = rows.withColumn("_f", _fields(F.when(maybe, F.col("_text"))))
     plain = F.lower(F.regexp_replace("_text", r"[^\p{L}\p{N}]+", ""))
     form: Column = F.when(F.col("_mode") == "exact", F.col("_text")).otherwise(F.coalesce("_f.form", plain))

@@ -71,6 +71,12 @@ def test_copies_by_mode(spark):
     assert copies.collapse_copies(df.limit(0), pol)[1].count() == 0
 
 
+def test_fields_behind_breaks_and_rules(spark):
+    rows = [(1, "name：甲\nplace：乙", "s"), (2, "\n\nplace: 乙\nname: 甲", "s"), (3, "-----\nplace: 乙\nname: 甲", "s"), (4, " " * 50 + "place: 乙\nname: 甲", "s"), (5, "\u200b\n" + '{"place": "乙", "name": "甲"}', "s"), (6, "\n甲 乙", "s")]
+    pol = spark.createDataFrame([("s", "normalized")], "source string, dedupe_mode string")
+    assert got(copies.collapse_copies(spark.createDataFrame(rows, "record_id bigint, text string, source string"), pol)[1]) == [(1, 2), (1, 3), (1, 4), (1, 5)]
+
+
 def test_prose_with_colons_is_no_record():
     assert copies.parse("甲：今天天气很好。我们去公园。\n乙：好的。") is None and copies.parse("{broken") is None
     assert copies.parse("a：1\na：2") is None
