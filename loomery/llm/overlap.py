@@ -33,7 +33,7 @@ def _norm(c: str) -> Column:
 
 def _length_class(n):
     """Lengths in steps of 2 %: pairs lie at most 6 classes apart."""
-    return np.floor(np.log1p(n) * 50).astype(np.int64)
+    return np.floor(np.log1p(np.maximum(n, 0)) * 50).astype(np.int64)  # the shortest length that may match can lie below 0
 
 
 def near(a: str, b: str) -> bool:

@@ -145,6 +145,15 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.overlap_pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_of_symbols_alone(spark):
+    assert overlap._length_class(np.array([-1, 0])).tolist() == [0, 0]
+    rows = [(1, "train", "……", "？！"), (2, "validation", "。", "——"), (3, "train", "a", "！"), (4, "test", "A。", "？"), (5, "test", "b", "？"), (6, "train", "甲乙丙丁", "。")]
+    df = spark.createDataFrame([(*r, "o") for r in rows], "pair_id bigint, split string, source string, target string, origin string")
+    assert got(overlap.overlap_pairs(df)) == [(1, 2), (3, 4)]
+    assert got(overlap.overlap_pairs(df.filter("pair_id < 3"))) == [(1, 2)]
+    assert got(overlap.overlap_report(df)) == [("test", "o", 2, 1), ("validation", "o", 1, 1)]
+
+
 def test_many_shards_give_the_same(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/pair_records.parquet")
     one = got(overlap.overlap_pairs(df))
