@@ -106,23 +106,69 @@ def _aligned(parts: list[str], text: str) -> float:
     return got / sum(map(len, parts))
 
 
+def _clues(parts: list[str]) -> list[list[str]]:
+    """For each part that a text can't lack, bits one of which stands in every text the template aligns with."""
+    lost = sum(map(len, parts)) // 10
+    cut = 2 * lost + 2  # letters lost and letters in between each spoil one bit
+    out = []
+    for p in parts:
+        if lost < len(p) < 6:
+            out.append([p])
+        elif len(p) >= max(6, cut):
+            out.append([p[len(p) * i // cut : len(p) * (i + 1) // cut] for i in range(cut)])
+    return out
+
+
+_CLUES = [_clues(t) for t in _TEMPLATES]
+#: Letters that the parts of a template stand within; longer texts are looked at in stretches.
+NEAR = 260
+
+
+def _stretches(text: str) -> list[str]:
+    """Every two sentences one after the other in their plain form; longer ones in overlapping stretches of NEAR letters."""
+    own = [x for x in (plain(p) for p in re.split(r"[。！？!?；;\n]+|\.(?=\s|\Z)", text)) if x]
+    out = []
+    for x in [a + b for a, b in zip(own, own[1:])] or own:
+        out += [x] if len(x) <= NEAR else [x[i : i + NEAR] for i in range(0, len(x) - NEAR // 2, NEAR // 2)]
+    return out
+
+
+def _refuses(text: str, templates: list[list[str]], of: str) -> bool:
+    """The text aligns with a template and says little of the source."""
+    simple = text.translate(SIMPLE)
+    if not any(_aligned(t, simple) >= 0.9 for t in templates):
+        return False
+    latin = sum("a" <= c <= "z" for c in text) > len(text) / 2
+    own = shingles(text, 8 if latin else 4)
+    return not own or len(own & shingles(of, 8 if latin else 4)) <= 0.4 * len(own)
+
+
 def is_refusal(source: str | None, target: str) -> bool:
-    """A short text that aligns with a template of refusals and says little of the source."""
+    """A text that aligns with a template of refusals and says little of the source.
+
+    A source given back whole is left out. In a text of more than NEAR letters a template must stand within two
+    sentences, which say little of the source; behind the first NEAR letters a template that the source aligns with
+    doesn't count, for then the source's own words are reported.
+    """
     body = re.split(r"\n\s*(?:原文|Original|Source|Text)\s*[:：]", target)[0]
     bare = re.sub(r"[“\"「『][^”\"」』]{0,200}[”\"」』]", "", body)  # what others are quoted with
+    of = plain(source) if source is not None else ""
     text = plain(bare)
     if not text or len(text) < 4:
-        text = plain(body)
-    if len(text) > 260:
-        return False
+        bare, text = body, plain(body)
+    if len(text) <= NEAR:
+        return _refuses(text, _TEMPLATES, of)
     simple = text.translate(SIMPLE)
-    if not any(_aligned(t, simple) >= 0.9 for t in _TEMPLATES):
+    may = [t for t, clues in zip(_TEMPLATES, _CLUES) if all(any(c in simple for c in part) for part in clues)]
+    if not may:
         return False
-    if source is None:
-        return True
-    latin = sum("a" <= c <= "z" for c in text) > len(text) / 2
-    own = shingles(text, 8 if latin else 4)
-    return not own or len(own & shingles(plain(source), 8 if latin else 4)) <= 0.4 * len(own)
+    if len(of) >= 20 and of in text:
+        rest = text.replace(of, "")
+        if len(rest) <= NEAR:
+            return _refuses(rest, may, of)
+    own = of.translate(SIMPLE)
+    later = [t for t in may if _aligned(t, own) < 0.9]
+    return any(_refuses(x, may if x in text[: 2 * NEAR] and text.find(x) <= NEAR else later, of) for x in _stretches(bare))
 
 
 def is_copied(source: str, target: str) -> bool:

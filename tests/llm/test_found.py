@@ -180,6 +180,28 @@ def test_refusal(target, want):
     assert defects.is_refusal(S, target) == want
 
 
+LONG = "I'm sorry, but I can't help with rewriting the passage that you have sent to me today. I would suggest that you look for another tool which is made for this kind of work, or that you ask a colleague who knows the subject well. If you like, please share another passage with me, and I will gladly have a look at it and tell you whether it is something that I am able to work on for you."
+
+
+@pytest.mark.parametrize("source, target, want", [
+    (S, LONG, True), (None, LONG, True), (S, "谢谢您的来信，我仔细读过了这一段文字。" * 18 + "很抱歉，我无法改写这段内容。", True),
+    (S * 8, "抱歉，我无法改写这段内容：" + S * 8, True), (S, "终端识别不了支座，工人们今天去现场检查线路，下午再试一次。" * 12, False),
+    ("他说很抱歉，我无法改写这段内容，然后就走了。" + S, "大家在会上谈了很久，谁也没有想出办法来。" * 30 + "最后他说，很抱歉，我无法改写这段内容，于是走了。", False),
+])
+def test_long_refusals(source, target, want):
+    assert len(defects.plain(target)) > 260 and defects.is_refusal(source, target) == want
+
+
+def test_clues_stand_in_every_aligned_text():
+    rng = random.Random(6)
+    for t, clues in zip(defects._TEMPLATES, defects._CLUES):
+        for _ in range(60):
+            text = "甲乙丙".join(t)
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", "丁", "xy"]) + text[i + rng.randint(0, 2) :]
+            assert defects._aligned(t, text) < 0.9 or all(any(c in text for c in part) for part in clues)
+
+
 def test_copies_and_languages():
     assert defects.is_copied(S, "改写：" + S.replace("，", " ")) and defects.is_copied(S, S * 2) and defects.is_copied(S, S.replace("桥", "乔"))
     assert not defects.is_copied(S, "Za-847终端暂时无法识别桥梁支座。") and not defects.is_copied(S, S[:30])
