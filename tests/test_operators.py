@@ -190,3 +190,9 @@ def test_every_character_has_its_id(spark, tmp_path):
     docs = spark.createDataFrame([(1, "bab"), (2, None), (3, "b😀?")], "id int, t string")
     vocabulary = tokens.char_vocabulary(docs.filter("id < 3"), "t", None)
     assert {r.id: r.tokens for r in tokens.encode_chars(docs, vocabulary, "id", "t").collect()} == {1: [1, 4, 5, 4, 2], 2: [1, 2], 3: [1, 4, 3, 3, 2]}
+
+
+def test_simhash_query_gives_the_members(spark, tmp_path):
+    spark.createDataFrame([(5, "河水在清晨缓缓流过古老的石桥"), (7, "河水在清晨，缓缓流过古老的石桥。"), (8, None)], "record_id bigint, text string").write.parquet(f"{tmp_path}/text_records.parquet")
+    got = cleaning.simhash_near_dup(spark, str(tmp_path)).select("record_id", "class_id", "duplicate")
+    assert rows(got) == [(5, 5, False), (7, 5, True)]
