@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import blocks, codepoints
+from .bpe import LETTER, blocks, classes, codepoints
 
 DIMS = 1 << 15
 SYNTAX = 8
@@ -55,7 +55,7 @@ def features(cp: np.ndarray, first: np.ndarray, of: np.ndarray):
     han = (cp >= 0x3400) & (cp <= 0x9FFF) | (cp >= 0x20000)
     digit = (cp >= 0x30) & (cp <= 0x39)
     small = (cp >= 0x61) & (cp <= 0x7A) | (cp >= 0xC0) & (cp < 0x2000)
-    letter = han | small | (cp >= 0x3041) & (cp <= 0x30FF) | (cp >= 0xAC00) & (cp <= 0xD7A3)
+    letter = classes()[cp] == LETTER
     c[digit] = 0x30
     with np.errstate(over="ignore"):
         two = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,7 +81,7 @@ def features(cp: np.ndarray, first: np.ndarray, of: np.ndarray):
 def document_vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A document as the letter-weighted mean of its sentences: places and values; syntax after the n-grams."""
     cp, _, first, of = sentences([text])
-    if len(cp) < 2:
+    if not len(cp):
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     index, _, size, syntax = features(cp, first, of)
     hot, many = np.unique(index, return_counts=True)
@@ -127,7 +127,7 @@ def isotonic(score: np.ndarray, value: np.ndarray, weight: np.ndarray) -> tuple[
 def sentence_scores(w: np.ndarray, texts: list[str]):
     """Text number, score and letters of every sentence that has letters."""
     cp, text, first, of = sentences(texts)
-    if len(cp) < 2:
+    if not len(cp):
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     index, sent, size, syntax = features(cp, first, of)
     k = len(first)

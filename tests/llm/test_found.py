@@ -250,6 +250,13 @@ def test_levels(spark, sf):
     assert set(r.grade for r in reading.reading_levels(df, lab.limit(0)).collect()) == {2}
 
 
+def test_letters_of_any_script_count():
+    w = np.zeros(reading.DIMS + reading.SYNTAX)
+    texts = ["ＡＢＣ　ｄｅｆ", "ㄅㄆㄇ", "ꀀꀁ", "豈更", "12！"]
+    assert set(reading.sentence_scores(w, texts)[0].tolist()) == {0, 1, 2, 3}
+    assert reading.sentence_scores(w, ["字"])[0].tolist() == [0] and reading.sentence_scores(w, [""])[0].tolist() == []
+
+
 def test_isotonic():
     step, value = reading.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([2.0, 1.0, 3.0, 5.0]), np.ones(4))
     assert step.tolist() == [1, 2, 4] and value.tolist() == [1, 2.5, 5]
