@@ -1,15 +1,15 @@
-"""A compressed full-text index over a shard of texts: wavelet matrix of the BWT, with backward search."""
+"""A compressed full-text index over a shard of texts: wavelet matrix of the BWT, sampled suffix places, backward search."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Suffixes are sorted by so many symbols; patterns may not be longer.
-DEPTH = 16
 LEVELS = 8
-
-
-KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "place": np.int32, "starts": np.int64}
+#: Every so many places of the text, and each field's first, are stored; the others are reached in as many steps at most.
+RATE = 4
+#: Stretches of so many symbols are noted in a bitmap; a pattern whose first stretch isn't there can't match.
+GRAM = 8
+KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "two": np.int32, "marks": np.uint64, "mark_ranks": np.uint32, "places": np.int32, "starts": np.int64, "grams": np.uint64}
 
 
 def symbols(cp: np.ndarray) -> np.ndarray:
@@ -18,35 +18,83 @@ def symbols(cp: np.ndarray) -> np.ndarray:
         return (((cp.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(255) + 1).astype(np.uint8)
 
 
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The places of all suffixes in order: by eight symbols first, then rows still tied by doubled lengths."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int32)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        np.left_shift(key, np.uint64(8), out=key)
+        np.bitwise_or(key, padded[j : j + n], out=key)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    del key, padded
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    rows = np.flatnonzero(tied)
+    h = 8
+    while len(rows):
+        at = order[rows].astype(np.int64)
+        # a suffix that ends within h symbols stands before those that go on, the shortest first
+        after = np.where(at + h < n, rank[np.minimum(at + h, n - 1)].astype(np.int64) + h + 1, n - at)
+        both = rank[at].astype(np.int64) * (n + h + 1) + after
+        by = np.argsort(both, kind="stable")
+        both = both[by]
+        order[rows] = at[by]
+        new = np.ones(len(rows), bool)
+        new[1:] = both[1:] != both[:-1]
+        rank[order[rows]] = np.maximum.accumulate(np.where(new, rows, 0))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        rows = rows[tied]
+        h *= 2
+    return order
+
+
+def _bits(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags in words of 64, and the number of set ones before each word."""
+    packed = np.packbits(np.concatenate([flags, np.zeros(-len(flags) % 64 + 64, flags.dtype)]), bitorder="little").view(np.uint64)
+    return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))[:-1]]).astype(np.uint32)
+
+
+def _gram_places(text: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(GRAM):
+            h = (h ^ text[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h >> np.uint64(64 - bits)
+
+
 class Index:
     """Search of a concatenation of fields, each closed by the symbol 0."""
 
-    def __init__(self, words: np.ndarray, ranks: np.ndarray, zeros: np.ndarray, shift: np.ndarray, place: np.ndarray, starts: np.ndarray):
-        self.words, self.ranks, self.zeros, self.shift, self.place = words, ranks, zeros, shift, place
-        self.starts = starts
-        self.n = len(place)
-        # the field of each row, from the place of its suffix in the text
-        self.field = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, self.n)))[place]
+    def __init__(self, **own: np.ndarray):
+        for k in KINDS:
+            setattr(self, k, own[k])
+        self.words, self.ranks = self.words.reshape(LEVELS, -1), self.ranks.reshape(LEVELS, -1)
+        self.n = int(self.two[-1])
+        self.gram_bits = 6 + (len(self.grams) - 1).bit_length()
 
     @classmethod
     def build(cls, text: np.ndarray, starts: np.ndarray) -> Index:
         """text: symbols with a 0 after each field; starts: where the fields begin."""
         n = len(text)
-        padded = np.concatenate([text, np.zeros(DEPTH, np.uint8)])
-        key = np.zeros(n + 8, np.uint64)
-        for j in range(8):
-            np.left_shift(key, np.uint64(8), out=key)
-            np.bitwise_or(key, padded[j : j + n + 8], out=key)
-        order = np.lexsort((key[8 : n + 8], key[:n])).astype(np.int32)
-        del key, padded
+        order = suffix_order(text)
         bwt = text[order - 1]
         words, ranks, zeros = [], [], []
         level = bwt
         for b in range(LEVELS - 1, -1, -1):
             bit = (level >> np.uint8(b)) & np.uint8(1)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-n % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
+            packed, before = _bits(bit)
             words.append(packed)
-            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))[:-1]]).astype(np.uint32))
+            ranks.append(before)
             one = bit.astype(bool)
             zeros.append(int(n - one.sum()))
             level = np.concatenate([level[~one], level[one]])
@@ -56,42 +104,93 @@ class Index:
         begin = np.zeros(256, np.int64)
         some, at = np.unique(level, return_index=True)
         begin[some] = at
-        return cls(np.array(words), np.array(ranks), np.array(zeros, np.int64), (first - begin).astype(np.int64), order, starts.astype(np.int64))
+        # rows by their first two symbols, where every search begins
+        pairs = np.bincount(text.astype(np.int64) * 256 + np.append(text[1:], 0), minlength=65536) if n else np.zeros(65536, np.int64)
+        two = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int32)
+        kept = np.zeros(n, bool)
+        kept[::RATE] = True
+        kept[starts[starts < n]] = True
+        marked = kept[order]
+        marks, mark_ranks = _bits(marked.astype(np.uint8))
+        bits = max(10, (8 * n).bit_length())
+        grams = np.zeros(1 << (bits - 6), np.uint64)
+        if n >= GRAM:
+            place = np.unique(_gram_places(text, np.arange(n - GRAM + 1), bits))
+            np.bitwise_or.at(grams, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        return cls(
+            words=np.array(words), ranks=np.array(ranks), zeros=np.array(zeros, np.int64), shift=(first - begin).astype(np.int64), two=two,
+            marks=marks, mark_ranks=mark_ranks, places=order[marked], starts=starts.astype(np.int64), grams=grams,
+        )
+
+    def _ones(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Set bits of a level before each place, and the bit at it."""
+        w = at >> 6
+        word, off = self.words[level][w], (at & 63).astype(np.uint64)
+        return self.ranks[level][w].astype(np.int64) + np.bitwise_count(word & ((np.uint64(1) << off) - np.uint64(1))), (word >> off) & np.uint64(1)
 
     def extend(self, sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of each pattern with one symbol more in front."""
         both = np.concatenate([lo, hi])
         code = np.concatenate([sym, sym]).astype(np.int64)
         for level in range(LEVELS):
-            w = both >> 6
-            part = self.words[level][w] & ((np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.ranks[level][w].astype(np.int64) + np.bitwise_count(part)
+            ones, _ = self._ones(level, both)
             both = np.where((code >> (LEVELS - 1 - level)) & 1, self.zeros[level] + ones, both - ones)
         both += self.shift[code]
         return both[: len(lo)], both[len(lo) :]
 
-    def search(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows [lo, hi) that match text[from:end] of each pattern, and from: the match is carried leftwards
-        to the pattern's begin, or until at most one row is left."""
-        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
-        at = end.astype(np.int64).copy()
-        stop = np.maximum(begin, end - DEPTH)
-        live = np.flatnonzero(at > stop)
+    def may_stand(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each pattern's first symbols are in the bitmap; patterns shorter than GRAM always may."""
+        ok = np.ones(len(begin), bool)
+        long = np.flatnonzero(end - begin >= GRAM)
+        place = _gram_places(text, begin[long], self.gram_bits)
+        ok[long] = (self.grams[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+        return ok
+
+    def search(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) that begin with text[begin:end], for each pattern; none for an empty pattern."""
+        lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        live = np.flatnonzero(end > begin)
+        live = live[self.may_stand(text, begin[live], end[live])]
+        at = end.astype(np.int64) - 2
+        one = at < begin
+        first = np.where(one, text[np.minimum(end - 1, max(0, len(text) - 1))] if len(text) else 0, 0).astype(np.int64)
+        code = first * 256
+        many = live[~one[live]]
+        code[many] = text[at[many]].astype(np.int64) * 256 + text[at[many] + 1]
+        lo[live], hi[live] = self.two[code[live]], self.two[np.where(one[live], code[live] + 256, code[live] + 1)]
+        live = many[hi[many] > lo[many]]
+        live = live[at[live] > begin[live]]
         while len(live):
             at[live] -= 1
             lo[live], hi[live] = self.extend(text[at[live]], lo[live], hi[live])
-            live = live[(at[live] > stop[live]) & (hi[live] - lo[live] > 1)]
-        return lo, np.maximum(hi, lo), at
+            live = live[(at[live] > begin[live]) & (hi[live] > lo[live])]
+        return lo, np.maximum(hi, lo)
 
-    def offset(self, rows: np.ndarray) -> np.ndarray:
-        """How far into its field each row's suffix begins."""
-        return self.place[rows] - self.starts[self.field[rows]]
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the text each row's suffix begins: back to the nearest stored place."""
+        at, steps = rows.astype(np.int64).copy(), np.zeros(len(rows), np.int64)
+        live = np.arange(len(rows))
+        while len(live):
+            r = at[live]
+            live = live[(self.marks[r >> 6] >> (r & 63).astype(np.uint64)) & np.uint64(1) == 0]
+            r, code = at[live], np.zeros(len(live), np.int64)
+            for level in range(LEVELS):
+                ones, bit = self._ones(level, r)
+                code = code << 1 | bit.astype(np.int64)
+                r = np.where(bit == 1, self.zeros[level] + ones, r - ones)
+            at[live] = r + self.shift[code]
+            steps[live] += 1
+        w = at >> 6
+        before = np.bitwise_count(self.marks[w] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        return self.places[self.mark_ranks[w].astype(np.int64) + before] + steps
+
+    def field(self, places: np.ndarray) -> np.ndarray:
+        """The field that holds each place."""
+        return np.searchsorted(self.starts, places, "right") - 1
 
     def pack(self) -> dict[str, bytes]:
-        return {k: np.ascontiguousarray(getattr(self, k)).tobytes() for k in KINDS}
+        return {k: np.ascontiguousarray(getattr(self, k)).astype(t, copy=False).tobytes() for k, t in KINDS.items()}
 
     @classmethod
     def unpack(cls, d: dict[str, bytes]) -> Index:
-        own = {k: np.frombuffer(d[k], t) for k, t in KINDS.items()}
-        own["words"], own["ranks"] = own["words"].reshape(LEVELS, -1), own["ranks"].reshape(LEVELS, -1)
-        return cls(**own)
+        return cls(**{k: np.frombuffer(d[k], t) for k, t in KINDS.items()})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -13,27 +13,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_dir
 from .bpe import codepoints
 from .common import plain_key
-from .fmindex import Index, symbols
+from .fmindex import KINDS, Index, symbols
 
-#: Symbols of one index shard; its build and its size in memory follow from it.
-SHARD_SYMBOLS = 8_000_000
+#: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give each core two shards, down to LEAST.
+MOST_SYMBOLS, LEAST_SYMBOLS = 8_000_000, 400_000
+#: Training symbols of one task.
+TASK_SYMBOLS = 20_000_000
 #: One character in so many of the longer text may differ.
 ONE_IN = 10
 #: Training texts searched together, and hits looked at together.
-SEARCH_ROWS, HITS = 1000, 500_000
+SEARCH_ROWS, HITS = 2000, 500_000
+#: Hits of a text's first field from which the other field is searched as well.
+MANY_HITS = 200
+#: Tasks that the members of one class are spread over.
+SALTS = 16
 _BINS = 64
+#: Length classes of sources (coarse, they name folders) and of targets. Near texts lie at most one and three classes apart.
+_SOURCE_STEPS, _TARGET_STEPS = 5, 20
 
 
 def _norm(c: str) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
-def _length_class(n):
-    """Lengths in steps of 2 %: pairs lie at most 6 classes apart."""
-    return np.floor(np.log1p(np.maximum(n, 0)) * 50).astype(np.int64)  # the shortest length that may match can lie below 0
+def _length_class(c: str, steps: int) -> Column:
+    return F.floor(F.log1p(F.length(c)) * steps).cast("int")
 
 
 def near(a: str, b: str) -> bool:
@@ -98,7 +105,7 @@ def _build(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-_INDEX = "shard int, words binary, ranks binary, zeros binary, shift binary, place binary, starts binary, keys binary, texts binary, lengths binary"
+_INDEX = "shard int, " + ", ".join(f"{k} binary" for k in KINDS) + ", keys binary, texts binary, lengths binary"
 
 
 class Shard:
@@ -108,25 +115,35 @@ class Shard:
         self.length = np.frombuffer(row["lengths"], np.int32).reshape(-1, 2).astype(np.int64)
         self.text = row["texts"].decode()
         self.at = np.concatenate([[0], np.cumsum(self.length.ravel())])
-        self.hist = np.concatenate([self._counts(a, a + 2000) for a in range(0, 2 * len(self.keys), 2000)]).reshape(-1, 2, _BINS)
-
-    def _counts(self, a: int, b: int) -> np.ndarray:
-        at = self.at[a : b + 1]
-        return _histograms(np.frombuffer(self.text[at[0] : at[-1]].encode("utf-32-le", "surrogatepass"), np.uint32), at - at[0])
+        self.least, self.most = (self.length.min(0), self.length.max(0)) if len(self.length) else (np.zeros(2), np.zeros(2))
 
     def field(self, i: int, f: int) -> str:
         return self.text[self.at[2 * i + f] : self.at[2 * i + f + 1]]
 
+    def may_match(self, length: np.ndarray) -> np.ndarray:
+        """Which texts have, in both fields, a length near one of the shard's."""
+        return ((length * ONE_IN >= self.least * (ONE_IN - 1)) & (length * (ONE_IN - 1) <= self.most * ONE_IN)).all(1)
+
+
+def load_shard(path: str, shard: int) -> Shard | None:
+    """A shard of the index from the folder all executors share; None if no class fell into it."""
+    for file in _dataset([f"{path}/shard={shard}"]):
+        found = Shard(file.to_table().to_pylist()[0])
+        pa.default_memory_pool().release_unused()
+        return found
+    return None
+
 
-@functools.lru_cache(maxsize=1)
-def load_shard(path: str, shard: int) -> Shard:
-    """A shard of the index from the folder all executors share, kept by the worker."""
+def _dataset(folders: list[str]):
+    """The Parquet files in folders of the shared file system, each as a dataset of its own."""
     import pyarrow.dataset as ds
     import pyarrow.fs
 
-    fs, root = pyarrow.fs.FileSystem.from_uri(path)
-    found = Shard(ds.dataset(root, format="parquet", filesystem=fs).to_table(filter=ds.field("shard") == shard).to_pylist()[0])
-    pa.default_memory_pool().release_unused()
+    found = []
+    for folder in folders:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+        found += [ds.dataset(f.path, format="parquet", filesystem=fs) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".parquet")]
     return found
 
 
@@ -139,22 +156,52 @@ def _pieces(lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[text] + n * k // np.maximum(p, 1), at[text] + n * (k + 1) // np.maximum(p, 1), text
 
 
-def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> list[tuple[bytes, bytes]]:
-    """Pairs of a training class and a class of the shard that are nearly the same in both fields."""
+def matched_spans(a: np.ndarray, b: np.ndarray, off: list[int], width: int) -> tuple[int, int]:
+    """(spans, covered): the maximal matches of at least ``width`` letters on the diagonals given, merged in ``a``."""
+    hit = np.zeros(len(a), bool)
+    for d in set(off):  # a[i] stands against b[i + d]
+        lo, hi = max(0, -d), min(len(a), len(b) - d)
+        if hi - lo < width:
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (a[lo:hi] == b[lo + d : hi + d]).astype(np.int8), [0]])))
+        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if y - x >= width:
+                hit[lo + x : lo + y] = True
+    return int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum()), int(hit.sum())
+
+
+def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> list[tuple[bytes, bytes, int, int]]:
+    """(training key, evaluation key, spans, covered) of classes that are nearly the same in both fields.
+
+    Either field is complete by itself: the shorter one that isn't empty is searched, the other one as well where
+    the first has many hits, and the field with fewer hits gives the candidates.
+    """
     n = len(keys)
     fields = [codepoints(s), codepoints(t)]
     length = np.stack([np.diff(at) for _, at in fields], 1)
-    found = []
-    for cp, at in fields:
-        begin, end, text = _pieces(np.diff(at), at)
-        lo, hi, start = sh.index.search(symbols(cp), begin, end)
-        found.append((lo, hi, start - at[text], text, np.bincount(text, weights=hi - lo, minlength=n)))
-    # the field with fewer hits; either is complete by itself
-    cost = np.stack([np.where(length[:, f] > 0, found[f][4], np.inf) for f in (0, 1)], 1)
-    take = np.where(np.isinf(cost).all(1), -1, cost.argmin(1))
-    pairs = []
-    for f, (lo, hi, off, text, _) in enumerate(found):
-        use = np.flatnonzero((take[text] == f) & (hi > lo))
+    found: list = [None, None]
+
+    def look(f: int, which: np.ndarray) -> np.ndarray:
+        cp, at = fields[f]
+        begin, end, text = _pieces(np.where(which, length[:, f], 0), at)
+        lo, hi = sh.index.search(symbols(cp), begin, end)
+        hit = np.flatnonzero(hi > lo)
+        own = (lo[hit], hi[hit], begin[hit] - at[text[hit]], text[hit])
+        found[f] = own if found[f] is None else tuple(np.concatenate(x) for x in zip(found[f], own))
+        return np.bincount(own[3], weights=own[1] - own[0], minlength=n)
+
+    use_t = (length[:, 1] > 0) & ((length[:, 1] <= length[:, 0]) | (length[:, 0] == 0))
+    use_s = ~use_t & (length[:, 0] > 0)
+    hits = np.stack([look(0, use_s), look(1, use_t)], 1)
+    take = np.where(use_t, 1, np.where(use_s, 0, -1))
+    for f in (0, 1):
+        again = (take == 1 - f) & (hits[:, 1 - f] > MANY_HITS) & (length[:, f] > 0) & (hits[:, f] == 0)
+        if again.any():
+            hits[:, f] += look(f, again)
+            take = np.where(again & (hits[:, f] < hits[:, 1 - f]), f, take)
+    pairs = [[], []]
+    for f, (lo, hi, off, text) in enumerate(found):
+        use = np.flatnonzero(take[text] == f)
         step = np.cumsum(hi[use] - lo[use])
         a = 0
         while a < len(use):
@@ -165,47 +212,67 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
             many = hi[own] - lo[own]
             which = np.repeat(own, many)
             rows = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[own], many)
-            d = sh.index.field[rows]
-            doc, x = d >> 1, text[which]
+            place = sh.index.locate(rows)
+            d = sh.index.field(place)
+            doc, x, shift = d >> 1, text[which], place - sh.index.starts[d] - off[which]
             here = np.maximum(length[x, f], sh.length[doc, f]) // ONE_IN
-            ok = ((d & 1) == f) & (np.abs(sh.index.offset(rows) - off[which]) <= here)
-            doc, x = doc[ok], x[ok]
+            ok = ((d & 1) == f) & (np.abs(shift) <= here)
+            doc, x, shift = doc[ok], x[ok], shift[ok]
             for g in (0, 1):
                 ok = np.abs(length[x, g] - sh.length[doc, g]) * ONE_IN <= np.maximum(length[x, g], sh.length[doc, g])
-                doc, x = doc[ok], x[ok]
-            pairs.append(x * len(sh.keys) + doc)
-    if not pairs:
-        return []
-    pair = np.unique(np.concatenate(pairs))  # spans of one pair merged
-    x, doc = pair // len(sh.keys), pair % len(sh.keys)
-    hist = np.stack([_histograms(cp, at) for cp, at in fields], 1)
-    keep = []
-    for a in range(0, len(x), 50_000):
-        i, j = x[a : a + 50_000], doc[a : a + 50_000]
-        most = np.maximum(length[i], sh.length[j]) // ONE_IN
-        keep.append((np.abs(hist[i] - sh.hist[j]).sum(2, dtype=np.int64) <= 2 * most).all(1))
-    ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+                doc, x, shift = doc[ok], x[ok], shift[ok]
+            pairs[f].append(np.stack([x, doc, shift]))
     out = []
-    for i, j in zip(x[ok].tolist(), doc[ok].tolist()):
-        if near(t[i], sh.field(j, 1)) and near(s[i], sh.field(j, 0)):
-            out.append((keys[i], sh.keys[j]))
+    for f in (0, 1):
+        if not pairs[f]:
+            continue
+        x, doc, shift = np.concatenate(pairs[f], 1)
+        order = np.lexsort((doc, x))
+        x, doc, shift = x[order], doc[order], shift[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)  # hits merged by pair; each keeps its diagonals
+        last = np.append(first[1:], len(x))
+        for a in range(0, len(first), 20_000):
+            i, j = x[first[a : a + 20_000]], doc[first[a : a + 20_000]]
+            keep = np.ones(len(i), bool)
+            for g in (0, 1):
+                some_i, at_i = np.unique(i, return_inverse=True)
+                some_j, at_j = np.unique(j, return_inverse=True)
+                left = _histograms(*codepoints([(s, t)[g][k] for k in some_i.tolist()]))
+                right = _histograms(*codepoints([sh.field(k, g) for k in some_j.tolist()]))
+                most = np.maximum(length[i, g], sh.length[j, g]) // ONE_IN
+                keep &= np.abs(left[at_i] - right[at_j]).sum(1, dtype=np.int64) <= 2 * most
+            for k in np.flatnonzero(keep).tolist():
+                p, q = int(i[k]), int(j[k])
+                if near(t[p], sh.field(q, 1)) and near(s[p], sh.field(q, 0)):
+                    own = (s, t)[f][p]
+                    cp, _ = codepoints([own])
+                    other, _ = codepoints([sh.field(q, f)])
+                    width = len(own) // (len(own) // (ONE_IN - 1) + 1)
+                    out.append((keys[p], sh.keys[q], *matched_spans(cp, other, shift[first[a + k] : last[a + k]].tolist(), max(1, width))))
     return out
 
 
+_LINKS = "train_key binary, eval_key binary, spans int, covered int"
+
+
 def near_overlaps(pairs: DataFrame, id_col: str = "pair_id") -> tuple[DataFrame, DataFrame]:
     """(links, members): links between classes of equal records, and which record is in which class.
 
-    links has (train_key, eval_key): every two classes, one with records in train and the other with records
-    in validation or test, whose sources and targets are the same or nearly so: letter case and everything
-    but letters and digits aside, at most one character in ten of the longer text differs. members has
-    (key, id, evaluation, split). Rows whose source or target is null or blank, and rows of other splits,
+    links has (train_key, eval_key, spans, covered): every two classes, one with records in train and the other with
+    records in validation or test, whose sources and targets are the same or nearly so: letter case and everything
+    but letters and digits aside, at most one character in ten of the longer text differs. spans counts the merged
+    maximal matches found in the field searched, covered their letters (0 and 0 for equal records without a letter).
+    members has (key, id, evaluation, split). Rows whose source or target is null or blank, and rows of other splits,
     don't count. Splits are compared trimmed and in lower case. A pair of classes comes once.
 
-    Evaluation texts are grouped by length into shards of at most SHARD_SYMBOLS symbols, and each shard is
-    indexed. Training texts stream through backward search of the shards whose lengths can match. Of a text
-    with k edits at most, k + 1 disjoint pieces are searched, one of which must stand unchanged; the rows
-    found give spans, which are merged by pair and checked by the letters' counts and by edit distance.
+    Evaluation texts are grouped by the lengths of source and target into shards, and each shard is indexed. Training
+    texts lie in files by length; a task loads one shard and streams the files whose lengths can match through
+    backward search of it. Of a text with k edits at most, k + 1 disjoint pieces are searched, one of which must stand
+    unchanged; hits are merged by pair and checked by the letters' counts and by edit distance.
     """
+    spark = pairs.sparkSession
     split = plain_key("split")
     blank = r"\A[\s\p{Z}\p{C}]*\z"
     rows = pairs.filter(split.isin("train", "validation", "test") & F.col("source").isNotNull() & F.col("target").isNotNull())
@@ -213,56 +280,74 @@ def near_overlaps(pairs: DataFrame, id_col: str = "pair_id") -> tuple[DataFrame,
     rows = rows.select(F.col(id_col).alias("id"), split.alias("split"), (split != "train").alias("evaluation"), _norm("source").alias("s"), _norm("target").alias("t"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.concat("s", F.lit("\1"), "t"))))
     members = materialize(rows.select("key", "id", "evaluation", "split"), "members")
-    classes = materialize(rows.groupBy("evaluation", "key").agg(F.first("s").alias("s"), F.first("t").alias("t")), "classes")
-
-    total = F.length("s") + F.length("t")
-    bucket = F.floor(F.log1p(total) * 50).cast("int")
-    ev = classes.filter("evaluation").withColumn("bucket", bucket)
-    sizes = ev.groupBy("bucket").agg(F.sum(total + 2).alias("n")).orderBy("bucket").collect()  # at most a few hundred classes of length
-    shards, of_bucket, used = 0, {}, 0
-    for b, n in sizes:
-        if used and used + n > SHARD_SYMBOLS:
+    path = f"{shared_dir(spark)}/loomery-overlap-{uuid.uuid4().hex}"
+    classes = rows.groupBy("evaluation", "key").agg(F.first("s").alias("s"), F.first("t").alias("t"))
+    classes.withColumn("sc", _length_class("s", _SOURCE_STEPS)).write.partitionBy("evaluation", "sc").parquet(f"{path}/classes")
+    classes = spark.read.schema("key binary, s string, t string, evaluation boolean, sc int").parquet(f"{path}/classes").withColumn("tc", _length_class("t", _TARGET_STEPS))
+
+    size = F.length("s") + F.length("t") + 2
+    cells = classes.groupBy("evaluation", "sc", "tc").agg(F.sum(size).alias("n")).orderBy("evaluation", "sc", "tc").collect()  # classes of length: a few hundred
+    ev, train = ({(r.sc, r.tc): r.n for r in cells if r.evaluation == e} for e in (True, False))
+    if not ev or not train:
+        return spark.createDataFrame([], _LINKS), members
+    most = max(LEAST_SYMBOLS, min(MOST_SYMBOLS, sum(ev.values()) // (2 * spark.sparkContext.defaultParallelism)))
+    plan: list[tuple[int, int, int, int]] = []  # source class, target class, first shard, shards
+    shards, used = 0, 0
+    for (sc, tc), n in ev.items():
+        if used and (used + n > most or sc != plan[-1][0]):
             shards, used = shards + 1, 0
-        parts = max(1, math.ceil(n / SHARD_SYMBOLS))
-        of_bucket[b] = list(range(shards, shards + parts))
-        shards, used = shards + parts - 1, used + n if parts == 1 else SHARD_SYMBOLS
-    if not of_bucket:
-        empty = classes.sparkSession.createDataFrame([], "train_key binary, eval_key binary")
-        return empty, members
-    plan = F.create_map(*(F.lit(v) for b, own in of_bucket.items() for v in (b, own[0])))
-    width = F.create_map(*(F.lit(v) for b, own in of_bucket.items() for v in (b, len(own))))
-    shard = (plan[F.col("bucket")] + F.pmod(F.xxhash64("key"), width[F.col("bucket")])).cast("int")
-    index = materialize(ev.withColumn("shard", shard).select("shard", "key", "s", "t").groupBy("shard").applyInPandas(_build, _INDEX), "index")
-    path = index.inputFiles()[0].rsplit("/", 1)[0]
+        parts = max(1, math.ceil(n / most))
+        plan.append((sc, tc, shards, parts))
+        shards, used = shards + parts - 1, used + n if parts == 1 else most
+    of = F.broadcast(spark.createDataFrame(plan, "sc int, tc int, _first int, _parts int"))  # as many rows as classes of length
+    own = classes.filter("evaluation").join(of, ["sc", "tc"]).select((F.col("_first") + F.pmod(F.xxhash64("key"), "_parts")).cast("int").alias("shard"), "key", "s", "t")
+    own.groupBy("shard").applyInPandas(_build, _INDEX).write.partitionBy("shard").parquet(f"{path}/index")
+
+    # a task for each shard and part of the training files that its lengths can match
+    reach: dict[int, set[tuple[int, int]]] = {}
+    for sc, tc, first, parts in plan:
+        near_cells = {c for c in train if abs(c[0] - sc) <= 1 and abs(c[1] - tc) <= 3}
+        for k in range(first, first + parts):
+            reach.setdefault(k, set()).update(near_cells)
+    work = []
+    for k, found in sorted(reach.items()):
+        parts = max(1, math.ceil(sum(train[c] for c in found) / TASK_SYMBOLS))
+        work += [(k, sorted({c[0] for c in found}), p, parts) for p in range(parts) if found]
 
     def run(batches):
         for b in batches:
-            for a in range(0, b.num_rows, SEARCH_ROWS):
-                part = b.slice(a, SEARCH_ROWS)
-                keys, s, t = (part.column(i).to_pylist() for i in range(3))
-                n = np.array([len(x) + len(y) for x, y in zip(s, t)])
-                low, high = _length_class(n * (ONE_IN - 1) // ONE_IN - 1), _length_class(n * ONE_IN // (ONE_IN - 1) + 1)
-                wanted: dict[int, list[int]] = {}
-                for i, (x, y) in enumerate(zip(low.tolist(), high.tolist())):
-                    for k in {k for c in range(x, y + 1) for k in of_bucket.get(c, ())}:
-                        wanted.setdefault(k, []).append(i)
-                for k, own in sorted(wanted.items()):
-                    got = search_shard(load_shard(path, k), [keys[i] for i in own], [s[i] for i in own], [t[i] for i in own])
+            for i in b.column(0).to_pylist():
+                k, folders, part, parts = work[i]
+                sh = load_shard(f"{path}/index", k)
+                if sh is None:
+                    continue
+                files = _dataset([f"{path}/classes/evaluation=false/sc={c}" for c in folders])
+                for row_no, batch in enumerate(x for f in files for x in f.to_batches(columns=["key", "s", "t"], batch_size=SEARCH_ROWS)):
+                    if row_no % parts != part or not batch.num_rows:
+                        continue
+                    keys, s, t = (c.to_pylist() for c in batch.columns)
+                    keep = np.flatnonzero(sh.may_match(np.array([[len(x), len(y)] for x, y in zip(s, t)], np.int64))).tolist()
+                    got = search_shard(sh, [keys[i] for i in keep], [s[i] for i in keep], [t[i] for i in keep]) if keep else []
                     if got:
-                        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], names=["train_key", "eval_key"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["train_key", "eval_key", "spans", "covered"])
 
-    train = classes.filter("not evaluation")
-    links = train.select("key", "s", "t").mapInArrow(run, "train_key binary, eval_key binary")
-    same = train.select(F.col("key").alias("train_key")).join(ev.select(F.col("key").alias("eval_key")), F.col("train_key") == F.col("eval_key"))
-    return materialize(links.unionByName(same).distinct(), "links"), members
+    links = spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(run, _LINKS)
+    bare = classes.filter("s = '' and t = ''")
+    same = bare.filter("not evaluation").select(F.col("key").alias("train_key")).join(bare.filter("evaluation").select(F.col("key").alias("eval_key")), F.col("train_key") == F.col("eval_key"))
+    return materialize(links.unionByName(same.withColumns({"spans": F.lit(0), "covered": F.lit(0)})), "links"), members
 
 
 def overlap_pairs(pairs: DataFrame) -> DataFrame:
-    """(pair_id_a, pair_id_b): every linked pair of rows, the smaller pair_id first; each pair once."""
+    """(pair_id_a, pair_id_b): every linked pair of rows, the smaller pair_id first; each pair once.
+
+    Members of a class that holds many rows are spread over SALTS tasks.
+    """
     links, members = near_overlaps(pairs)
-    train = members.filter("not evaluation").select(F.col("key").alias("train_key"), F.col("id").alias("a"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt")
+    train = members.filter("not evaluation").select(F.col("key").alias("train_key"), F.col("id").alias("a"), salt)
     ev = members.filter("evaluation").select(F.col("key").alias("eval_key"), F.col("id").alias("b"))
-    both = links.join(train, "train_key").join(ev, "eval_key").filter("a <> b")
+    spread = links.select("train_key", "eval_key").join(ev, "eval_key").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = spread.join(train, ["train_key", "_salt"]).filter("a <> b")
     return both.select(F.least("a", "b").alias("pair_id_a"), F.greatest("a", "b").alias("pair_id_b")).distinct()
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.llm import catalog, copies, cutoff, defects, overlap, pieces, prose, reading
+from loomery.llm import catalog, copies, cutoff, defects, fmindex, overlap, pieces, prose, reading
 from loomery.llm.fmindex import Index, symbols
 
 import numpy as np
@@ -85,6 +85,17 @@ def test_prose_with_colons_is_no_record():
 # --- overlaps ------------------------------------------------------------------------------------
 
 
+def test_suffixes_stand_in_order():
+    rng = random.Random(8)
+    for text in (b"", b"\0", b"a" * 300, bytes(rng.choice(b"ab\0") for _ in range(500)), (b"abcabcab\0" * 40)):
+        assert fmindex.suffix_order(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_spans_are_maximal_and_merged():
+    a, b = (np.array([ord(c) for c in x], np.uint32) for x in ("abcdefghXijklmn", "abcdefghijklmnop"))
+    assert overlap.matched_spans(a, b, [0, -1], 3) == (2, 14) and overlap.matched_spans(a, b, [5], 3) == (0, 0)
+
+
 def test_index_counts_like_a_scan():
     rng = random.Random(5)
     fields = ["".join(rng.choice("甲乙丙丁ab") for _ in range(rng.randint(0, 60))) for _ in range(40)]
@@ -94,14 +105,13 @@ def test_index_counts_like_a_scan():
         text += [*symbols(np.array([ord(c) for c in f], np.uint32)).tolist(), 0]
     ix = Index.unpack(Index.build(np.array(text, np.uint8), np.array(starts)).pack())
     for _ in range(200):
-        p = "".join(rng.choice("甲乙丙丁ab") for _ in range(rng.randint(1, 6)))
+        p = "".join(rng.choice("甲乙丙丁ab") for _ in range(rng.randint(1, 14)))
         s = symbols(np.array([ord(c) for c in p], np.uint32))
-        lo, hi = np.array([0]), np.array([ix.n])
-        for c in s[::-1]:
-            lo, hi = ix.extend(np.array([c]), lo, hi)
+        lo, hi = ix.search(s, np.array([0]), np.array([len(s)]))
         want = sorted((i, k) for i, f in enumerate(fields) for k in range(len(f)) if f.startswith(p, k))
-        rows = np.arange(lo[0], hi[0])
-        assert sorted(zip(ix.field[rows].tolist(), ix.offset(rows).tolist())) == want
+        places = ix.locate(np.arange(lo[0], hi[0]))
+        own = ix.field(places)
+        assert sorted(zip(own.tolist(), (places - ix.starts[own]).tolist())) == want
 
 
 def brute(a, b):
@@ -146,7 +156,6 @@ def test_overlaps_against_brute_force(spark):
 
 
 def test_pairs_of_symbols_alone(spark):
-    assert overlap._length_class(np.array([-1, 0])).tolist() == [0, 0]
     rows = [(1, "train", "……", "？！"), (2, "validation", "。", "——"), (3, "train", "a", "！"), (4, "test", "A。", "？"), (5, "test", "b", "？"), (6, "train", "甲乙丙丁", "。")]
     df = spark.createDataFrame([(*r, "o") for r in rows], "pair_id bigint, split string, source string, target string, origin string")
     assert got(overlap.overlap_pairs(df)) == [(1, 2), (3, 4)]
@@ -157,7 +166,10 @@ def test_pairs_of_symbols_alone(spark):
 def test_many_shards_give_the_same(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/pair_records.parquet")
     one = got(overlap.overlap_pairs(df))
-    monkeypatch.setattr(overlap, "SHARD_SYMBOLS", 2000)
+    monkeypatch.setattr(overlap, "LEAST_SYMBOLS", 500)
+    monkeypatch.setattr(overlap, "MOST_SYMBOLS", 2000)
+    monkeypatch.setattr(overlap, "TASK_SYMBOLS", 5000)
+    monkeypatch.setattr(overlap, "SEARCH_ROWS", 7)
     assert got(overlap.overlap_pairs(df)) == one and one
 
 
