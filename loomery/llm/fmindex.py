@@ -5,17 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 LEVELS = 8
+#: The symbol that closes a field; 0 ends the whole text.
+CLOSE = 1
 #: Every so many places of the text, and each field's first, are stored; the others are reached in as many steps at most.
 RATE = 4
-#: Stretches of so many symbols are noted in a bitmap; a pattern whose first stretch isn't there can't match.
-GRAM = 8
-KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "two": np.int32, "marks": np.uint64, "mark_ranks": np.uint32, "places": np.int32, "starts": np.int64, "grams": np.uint64}
+KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "two": np.int32, "marks": np.uint64, "mark_ranks": np.uint32, "places": np.int32, "starts": np.int64}
 
 
 def symbols(cp: np.ndarray) -> np.ndarray:
-    """Code points as symbols 1 to 255. Different letters may share one, so matches are a superset."""
+    """Code points as symbols 2 to 255. Different letters may share one, so matches are a superset."""
     with np.errstate(over="ignore"):
-        return (((cp.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(255) + 1).astype(np.uint8)
+        return (((cp.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(254) + 2).astype(np.uint8)
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -63,28 +63,19 @@ def _bits(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))[:-1]]).astype(np.uint32)
 
 
-def _gram_places(text: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    h = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(GRAM):
-            h = (h ^ text[at + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h >> np.uint64(64 - bits)
-
-
 class Index:
-    """Search of a concatenation of fields, each closed by the symbol 0."""
+    """Search of a concatenation of fields, each with CLOSE before and after it."""
 
     def __init__(self, **own: np.ndarray):
         for k in KINDS:
             setattr(self, k, own[k])
         self.words, self.ranks = self.words.reshape(LEVELS, -1), self.ranks.reshape(LEVELS, -1)
         self.n = int(self.two[-1])
-        self.gram_bits = 6 + (len(self.grams) - 1).bit_length()
 
     @classmethod
     def build(cls, text: np.ndarray, starts: np.ndarray) -> Index:
-        """text: symbols with a 0 after each field; starts: where the fields begin."""
+        """text: symbols with CLOSE after each field; starts: where the fields begin."""
+        text, starts = np.concatenate([[CLOSE], text, [0]]).astype(np.uint8), starts + 1
         n = len(text)
         order = suffix_order(text)
         bwt = text[order - 1]
@@ -112,14 +103,9 @@ class Index:
         kept[starts[starts < n]] = True
         marked = kept[order]
         marks, mark_ranks = _bits(marked.astype(np.uint8))
-        bits = max(10, (8 * n).bit_length())
-        grams = np.zeros(1 << (bits - 6), np.uint64)
-        if n >= GRAM:
-            place = np.unique(_gram_places(text, np.arange(n - GRAM + 1), bits))
-            np.bitwise_or.at(grams, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         return cls(
             words=np.array(words), ranks=np.array(ranks), zeros=np.array(zeros, np.int64), shift=(first - begin).astype(np.int64), two=two,
-            marks=marks, mark_ranks=mark_ranks, places=order[marked], starts=starts.astype(np.int64), grams=grams,
+            marks=marks, mark_ranks=mark_ranks, places=order[marked], starts=starts.astype(np.int64),
         )
 
     def _ones(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,19 +124,10 @@ class Index:
         both += self.shift[code]
         return both[: len(lo)], both[len(lo) :]
 
-    def may_stand(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether each pattern's first symbols are in the bitmap; patterns shorter than GRAM always may."""
-        ok = np.ones(len(begin), bool)
-        long = np.flatnonzero(end - begin >= GRAM)
-        place = _gram_places(text, begin[long], self.gram_bits)
-        ok[long] = (self.grams[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-        return ok
-
     def search(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) that begin with text[begin:end], for each pattern; none for an empty pattern."""
         lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
         live = np.flatnonzero(end > begin)
-        live = live[self.may_stand(text, begin[live], end[live])]
         at = end.astype(np.int64) - 2
         one = at < begin
         first = np.where(one, text[np.minimum(end - 1, max(0, len(text) - 1))] if len(text) else 0, 0).astype(np.int64)
@@ -166,6 +143,29 @@ class Index:
             live = live[(at[live] > begin[live]) & (hi[live] > lo[live])]
         return lo, np.maximum(hi, lo)
 
+    def rare_pieces(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+        """Disjoint pieces of each text[begin:end], from its end on, each carried leftwards until at most ``most``
+        rows match it: the number of the text, the piece's begin and end, and its rows [lo, hi)."""
+        at, right = end.astype(np.int64).copy(), end.astype(np.int64).copy()
+        lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        fresh = np.ones(len(end), bool)
+        found = [np.zeros((5, 0), np.int64)]
+        live = np.flatnonzero(end - begin >= 2)
+        while len(live):
+            new, old = live[fresh[live]], live[~fresh[live]]
+            right[new] = at[new]
+            at[new] -= 2
+            code = text[at[new]].astype(np.int64) * 256 + text[at[new] + 1]
+            lo[new], hi[new] = self.two[code], self.two[code + 1]
+            fresh[new] = False
+            at[old] -= 1
+            lo[old], hi[old] = self.extend(text[at[old]], lo[old], hi[old])
+            done = live[hi[live] - lo[live] <= most]
+            found.append(np.stack([done, at[done], right[done], lo[done], np.maximum(hi[done], lo[done])]))
+            fresh[done] = True
+            live = live[at[live] - begin[live] >= np.where(fresh[live], 2, 1)]
+        return tuple(np.concatenate(found, 1))
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Where in the text each row's suffix begins: back to the nearest stored place."""
         at, steps = rows.astype(np.int64).copy(), np.zeros(len(rows), np.int64)

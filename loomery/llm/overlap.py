@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, shared_dir
 from .bpe import codepoints
 from .common import plain_key
-from .fmindex import KINDS, Index, symbols
+from .fmindex import CLOSE, KINDS, Index, symbols
 
 #: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give each core two shards, down to LEAST.
 MOST_SYMBOLS, LEAST_SYMBOLS = 8_000_000, 400_000
@@ -25,9 +25,11 @@ TASK_SYMBOLS = 20_000_000
 #: One character in so many of the longer text may differ.
 ONE_IN = 10
 #: Training texts searched together, and hits looked at together.
-SEARCH_ROWS, HITS = 2000, 500_000
-#: Hits of a text's first field from which the other field is searched as well.
-MANY_HITS = 200
+SEARCH_ROWS, HITS = 8000, 500_000
+#: Rows that a piece may match, tried one after the other until a text falls into enough pieces.
+RARE = (8, 128)
+#: Texts are taken apart side by side in stretches of so many letters.
+STRETCH = 256
 #: Tasks that the members of one class are spread over.
 SALTS = 16
 _BINS = 64
@@ -98,7 +100,7 @@ def _build(g: pd.DataFrame) -> pd.DataFrame:
     parts = [x for s, t in zip(g["s"], g["t"]) for x in (s, t)]
     cp, at = codepoints(parts)
     n = len(parts)
-    text = np.zeros(len(cp) + n, np.uint8)
+    text = np.full(len(cp) + n, CLOSE, np.uint8)
     text[np.arange(len(cp)) + np.repeat(np.arange(n), np.diff(at))] = symbols(cp)
     ix = Index.build(text, at[:-1] + np.arange(n))
     row = {"shard": int(g["shard"].iloc[0]), **ix.pack(), "keys": b"".join(g["key"]), "texts": "".join(parts).encode(), "lengths": np.diff(at).astype(np.int32).tobytes()}
@@ -170,51 +172,79 @@ def matched_spans(a: np.ndarray, b: np.ndarray, off: list[int], width: int) -> t
     return int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum()), int(hit.sum())
 
 
+def _rare(ix: Index, sym: np.ndarray, at: np.ndarray, which: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hits (text, offset, lo, hi) of one rare piece more than edits are allowed; and which texts have so many."""
+    n = np.diff(at)
+    parts = np.where(which, -(-n // STRETCH), 0)
+    text = np.repeat(np.arange(len(n)), parts)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = at[text] + k * STRETCH
+    part, left, _, lo, hi = ix.rare_pieces(sym, begin, np.minimum(begin + STRETCH, at[text + 1]), most)
+    owner = text[part]
+    order = np.lexsort((hi - lo, owner))
+    owner, left, lo, hi = owner[order], left[order], lo[order], hi[order]
+    need = n // (ONE_IN - 1) + 1
+    enough = which & (np.bincount(owner, minlength=len(n)) >= need)
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    use = enough[owner] & (nth < need[owner]) & (hi > lo)
+    return np.stack([owner, left - at[owner], lo, hi])[:, use], enough
+
+
 def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> list[tuple[bytes, bytes, int, int]]:
     """(training key, evaluation key, spans, covered) of classes that are nearly the same in both fields.
 
-    Either field is complete by itself: the shorter one that isn't empty is searched, the other one as well where
-    the first has many hits, and the field with fewer hits gives the candidates.
+    Either field is complete by itself: the shorter one that isn't empty is searched. Fields too short for an edit
+    must be equal. Others fall into pieces that few rows match, one piece more than edits are allowed; where a text
+    has too few of those, pieces of even length are searched in both fields, and the one with fewer hits is taken.
     """
-    n = len(keys)
+    n, ix = len(keys), sh.index
     fields = [codepoints(s), codepoints(t)]
+    syms = [symbols(cp) for cp, _ in fields]
     length = np.stack([np.diff(at) for _, at in fields], 1)
-    found: list = [None, None]
-
-    def look(f: int, which: np.ndarray) -> np.ndarray:
-        cp, at = fields[f]
-        begin, end, text = _pieces(np.where(which, length[:, f], 0), at)
-        lo, hi = sh.index.search(symbols(cp), begin, end)
-        hit = np.flatnonzero(hi > lo)
-        own = (lo[hit], hi[hit], begin[hit] - at[text[hit]], text[hit])
-        found[f] = own if found[f] is None else tuple(np.concatenate(x) for x in zip(found[f], own))
-        return np.bincount(own[3], weights=own[1] - own[0], minlength=n)
-
-    use_t = (length[:, 1] > 0) & ((length[:, 1] <= length[:, 0]) | (length[:, 0] == 0))
-    use_s = ~use_t & (length[:, 0] > 0)
-    hits = np.stack([look(0, use_s), look(1, use_t)], 1)
-    take = np.where(use_t, 1, np.where(use_s, 0, -1))
+    first = np.where((length[:, 1] > 0) & ((length[:, 1] <= length[:, 0]) | (length[:, 0] == 0)), 1, 0)
+    found: list[list[np.ndarray]] = [[], []]
     for f in (0, 1):
-        again = (take == 1 - f) & (hits[:, 1 - f] > MANY_HITS) & (length[:, f] > 0) & (hits[:, f] == 0)
-        if again.any():
-            hits[:, f] += look(f, again)
-            take = np.where(again & (hits[:, f] < hits[:, 1 - f]), f, take)
+        at = fields[f][1]
+        short = np.flatnonzero((first == f) & (length[:, f] > 0) & (length[:, f] < ONE_IN - 1))
+        if len(short):  # the closing symbols of the field before and of its own belong to the pattern
+            many = length[short, f] + 2
+            begin = np.cumsum(many) - many
+            closed = np.full(int(many.sum()), CLOSE, np.uint8)
+            inner = np.arange(int(length[short, f].sum())) - np.repeat(np.cumsum(many - 2) - (many - 2), many - 2)
+            closed[np.repeat(begin + 1, many - 2) + inner] = syms[f][np.repeat(at[short], many - 2) + inner]
+            lo, hi = ix.search(closed, begin, begin + many)
+            found[f].append(np.stack([short, np.full(len(short), -1), lo, hi])[:, hi > lo])
+        left = (first == f) & (length[:, f] >= ONE_IN - 1)
+        for most in RARE:
+            hits, enough = _rare(ix, syms[f], at, left, most)
+            found[f].append(hits)
+            left &= ~enough
+        if left.any():
+            even = []
+            for g in (0, 1):
+                begin, end, text = _pieces(np.where(left, length[:, g], 0), fields[g][1])
+                lo, hi = ix.search(syms[g], begin, end)
+                even.append((np.stack([text, begin - fields[g][1][text], lo, hi]), np.bincount(text, weights=hi - lo, minlength=n)))
+            other = (even[1 - f][1] < even[f][1]) & (length[:, 1 - f] > 0)
+            for g in (0, 1):
+                hits = even[g][0]
+                found[g].append(hits[:, (other[hits[0]] == (g != f)) & (hits[3] > hits[2])])
     pairs = [[], []]
-    for f, (lo, hi, off, text) in enumerate(found):
-        use = np.flatnonzero(take[text] == f)
-        step = np.cumsum(hi[use] - lo[use])
+    for f in (0, 1):
+        text, off, lo, hi = np.concatenate([np.zeros((4, 0), np.int64), *found[f]], 1)
+        step = np.cumsum(hi - lo)
         a = 0
-        while a < len(use):
+        while a < len(step):
             base = step[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(step, base + HITS, "right")))
-            own = use[a:b]
+            own = np.arange(a, b)
             a = b
             many = hi[own] - lo[own]
             which = np.repeat(own, many)
             rows = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[own], many)
-            place = sh.index.locate(rows)
-            d = sh.index.field(place)
-            doc, x, shift = d >> 1, text[which], place - sh.index.starts[d] - off[which]
+            place = ix.locate(rows)
+            d = ix.field(np.where(off[which] < 0, place + 1, place))
+            doc, x, shift = d >> 1, text[which], place - ix.starts[d] - off[which]
             here = np.maximum(length[x, f], sh.length[doc, f]) // ONE_IN
             ok = ((d & 1) == f) & (np.abs(shift) <= here)
             doc, x, shift = doc[ok], x[ok], shift[ok]
@@ -249,8 +279,7 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
                     own = (s, t)[f][p]
                     cp, _ = codepoints([own])
                     other, _ = codepoints([sh.field(q, f)])
-                    width = len(own) // (len(own) // (ONE_IN - 1) + 1)
-                    out.append((keys[p], sh.keys[q], *matched_spans(cp, other, shift[first[a + k] : last[a + k]].tolist(), max(1, width))))
+                    out.append((keys[p], sh.keys[q], *matched_spans(cp, other, shift[first[a + k] : last[a + k]].tolist(), min(len(own), 2))))
     return out
 
 

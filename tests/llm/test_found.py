@@ -102,7 +102,7 @@ def test_index_counts_like_a_scan():
     text, starts = [], []
     for f in fields:
         starts.append(len(text))
-        text += [*symbols(np.array([ord(c) for c in f], np.uint32)).tolist(), 0]
+        text += [*symbols(np.array([ord(c) for c in f], np.uint32)).tolist(), fmindex.CLOSE]
     ix = Index.unpack(Index.build(np.array(text, np.uint8), np.array(starts)).pack())
     for _ in range(200):
         p = "".join(rng.choice("甲乙丙丁ab") for _ in range(rng.randint(1, 14)))
