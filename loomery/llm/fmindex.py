@@ -9,7 +9,9 @@ LEVELS = 8
 CLOSE = 1
 #: Every so many places of the text, and each field's first, are stored; the others are reached in as many steps at most.
 RATE = 4
-KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "two": np.int32, "marks": np.uint64, "mark_ranks": np.uint32, "places": np.int32, "starts": np.int64}
+#: Stretches of so many symbols are noted in a bitmap; a pattern whose first stretch isn't there can't match.
+GRAM = 8
+KINDS = {"words": np.uint64, "ranks": np.uint32, "zeros": np.int64, "shift": np.int64, "two": np.int32, "marks": np.uint64, "mark_ranks": np.uint32, "places": np.int32, "starts": np.int64, "grams": np.uint64}
 
 
 def symbols(cp: np.ndarray) -> np.ndarray:
@@ -63,6 +65,15 @@ def _bits(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed, np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int64))[:-1]]).astype(np.uint32)
 
 
+def _gram_places(text: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(GRAM):
+            h = (h ^ text[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Index:
     """Search of a concatenation of fields, each with CLOSE before and after it."""
 
@@ -71,6 +82,7 @@ class Index:
             setattr(self, k, own[k])
         self.words, self.ranks = self.words.reshape(LEVELS, -1), self.ranks.reshape(LEVELS, -1)
         self.n = int(self.two[-1])
+        self.gram_bits = 5 + len(self.grams).bit_length()
 
     @classmethod
     def build(cls, text: np.ndarray, starts: np.ndarray) -> Index:
@@ -103,9 +115,13 @@ class Index:
         kept[starts[starts < n]] = True
         marked = kept[order]
         marks, mark_ranks = _bits(marked.astype(np.uint8))
+        bits = max(10, (8 * n).bit_length())
+        flags = np.zeros(1 << bits, np.uint8)
+        flags[_gram_places(text, np.arange(max(0, n - GRAM + 1)), bits)] = 1
+        grams = np.packbits(flags, bitorder="little").view(np.uint64)
         return cls(
             words=np.array(words), ranks=np.array(ranks), zeros=np.array(zeros, np.int64), shift=(first - begin).astype(np.int64), two=two,
-            marks=marks, mark_ranks=mark_ranks, places=order[marked], starts=starts.astype(np.int64),
+            marks=marks, mark_ranks=mark_ranks, places=order[marked], starts=starts.astype(np.int64), grams=grams,
         )
 
     def _ones(self, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +140,19 @@ class Index:
         both += self.shift[code]
         return both[: len(lo)], both[len(lo) :]
 
+    def may_stand(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each pattern's first symbols are in the bitmap; patterns shorter than GRAM always may."""
+        ok = np.ones(len(begin), bool)
+        long = np.flatnonzero(end - begin >= GRAM)
+        place = _gram_places(text, begin[long], self.gram_bits)
+        ok[long] = (self.grams[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return ok
+
     def search(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) that begin with text[begin:end], for each pattern; none for an empty pattern."""
         lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
         live = np.flatnonzero(end > begin)
+        live = live[self.may_stand(text, begin[live], end[live])]
         at = end.astype(np.int64) - 2
         one = at < begin
         first = np.where(one, text[np.minimum(end - 1, max(0, len(text) - 1))] if len(text) else 0, 0).astype(np.int64)

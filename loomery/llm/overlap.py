@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import os
 import uuid
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from .bpe import codepoints
 from .common import plain_key
 from .fmindex import CLOSE, KINDS, Index, symbols
 
-#: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give each core two shards, down to LEAST.
+#: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give each core a shard, down to LEAST.
 MOST_SYMBOLS, LEAST_SYMBOLS = 8_000_000, 400_000
 #: Training symbols of one task.
 TASK_SYMBOLS = 20_000_000
@@ -26,7 +25,9 @@ TASK_SYMBOLS = 20_000_000
 ONE_IN = 10
 #: Training texts searched together, and hits looked at together.
 SEARCH_ROWS, HITS = 8000, 500_000
-#: Rows that a piece may match, tried one after the other until a text falls into enough pieces.
+#: Hits of pieces of even length that are looked at as they are, for each piece.
+FEW = 4
+#: Otherwise the rows that a piece may match, tried one after the other until a text falls into enough pieces.
 RARE = (8, 128)
 #: Texts are taken apart side by side in stretches of so many letters.
 STRETCH = 256
@@ -52,18 +53,14 @@ def near(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > k:
         return False
-    # k edits leave all but 3 k of the longer text's 3-grams; most candidates end here
-    shared = Counter(a[i : i + 3] for i in range(len(a) - 2)) & Counter(b[i : i + 3] for i in range(len(b) - 2))
-    if shared.total() < max(len(a), len(b)) - 2 - 3 * k:
-        return False
     head = len(os.path.commonprefix((a, b)))
     a, b = a[head:], b[head:]
     tail = len(os.path.commonprefix((a[::-1], b[::-1])))
-    return distance(a[: len(a) - tail], b[: len(b) - tail]) <= k
+    return distance(a[: len(a) - tail], b[: len(b) - tail], k) <= k
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance, a column of differences at a time in the bits of one number."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, a column of differences at a time in the bits of one number; any number over ``most`` if it is over that."""
     if not a or not b:
         return len(a) or len(b)
     at: dict[str, int] = {}
@@ -72,7 +69,8 @@ def distance(a: str, b: str) -> int:
     m = len(a)
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    for c in b:
+    over = float("inf") if most is None else most + len(b)  # the distance falls by one with each letter left at most
+    for j, c in enumerate(b, 1):
         eq = at.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -82,6 +80,8 @@ def distance(a: str, b: str) -> int:
             score += 1
         elif mh & top:
             score -= 1
+        if score + j > over:
+            return score + j - len(b)
         ph = (ph << 1) | 1
         pv = ((mh << 1) | (full & ~(xv | ph))) & full
         mv = ph & xv & full
@@ -194,8 +194,9 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
     """(training key, evaluation key, spans, covered) of classes that are nearly the same in both fields.
 
     Either field is complete by itself: the shorter one that isn't empty is searched. Fields too short for an edit
-    must be equal. Others fall into pieces that few rows match, one piece more than edits are allowed; where a text
-    has too few of those, pieces of even length are searched in both fields, and the one with fewer hits is taken.
+    must be equal. Others are cut into pieces of even length, one more than edits are allowed. Where those have many
+    hits, the text is cut into pieces that few rows match; where it has too few of those, pieces of even length are
+    searched in both fields, and the field with fewer hits is taken.
     """
     n, ix = len(keys), sh.index
     fields = [codepoints(s), codepoints(t)]
@@ -215,7 +216,16 @@ def search_shard(sh: Shard, keys: list[bytes], s: list[str], t: list[str]) -> li
             lo, hi = ix.search(closed, begin, begin + many)
             found[f].append(np.stack([short, np.full(len(short), -1), lo, hi])[:, hi > lo])
         left = (first == f) & (length[:, f] >= ONE_IN - 1)
+        if not left.any():
+            continue
+        begin, end, text = _pieces(np.where(left, length[:, f], 0), at)
+        lo, hi = ix.search(syms[f], begin, end)
+        few = np.bincount(text, weights=hi - lo, minlength=n) <= FEW * (length[:, f] // (ONE_IN - 1) + 1)
+        found[f].append(np.stack([text, begin - at[text], lo, hi])[:, few[text] & (hi > lo)])
+        left &= ~few
         for most in RARE:
+            if not left.any():
+                break
             hits, enough = _rare(ix, syms[f], at, left, most)
             found[f].append(hits)
             left &= ~enough
@@ -319,7 +329,7 @@ def near_overlaps(pairs: DataFrame, id_col: str = "pair_id") -> tuple[DataFrame,
     ev, train = ({(r.sc, r.tc): r.n for r in cells if r.evaluation == e} for e in (True, False))
     if not ev or not train:
         return spark.createDataFrame([], _LINKS), members
-    most = max(LEAST_SYMBOLS, min(MOST_SYMBOLS, sum(ev.values()) // (2 * spark.sparkContext.defaultParallelism)))
+    most = max(LEAST_SYMBOLS, min(MOST_SYMBOLS, sum(ev.values()) // spark.sparkContext.defaultParallelism))
     plan: list[tuple[int, int, int, int]] = []  # source class, target class, first shard, shards
     shards, used = 0, 0
     for (sc, tc), n in ev.items():
