@@ -11,21 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .refusals import QUOTED, is_refusal
+
 # Fillers that stand for no answer, in lower case without marks.
 FILLERS = frozenset(
     "无 略 空 暂无 没有 無 暂缺 未填 待定 待补充 暂无内容 无内容 空白 无答案 无回答 没有答案 没有内容 内容略 不适用 此处略 同上 省略 none null nil nan na n a tbd todo empty blank undefined no answer "
     "noanswer nocontent notavailable notapplicable 없음 なし 該当なし".split()
 )
-# The fixed parts of refusals; "~" stands for any words.
-REFUSALS = (
-    "抱歉~我无法~", "很抱歉~我不能~", "对不起~我没有办法~", "不好意思~我做不到~", "非常遗憾~这次帮不上忙", "恕难从命~不支持~", "恕我~不能~", "请允许我婉拒~我不会~", "我理解您的需求可是~我必须拒绝~",
-    "谢谢您的信任不过~我做不了", "为避免~我选择不~希望您理解", "作为一个语言模型我不便~", "作为~助手我无法~", "作为人工智能我不能~", "我目前没有权限~", "暂时不能~敬请谅解", "暂时无法~敬请谅解", "此类内容不在服务范围内无法提供结果",
-    "您的请求已超出我可以协助的范围~", "我只是一个文字助手没有资格~不作简化", "这一段涉及的信息比较敏感我就不作改写了", "但这一段请恕我跳过", "这个请求我不能答应", "我拒绝~这个请求", "sorry我不能~", "sorry我无法~", "我无法协助~", "我不方便~", "恐怕我帮不了您",
-    "im sorry but i cant~", "i am sorry but i cannot~", "unfortunately i am unable to~", "i apologize however~outside what i can assist with", "i wont be able to~", "as an ai~i must decline~", "as an ai~i cannot~", "as a language model i~cannot~",
-    "this request cannot be completed~", "i cannot assist with~", "i cant help with~", "im unable to~", "i must decline~", "im not able to~", "sorry~i cant~",
-    "lo siento~no puedo~", "me temo que no puedo~", "je suis désolé~je ne peux pas~", "désolé~je ne peux pas~", "je ne peux pas~demande", "es tut mir leid~ich kann~nicht~", "leider kann ich~nicht~", "к сожалению я не могу~", "извините~я не могу~",
-    "申し訳ありませんが~できません", "申し訳ございませんが~できません", "恐れ入りますが~いたしかねます", "お手伝いできません", "죄송하지만~수없습니다", "죄송합니다~수없습니다", "도와드릴수없습니다",
-)
 # Frequent function words of languages in Latin letters.
 WORDS = {
     "en": "the of and to a in is it was for on that with as at by be this from or are have not but they we you he she an if will which more can has under said because who most",
@@ -35,11 +27,11 @@ WORDS = {
     "it": "il lo gli di del della e che un una per con nel sono è alla dei",
     "pt": "o os as do da dos e que um uma para com no na são não em ao",
 }
-#: Traditional forms in refusals, and their simplified ones.
-SIMPLE = str.maketrans("無對沒辦這請為簡寫內處類問題權據規範務圍協專業絕從給諒釋謝敏請們個時語資實願", "无对没办这请为简写内处类问题权据规范务围协专业绝从给谅释谢敏请们个时语资实愿")
 WORDS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 _CONTROL = re.compile(r"<\|[^|<>]*\|>|</?s>|\[/?(?:INST|PAD|EOS|BOS)\]|</?[a-z][^<>]{0,20}>", re.I)
 _MARK = re.compile(r"[\W_]+")
+#: A remark in brackets behind a closed sentence.
+_ASIDE = re.compile(r"([。！？!?.．｡][”’」』\"'＂]*)\s*[（(【\[][^（）()【】\[\]]*[）)】\]]+\s*\Z")
 _ENDS = "。！？!?.…．｡"
 _CLOSE = "”’」』）)】》\"'＂]"
 
@@ -52,7 +44,7 @@ DIMS = 1 << 18
 
 def plain(text: str) -> str:
     """Letters and digits in lower case."""
-    return _MARK.sub("", "".join(c for c in text.lower() if c.isalnum() or c.isspace()))
+    return _MARK.sub("", text.lower())
 
 
 def lcs(a: str, b: str) -> int:
@@ -81,96 +73,6 @@ def is_empty(target: str | None) -> bool:
     return not left or left in FILLERS
 
 
-_TEMPLATES = [[plain(p) for p in t.split("~") if p] for t in REFUSALS]
-_LATIN = [any("a" <= c <= "z" for c in "".join(t)) for t in _TEMPLATES]
-
-
-def _aligned(parts: list[str], text: str) -> float:
-    """How much of a template's fixed parts stands in the text, in order, each part near together."""
-    at = got = 0
-    for p in parts:
-        i = text.find(p, at)
-        if i >= 0:
-            got, at = got + len(p), i + len(p)
-            continue
-        best, end = 0, at
-        if len(p) >= 6:  # a part with a letter off: best window by common subsequence
-            head = p[:2]
-            i = text.find(head, at)
-            while i >= 0:
-                n = lcs(p, text[i : i + len(p) + 1])
-                if n > best:
-                    best, end = n, i + len(p)
-                i = text.find(head, i + 1)
-        got, at = got + best, end
-    return got / sum(map(len, parts))
-
-
-def _clues(parts: list[str]) -> list[list[str]]:
-    """For each part that a text can't lack, bits one of which stands in every text the template aligns with."""
-    lost = sum(map(len, parts)) // 10
-    cut = 2 * lost + 2  # letters lost and letters in between each spoil one bit
-    out = []
-    for p in parts:
-        if lost < len(p) < 6:
-            out.append([p])
-        elif len(p) >= max(6, cut):
-            out.append([p[len(p) * i // cut : len(p) * (i + 1) // cut] for i in range(cut)])
-    return out
-
-
-_CLUES = [_clues(t) for t in _TEMPLATES]
-#: Letters that the parts of a template stand within; longer texts are looked at in stretches.
-NEAR = 260
-
-
-def _stretches(text: str) -> list[str]:
-    """Every two sentences one after the other in their plain form; longer ones in overlapping stretches of NEAR letters."""
-    own = [x for x in (plain(p) for p in re.split(r"[。！？!?；;\n]+|\.(?=\s|\Z)", text)) if x]
-    out = []
-    for x in [a + b for a, b in zip(own, own[1:])] or own:
-        out += [x] if len(x) <= NEAR else [x[i : i + NEAR] for i in range(0, len(x) - NEAR // 2, NEAR // 2)]
-    return out
-
-
-def _refuses(text: str, templates: list[list[str]], of: str) -> bool:
-    """The text aligns with a template and says little of the source."""
-    simple = text.translate(SIMPLE)
-    if not any(_aligned(t, simple) >= 0.9 for t in templates):
-        return False
-    latin = sum("a" <= c <= "z" for c in text) > len(text) / 2
-    own = shingles(text, 8 if latin else 4)
-    return not own or len(own & shingles(of, 8 if latin else 4)) <= 0.4 * len(own)
-
-
-def is_refusal(source: str | None, target: str) -> bool:
-    """A text that aligns with a template of refusals and says little of the source.
-
-    A source given back whole is left out. In a text of more than NEAR letters a template must stand within two
-    sentences, which say little of the source; behind the first NEAR letters a template that the source aligns with
-    doesn't count, for then the source's own words are reported.
-    """
-    body = re.split(r"\n\s*(?:原文|Original|Source|Text)\s*[:：]", target)[0]
-    bare = re.sub(r"[“\"「『][^”\"」』]{0,200}[”\"」』]", "", body)  # what others are quoted with
-    of = plain(source) if source is not None else ""
-    text = plain(bare)
-    if not text or len(text) < 4:
-        bare, text = body, plain(body)
-    if len(text) <= NEAR:
-        return _refuses(text, _TEMPLATES, of)
-    simple = text.translate(SIMPLE)
-    may = [t for t, clues in zip(_TEMPLATES, _CLUES) if all(any(c in simple for c in part) for part in clues)]
-    if not may:
-        return False
-    if len(of) >= 20 and of in text:
-        rest = text.replace(of, "")
-        if len(rest) <= NEAR:
-            return _refuses(rest, may, of)
-    own = of.translate(SIMPLE)
-    later = [t for t in may if _aligned(t, own) < 0.9]
-    return any(_refuses(x, may if x in text[: 2 * NEAR] and text.find(x) <= NEAR else later, of) for x in _stretches(bare))
-
-
 def is_copied(source: str, target: str) -> bool:
     """Nearly all shingles of the source stand in the target, and its letters do in order."""
     a, b = plain(source), plain(target)
@@ -185,35 +87,28 @@ def is_copied(source: str, target: str) -> bool:
     return lcs(a, b) >= len(a) - max(2, len(a) // 50)
 
 
+# Where the blocks of scripts begin and end.
+_BLOCKS = {
+    "greek": [(0x370, 0x400)], "cyrillic": [(0x400, 0x530)], "hebrew": [(0x590, 0x600)], "arabic": [(0x600, 0x700)], "devanagari": [(0x900, 0x980)], "thai": [(0xE00, 0xE80)],
+    "hangul": [(0x1100, 0x1200), (0xAC00, 0xD7A4)], "kana": [(0x3041, 0x3100)], "han": [(0x3400, 0x4DC0), (0x4E00, 0xA000), (0x20000, 0x110000)],
+}
+_STEPS = np.array(sorted({x for own in _BLOCKS.values() for pair in own for x in pair}), np.uint32)
+_SCRIPTS = {int(np.searchsorted(_STEPS, a, "right")): script for script, own in _BLOCKS.items() for a, _ in own}
+
+
 def language(text: str) -> str | None:
     """The language most of a text is written in; None if too little of it is words."""
     text = _CONTROL.sub(" ", text)
-    n = {"han": 0, "kana": 0, "hangul": 0, "cyrillic": 0, "arabic": 0, "thai": 0, "greek": 0, "devanagari": 0, "hebrew": 0}
-    for c in text:
-        o = ord(c)
-        if o < 0x370:
-            continue
-        if 0x4E00 <= o <= 0x9FFF or 0x3400 <= o <= 0x4DBF or o >= 0x20000:
-            n["han"] += 1
-        elif 0x3041 <= o <= 0x30FF:
-            n["kana"] += 1
-        elif 0xAC00 <= o <= 0xD7A3 or 0x1100 <= o <= 0x11FF:
-            n["hangul"] += 1
-        elif 0x400 <= o <= 0x52F:
-            n["cyrillic"] += 1
-        elif 0x600 <= o <= 0x6FF:
-            n["arabic"] += 1
-        elif 0xE00 <= o <= 0xE7F:
-            n["thai"] += 1
-        elif 0x370 <= o <= 0x3FF:
-            n["greek"] += 1
-        elif 0x900 <= o <= 0x97F:
-            n["devanagari"] += 1
-        elif 0x590 <= o <= 0x5FF:
-            n["hebrew"] += 1
+    text = QUOTED.sub(" ", text) if len(_MARK.sub("", QUOTED.sub(" ", text))) >= 6 else text
+    n = dict.fromkeys(_SCRIPTS.values(), 0)
+    if not text.isascii():
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        many = np.bincount(np.searchsorted(_STEPS, cp, "right"), minlength=len(_STEPS) + 1)
+        for i, script in _SCRIPTS.items():
+            n[script] += int(many[i])
     latin = [w for w in re.findall(r"[a-zà-öø-ÿāăąćčďđēęěğīıłńňőœřśşšťūůűźżž]+(?:'[a-z]+)?", re.sub(r"\S*\d\S*|https?:\S+", " ", text.lower())) if len(w) > 1 or w in "aày"]
     words = {"zh": n["han"] / 1.6, "ja": 0.0, "ko": n["hangul"] / 2.5, "ru": n["cyrillic"] / 5, "ar": n["arabic"] / 4, "th": n["thai"] / 4, "el": n["greek"] / 5, "hi": n["devanagari"] / 4, "he": n["hebrew"] / 4, "latin": float(len(latin))}
-    if n["kana"] > 0.08 * (n["han"] + n["kana"]):
+    if n["kana"] > 0.15 * (n["han"] + n["kana"]):
         words["ja"], words["zh"] = (n["han"] + n["kana"]) / 2, 0.0
     best = max(words, key=words.get)
     if words[best] < 2:
@@ -243,7 +138,9 @@ def bare_end(text: str) -> str:
 
 def closed(text: str) -> bool:
     """Ends with a sentence mark, quotes and brackets after it aside."""
-    t = re.sub(r"(?<=[。！？!?.])\s*[（(【\[][^（）()【】\[\]]{0,40}[）)】\]]\s*\Z", "", _CONTROL.sub("", text).rstrip())
+    t = _CONTROL.sub("", text).rstrip()
+    while (bare := _ASIDE.sub(r"\1", t)) != t:
+        t = bare
     while t and (t[-1] in _CLOSE or t[-1].isspace() or unicodedata.category(t[-1])[0] == "C"):
         t = t[:-1]
     return bool(t) and t[-1] in _ENDS and not t.endswith(("……", "...", "…"))
@@ -331,10 +228,8 @@ def fit_breaks(rows: list[tuple[str | None, str]], seed: int = 7) -> np.ndarray:
     return np.append(w, b).astype(np.float32)
 
 
-#: Characters that often end answers; one of them may stand where a stray character is now.
-FINALS = "地处管行档案内工牵头续足意位牌程到作用秒户吨册台株时里米元次天整理复核护改造建动期大化升级善"
-#: Scores from which an answer breaks off: without a closing mark, and in spite of one.
-OPEN_SCORE, CLOSED_SCORE = 0.0, 6.0
+#: The score from which an answer without a closing mark breaks off.
+OPEN_SCORE = 0.0
 
 
 def _score(weights: np.ndarray, source: str | None, text: str) -> float:
@@ -354,17 +249,13 @@ def _in_source(source: str | None, text: str) -> str | None:
 
 
 def is_broken(weights: np.ndarray, source: str | None, target: str) -> bool:
+    """Breaks off inside its last sentence; one with a closing mark doesn't."""
     text = _CONTROL.sub("", target).rstrip()
     end = bare_end(text)
-    if not end:
-        return False
-    if not closed(text):
-        where = _in_source(source, end)
-        return where == "inside" or where is None and _score(weights, source, end) > OPEN_SCORE
-    if text[-1] in _CLOSE or _score(weights, source, end) <= CLOSED_SCORE or _in_source(source, end) == "end":
+    if not end or closed(text):
         return False
-    # one stray character at the end of a whole answer doesn't break it off
-    return all(_score(weights, source, end[:-1] + c) > OPEN_SCORE for c in FINALS)
+    where = _in_source(source, end)
+    return where == "inside" or where is None and _score(weights, source, end) > OPEN_SCORE
 
 
 def text_defect(source: str | None, target: str | None, weights: np.ndarray) -> str | None:

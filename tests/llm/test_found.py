@@ -204,24 +204,19 @@ def test_long_refusals(source, target, want):
     assert len(defects.plain(target)) > 260 and defects.is_refusal(source, target) == want
 
 
-def test_clues_stand_in_every_aligned_text():
-    rng = random.Random(6)
-    for t, clues in zip(defects._TEMPLATES, defects._CLUES):
-        for _ in range(60):
-            text = "甲乙丙".join(t)
-            i = rng.randrange(len(text))
-            text = text[:i] + rng.choice(["", "丁", "xy"]) + text[i + rng.randint(0, 2) :]
-            assert defects._aligned(t, text) < 0.9 or all(any(c in text for c in part) for part in clues)
-
-
 def test_copies_and_languages():
     assert defects.is_copied(S, "改写：" + S.replace("，", " ")) and defects.is_copied(S, S * 2) and defects.is_copied(S, S.replace("桥", "乔"))
     assert not defects.is_copied(S, "Za-847终端暂时无法识别桥梁支座。") and not defects.is_copied(S, S[:30])
     assert defects.is_other_language(S, "The terminal cannot recognise the bridge because of visitors.")
     assert defects.is_other_language(S, "図書館は秋までに計画を見直すことを決めました。") and not defects.is_other_language(S, "因客流持續增加，Za-847終端暫時無法識別 CoreDNS gRPC Webhook。")
+    assert not defects.is_other_language(S, "工作人员在门口的牌子上写了一行字“出口はこちら”，并且请大家注意。")
     assert defects.is_other_language("The library will close the hall in May.", "La bibliothèque a décidé de fermer la salle avant mai.")
 
 
+def test_closed_ends():
+    assert defects.closed("客服说：“抱歉。”（详见附件）") and defects.closed("好了。（见附件））") and defects.closed("Done. [1]") and not defects.closed("他说（见附件）") and not defects.closed("还没……")
+
+
 def test_flags(spark, sf):
     pairs = spark.read.parquet(f"{sf}/pair_records.parquet")
     extra = spark.createDataFrame([(-1, None, "好的。"), (-2, "原文。", None), (-3, None, None)], "pair_id bigint, source string, target string")
