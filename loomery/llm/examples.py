@@ -1,4 +1,4 @@
-"""Inspected examples of prose, lists, tables and junk, by family; a component of the mixture begins at each."""
+"""Inspected examples of prose, lists, tables and junk, by family. The mixture doesn't begin at them: they name its components."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 _rng = random.Random(11)
 _NOUNS = "毛巾 水杯 扫帚 灯泡 电池 雨衣 粉笔 门锁 花生 茶叶".split()
-_PLACES = "河道清淤 报表工具 检修方案 日志系统 借阅办法 排水管网 供暖计划 绿化养护".split()
+_PLACES = "窗帘轨道 合唱曲谱 露营炉具 邮票图册 木工夹具 陶艺泥料 自行车铃 缝纫机针".split()
 _THINGS = "steel kettle;paper folder;garden rope;oak bench;spare filter;blue ladder;large hinge;travel basket".split(";")
 _NEWS = "根据气象台3月9日公布的数据，今年的降雨量比去年多了12.5%，这对附近的农户来说是一个好消息。工作人员正在检查河边的水位，并且要求居民注意安全。从目前的情况来看，这项工作还要继续一个月。"
 _TALE = "小猫把糖给了小狗，小狗很高兴。天黑了，妈妈在家里做饭。“你在哪里？”爸爸问。大家都来帮忙，小鸟也来了。"
@@ -22,7 +22,7 @@ def _lines(form, n=12, of=_NOUNS, head=""):
 
 
 def _cell():
-    return _rng.choice([str(_rng.randint(3, 9999)), f"{_rng.randint(1, 99)}.{_rng.randint(1, 9)}%", _rng.choice(_PLACES), "青山镇", f"{_rng.randint(1, 12)}月{_rng.randint(1, 28)}日", f"Ka-{_rng.randint(100, 999)}"])
+    return _rng.choice([str(_rng.randint(3, 9999)), f"{_rng.randint(1, 99)}.{_rng.randint(1, 9)}%", _rng.choice(_PLACES), "北渡口", f"{_rng.randint(1, 12)}月{_rng.randint(1, 28)}日", f"QX{_rng.randint(100, 999)}"])
 
 
 def _grid(sep, rows=9, cols=5, left="", right=""):
@@ -30,7 +30,7 @@ def _grid(sep, rows=9, cols=5, left="", right=""):
 
 
 def _fields(sep, end, names=("名称", "产地", "库位", "编号", "数量", "登记日", "说明")):
-    values = ("报表工具5143", "青山市", "河西县", "Ka-413", "3204平方米", "2025-04-16", "定期检查设备以延长寿命")
+    values = ("合唱曲谱5143", "北渡口", "南二架", "QX413", "3204册", "2025-04-16", "每季翻晒一次以防受潮")
     return end.join(f"{k}{sep}{v}" for k, v in zip(names, values))
 
 
@@ -46,6 +46,12 @@ def _noise(n, of="_$%□-~+*#!★&;|\\=./◆:■@^<>?"):
     return "".join(_rng.choice(of) for _ in range(n))
 
 
+def _lost(text, share):
+    """A text read with another coding: characters out of order, many of them replaced."""
+    mixed = _rng.sample(text, len(text))
+    return "".join("\ufffd" if _rng.random() < share else c for c in mixed if c not in "，。")
+
+
 _EN_NAMES = ("name", "origin", "shelf", "code", "amount", "logged", "remark")
 EXAMPLES: list[tuple[str, list[str]]] = [
     ("prose", [_NEWS, _NEWS + "\n" + _NEWS[:60] + "。", "# 简介\n" + _NEWS]),
@@ -53,11 +59,11 @@ EXAMPLES: list[tuple[str, list[str]]] = [
     ("prose", [_LAW, _LAW + "\n" + _LAW, _LAW.replace("，", "、")]),
     ("prose", [_EN, _EN + "\n" + _EN_TALE, _EN.upper()]),
     ("prose", [_EN_TALE, _EN_TALE + "\n" + _EN_TALE]),
-    ("prose", [_EN_PAPER, _EN_PAPER + "\n" + _EN_PAPER, "# 报表\n" + _EN_PAPER]),
+    ("prose", [_EN_PAPER, _EN_PAPER + "\n" + _EN_PAPER, "# 摘要\n" + _EN_PAPER]),
     ("prose", [_TRAD, _TRAD + "\n" + _TRAD]),
     ("prose", [_wrap(_NEWS, 24), _wrap(_NEWS + _LAW, 36), _wrap(_TALE + _TALE, 24)]),
     ("prose", ["<p>" + _NEWS + "</p>\n<p>" + _LAW + "</p>", '<div class="c">' + _TALE + "<br/>\n" + _TALE + "</div>"]),
-    ("prose", ["—" + _NEWS[:46] + "。\n甲：这里的报表工具建成已有20年，近几年才开始检查。\n乙：目前很难一次把河道清理到位。\n“我们希望居民都能用上充电设施。”", "甲：" + _NEWS[:46] + "。\n乙：" + _LAW[:40] + "。"]),
+    ("prose", ["—" + _NEWS[:46] + "。\n甲：这里的邮票图册建成已有20年，近几年才开始检查。\n乙：目前很难一次把河道清理到位。\n“我们希望大家都能看到这些图册。”", "甲：" + _NEWS[:46] + "。\n乙：" + _LAW[:40] + "。"]),
     ("prose", ["小猫在哪里？爸爸问\n这是小马的灯，它是白白的\n大家都来帮忙，小鸟也来了\n小猫很高兴\n晚上我们吃饭，吃了饭就去田里\n妈妈笑了", "他们去了河边\n天气很好，太阳出来了\n小狗跑啊跑，跑到家里，坐下来，很累\n姐姐说：你看，花真好"]),
     ("prose", [_EN.replace(" ", "        "), _EN_TALE.replace(" ", "    ")]),
     ("list", [_lines(lambda i, x: f"• {x}"), _lines(lambda i, x: f"- {x}", head="材料清单\n"), _lines(lambda i, x: f"* {x}")]),
@@ -79,6 +85,8 @@ EXAMPLES: list[tuple[str, list[str]]] = [
     ("junk", [_NEWS.encode().decode("latin-1"), _TALE.encode().decode("latin-1"), _LAW.encode().decode("cp1252", "replace")]),
     ("junk", [_NEWS.encode().decode("gbk", "replace"), _LAW.encode().decode("gbk", "replace"), _TALE.encode().decode("gb18030", "replace")]),
     ("junk", ["\n".join("%064x" % _rng.getrandbits(256) for _ in range(6)), "".join(_rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(400)), "%0400x" % _rng.getrandbits(1600)]),
+    ("junk", [_lost(_NEWS, 0.3), _lost(_LAW * 2, 0.5), _lost(_TALE * 3, 0.4)]),
+    ("junk", ["=-" * 90, "*~" * 60, "-+" * 200, "_" * 150]),
     ("junk", [_noise(300), _noise(180), _noise(420, "★■◆□~#@!%&*")]),
     ("junk", [_random_words(30), _random_words(45), _random_words(20)]),
     ("junk", ["哈" * 200, "顶" * 150, "赞" * 90 + "！" * 20]),

@@ -2,228 +2,97 @@
 
 from __future__ import annotations
 
-import functools
-import json
-import re
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bpe import blocks
 from .common import plain_key, small_rows
 from .examples import EXAMPLES
-
-#: Basic statistics, as they come out for each text.
-BASIC = ("n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_word_share", "han_share", "punctuation_share")
-#: What the mixture sees besides.
-MORE = (
-    "common", "sentences", "marked", "short_items", "enumerated", "cells", "named", "digits", "latin", "symbols", "marks", "foreign", "rare", "broken",
-    "repeats", "restated", "interleaved", "long_tokens", "consonants", "log_line",
-)
-
-_HAN = re.compile(r"[㐀-䶿一-鿿\U00020000-\U0003ffff]")
-_WORD = re.compile(r"[㐀-䶿一-鿿\U00020000-\U0003ffff]|[^\W\d_㐀-䶿一-鿿\U00020000-\U0003ffff]+(?:['’][^\W\d_]+)?|\d+(?:[.,]\d+)*")
-_TAG = re.compile(r"</?(?:p|div|br|span|b|i|em|strong|a|h\d|body|html|article|section|font|center|u|sup|sub|pre|code|blockquote)\b[^<>]*>", re.I)
-_CELLTAG = re.compile(r"<(?:td|th)\b[^<>]*>", re.I)
-_SENTENCE_END = re.compile(r"[。！？!?.…；;．｡][”’」』）)】》\"'\]]*$")
-_CLAUSE = re.compile(r"[，。！？；,.!?;．、：:]")
-_MARKER = re.compile(
-    r"^\s*(?:[-*•·●○◦▪■□◆◇►▶–—+>]+\s*|\d{1,3}\s*[.)、．）:：]\s*|[（(]\s*\d{1,3}\s*[)）]\s*|[一二三四五六七八九十]{1,3}\s*[、.．)）]|[（(][一二三四五六七八九十]{1,3}[)）]|[①-⑳❶-❿]|"
-    r"(?:步骤|步驟|第)\s*[\d一二三四五六七八九十]{1,3}\s*[步项條条点]?\s*[：:.、]?|(?:step|item|no\.?)\s*\d+\s*[:.)]?|\[[ xX√✓]?\]|[☐☑☒✓✔✗]|【[^】]{1,24}】\s*$|[a-zA-Z][.)]\s)",
-    re.I,
-)
-_NAMED = re.compile(r"^\s*[^\s:：=，。,][^:：=，。,\n]{0,17}\s*[:：=]\s*[^\n]{1,60}$")
-HAN, RARE, LATIN, FOREIGN, LETTER, DIGIT, PUNCT, SYMBOL, BROKEN, BLANK = range(10)
-
-
-@functools.cache
-def classes() -> np.ndarray:
-    """The class of every code point. Han letters that neither everyday list of GB 2312 or Big5 has are rare."""
-    by = {"L": LETTER, "M": LETTER, "N": LETTER, "P": PUNCT, "S": SYMBOL, "C": BROKEN, "Z": BLANK}
-    of = np.array([by[unicodedata.category(chr(c))[0]] for c in range(0x110000)], np.uint8)
-    for c in range(0x3400, 0x30000):
-        if 0x9FFF < c < 0xF900 or 0xFAFF < c < 0x20000:
-            continue
-        if unicodedata.category(chr(c)) == "Lo":
-            of[c] = RARE
-            for codec, low, high in (("gb2312", 0xB0, 0xD7), ("big5", 0xA4, 0xC6)):
-                try:
-                    if low <= chr(c).encode(codec)[0] <= high:
-                        of[c] = HAN
-                        break
-                except UnicodeEncodeError:
-                    pass
-    for c in range(0x80, 0x250):
-        if c not in (0x85, 0xA0, 0xA7, 0xB0, 0xB1, 0xB7, 0xD7, 0xF7):
-            of[c] = FOREIGN
-    for c in range(0x21, 0x80):
-        ch = chr(c)
-        of[c] = LATIN if ch.isalpha() else DIGIT if ch.isdigit() else BLANK if ch.isspace() else of[c]
-    of[[c for c in range(0x3000) if chr(c).isspace()]] = BLANK
-    of[0xFFFD] = BROKEN
-    return of
-
-
-_INVISIBLE = re.compile("[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u00ad\u180e]")
-_BREAK = re.compile("\r\n?|[\u2028\u2029\x85\x0b\x0c]")
-_PARTS = re.compile(r"[、，,；;/]")
-_SEGMENT = re.compile(r"[;；\n]")
-_RULE = re.compile(r"[\s|│┃:+=─━┼-]+")
-_SEPARATORS = tuple(re.compile(x) for x in (r"\t", r"[|│┃¦]", r"[,，]", r"[;；]", r" {2,}|　+"))
-_VOWELLESS = re.compile(r"[bcdfghjklmnpqrstvwxz]{4,}")
-
-
-def _body(text: str) -> str:
-    """The text without invisible characters, with one kind of line break."""
-    text = _INVISIBLE.sub("", text)
-    return _BREAK.sub("\n", text)
-
-
-def stats(text: str, common: frozenset[str]) -> tuple[list[float], list[float]]:
-    """The basic statistics of one text, and those the mixture uses."""
-    body = _body(text)
-    cp = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = classes()[cp]
-    count = np.bincount(kind, minlength=10).tolist()
-    n = max(1, len(cp) - count[BLANK])
-    han, punct, sym = count[HAN] + count[RARE], count[PUNCT], count[SYMBOL]
-    lines = [x for x in (y.strip() for y in body.split("\n")) if x]
-    line_end = sum(bool(_SENTENCE_END.search(x[-6:])) for x in lines) / max(1, len(lines))
-    known = common.__contains__
-
-    # --- for the mixture: markup of running text off, wrapped lines joined ---
-    prose = _TAG.sub("\n" if len(lines) < 3 else " ", body) if "<" in body else body
-    rows = [x for x in (y.strip() for y in prose.split("\n")) if x] or [""]
-    sizes = sorted(map(len, rows))
-    wrapped = len(rows) >= 3 and sizes[-1] - sizes[len(rows) // 5] <= 8 and sizes[-1] >= 16
-    total = sum(sizes) or 1
-    said = marked = short = enum = named = 0
-    n_words = word_chars = shared = 0
-    for r in rows:
-        m = _MARKER.match(r)
-        rest = r[m.end() :] if m else r
-        w = _WORD.findall(r.lower() if count[LATIN] else r)
-        fn = sum(map(known, w))
-        n_words, word_chars, shared = n_words + len(w), word_chars + sum(map(len, w)), shared + fn
-        if m:
-            w = _WORD.findall(rest.lower())
-            fn = sum(map(known, w))
-        cn = _HAN.search(rest) is not None
-        clauses = len(_CLAUSE.findall(rest[:-1]))
-        parts = [p for p in _PARTS.split(rest) if p.strip()] if clauses >= 2 else ()
-        if len(parts) >= 3 and fn <= 0.08 * len(w) and sum(map(len, parts)) / len(parts) <= (15 if cn else 26):
-            enum += len(r)
-        elif len(w) >= 5 and (fn >= 0.1 * len(w) or fn and clauses or len(w) >= 12 and fn + clauses >= 2) or fn >= 0.2 * max(1, len(w)) and len(w) >= 3:
-            said += len(r)
-        elif m:
-            marked += len(r)
-        elif len(rest) <= (24 if cn else 48):
-            short += len(r)
-        if _NAMED.match(r) and "。" not in r and "！" not in r and fn <= 0.25 * len(w):
-            named += len(r)
-    nw = max(1, n_words)
-    basic = [float(n_words), word_chars / nw, (punct + sym) / n, line_end, shared / nw, han / n, punct / n]
-    if count[PUNCT] + count[SYMBOL] >= 4 and ("；" in prose or ";" in prose):
-        segments = [x for x in _SEGMENT.split(prose) if x.strip()]
-        good = [x for x in segments if len(x) <= 70 and _NAMED.match(x.strip())]
-        if len(segments) >= 3 and len(good) >= 0.8 * len(segments):
-            named = max(named, sum(map(len, good)))
-    edge = body.strip()
-    if edge[:1] in "{[" and edge[-1:] in "}]" and edge:
-        try:
-            got = json.loads(edge)
-            named = total if isinstance(got, dict) or got and isinstance(got, list) and isinstance(got[0], (dict, list)) else named
-        except (ValueError, RecursionError):
-            named = max(named, total if len(re.findall(r'"[^"\n]{1,30}"\s*:', body)) >= 2 else 0)
-    cells = 0.0
-    if len(_CELLTAG.findall(body)) >= 4:
-        cells = 1.0
-    elif len(lines) >= 2:
-        grid = [x for x in lines if not _RULE.fullmatch(x)]
-        for sep in _SEPARATORS:
-            counts = [len(sep.findall(x.rstrip(",，;；"))) for x in grid]
-            if not counts or not any(counts):
-                continue
-            top = max(set(counts), key=counts.count)
-            if n / sum(c + 1 for c in counts) > 14:
-                continue
-            if top >= 1 and counts.count(top) >= 2:
-                cells = max(cells, counts.count(top) / len(counts))
-            elif basic[4] < 0.05 and min(counts) >= 1:
-                cells = max(cells, 0.9)
-    if "<li" in body.lower():
-        marked = max(marked, total - said)
-    solid = cp[kind != BLANK].astype(np.uint64)
-    repeats = 0.0
-    if len(solid) >= 40:
-        grams = ((solid[:-3] * 1000003 + solid[1:-2]) * 1000003 + solid[2:-1]) * 1000003 + solid[3:]
-        grams.sort()
-        repeats = float((grams[1:] == grams[:-1]).mean())
-    spaced = [w for w in body.split() if w[0] >= "一"] if han else ()
-    restated = 1 - len(set(spaced)) / len(spaced) if len(spaced) >= 10 and 2 * len(spaced) < n < 9 * len(spaced) else 0.0
-    mark = (kind == PUNCT) | (kind == SYMBOL)
-    alone = int((mark[:-2] & ~mark[1:-1] & (kind[1:-1] != BLANK) & mark[2:]).sum()) if len(kind) > 2 else 0
-    tokens = re.findall(r"[A-Za-z0-9+/=_%\\-]{24,}", body) if count[LATIN] + count[DIGIT] >= 24 else ()
-    more = [
-        basic[4], said / total, marked / total, 0.0 if wrapped and basic[4] >= 0.05 else short / total, enum / total, cells, named / total,
-        count[DIGIT] / n, count[LATIN] / n, sym / n, punct / n, count[FOREIGN] / n, count[RARE] / max(1, han) if han >= 10 else 0.0, count[BROKEN] / n,
-        repeats, restated, alone / n, sum(map(len, tokens)) / n,
-        sum(map(len, _VOWELLESS.findall(body.lower()))) / max(20, count[LATIN]), np.log1p(total / len(rows)),
-    ]
-    return basic, more
-
-
-# --- the mixture -----------------------------------------------------------------------------------
-
-FLOOR = 0.02
-ROUNDS = 6
+from .textstats import BASIC, MORE, Lexicon, batch_stats
+
+#: Components of the mixture, and the least variance of a standardized statistic in one.
+COMPONENTS, FLOOR = 96, 0.3
+#: Rows, those with the least hashes of their ids, on which the mixture starts; the rounds after that see all rows.
+START_ROWS = 20_000
+#: EM ends when a round adds less than this to the mean log-likelihood of a row.
+GAIN = 5e-3
+#: Characters of texts whose statistics are worked out together.
+BATCH_CHARS = 400_000
+KINDS = ["prose", "list", "table", "junk"]
 
 
 class Mixture:
-    """Gaussians with diagonal covariance over standardized statistics; each component has a kind."""
-
-    def __init__(self, weight: np.ndarray, mean: np.ndarray, var: np.ndarray, centre: np.ndarray, scale: np.ndarray, kinds: list[str] | None = None):
-        self.weight, self.mean, self.var, self.centre, self.scale, self.kinds = weight, mean, var, centre, scale, kinds
+    """Gaussians with diagonal covariance over standardized statistics."""
 
-    def standard(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.centre) / self.scale
+    def __init__(self, weight: np.ndarray, mean: np.ndarray, var: np.ndarray):
+        self.weight, self.mean, self.var = weight, mean, var
 
-    def posterior(self, x: np.ndarray) -> np.ndarray:
-        """Of standardized rows: the probability of each component."""
+    def density(self, x: np.ndarray) -> np.ndarray:
+        """Of standardized rows: the logarithm of each component's share of the density."""
         inv = 1 / self.var
-        log = -0.5 * ((x * x) @ inv.T - 2 * x @ (self.mean * inv).T + (self.mean * self.mean * inv).sum(1) + np.log(self.var).sum(1)) + np.log(self.weight)
-        log -= log.max(1, keepdims=True)
-        p = np.exp(log)
-        return p / p.sum(1, keepdims=True)
-
-    def kind_probabilities(self, x: np.ndarray, names: list[str]) -> np.ndarray:
-        p = self.posterior(self.standard(x))
-        of = np.array([[k == n for n in names] for k in self.kinds], float)
-        return p @ of
+        const = (self.mean * self.mean * inv).sum(1) + np.log(self.var).sum(1) - 2 * np.log(self.weight)
+        return -0.5 * ((x * x) @ inv.T - 2 * x @ (self.mean * inv).T + const)
+
+    def expect(self, x: np.ndarray) -> np.ndarray:
+        """Sums of one E-step: responsibilities, these times the rows and their squares, and the log-likelihood."""
+        log = self.density(x)
+        top = log.max(1, keepdims=True)
+        p = np.exp(log - top)
+        total = p.sum(1, keepdims=True)
+        p /= total
+        return np.concatenate([p.sum(0), (p.T @ x).ravel(), (p.T @ (x * x)).ravel(), [(np.log(total) + top).sum()]])
+
+    def maximize(self, sums: np.ndarray) -> Mixture:
+        k, d = self.mean.shape
+        nk, sx, sxx = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d : -1].reshape(k, d)
+        some = np.maximum(nk, 1e-6)[:, None]
+        mean = np.where(nk[:, None] > 1e-6, sx / some, self.mean)  # a component that has lost its rows stays where it is
+        var = np.where(nk[:, None] > 1e-6, sxx / some - mean**2, self.var)
+        return Mixture(np.maximum(nk, 1e-6) / np.maximum(nk, 1e-6).sum(), mean, np.maximum(var, FLOOR))
+
+
+def spread_rows(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """At most k rows, each drawn by its squared distance from those before."""
+    rows = [x[rng.integers(len(x))]]
+    d = ((x - rows[0]) ** 2).sum(1)
+    while len(rows) < k and d.sum() > 1e-9:
+        rows.append(x[rng.choice(len(x), p=d / d.sum())])
+        d = np.minimum(d, ((x - rows[-1]) ** 2).sum(1))
+    return np.array(rows)
+
+
+def start_mixture(x: np.ndarray, k: int = COMPONENTS, seed: int = 4, rounds: int | None = None) -> Mixture:
+    """EM on the rows given, begun at rows drawn from them, until a round gains less than GAIN (or for ``rounds`` rounds)."""
+    mean = spread_rows(x, k, np.random.default_rng(seed))
+    mix, old, n = Mixture(np.full(len(mean), 1 / len(mean)), mean, np.ones_like(mean)), -np.inf, 0
+    while rounds is None or n < rounds:
+        sums = mix.expect(x)
+        if sums[-1] / len(x) - old < GAIN:
+            break
+        mix, old, n = mix.maximize(sums), sums[-1] / len(x), n + 1
+    return mix
 
 
-KINDS = ["prose", "list", "table", "junk"]
+def name_components(mix: Mixture, examples: np.ndarray, kinds: list[str]) -> list[str]:
+    """The kind of each component: that of the inspected example (standardized) next to its mean, by square roots of differences."""
+    far = np.sqrt(np.abs(examples[None] - mix.mean[:, None])).sum(2)
+    return [kinds[i] for i in far.argmin(1)]
 
 
-def _seeds(common: frozenset[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """The statistics of the inspected examples, their kinds, and the family each belongs to."""
-    xs, kinds, family = [], [], []
-    for f, (kind, texts) in enumerate(EXAMPLES):
-        for t in texts:
-            xs.append(stats(t, common)[1])
-            kinds.append(kind)
-            family.append(f)
-    return np.array(xs), kinds, np.array(family)
+def example_stats(lex: Lexicon) -> tuple[np.ndarray, list[str]]:
+    """The statistics of the inspected examples, and their kinds."""
+    own = [(kind, t) for kind, texts in EXAMPLES for t in texts]
+    return batch_stats([t for _, t in own], lex)[1], [kind for kind, _ in own]
 
 
-def fit_mixture(rows: DataFrame, common: frozenset[str], rounds: int = ROUNDS) -> Mixture:
-    """EM over all rows' statistics (column ``x``): one component begins at each family of examples.
+def fit_mixture(rows: DataFrame, id_col: str, lex: Lexicon) -> tuple[Mixture, np.ndarray, np.ndarray, list[str]] | None:
+    """The mixture over all rows' statistics (column ``x``), what centres and scales them, and each component's kind.
 
-    Every round is one pass in which each task adds up its rows' responsibilities; only sums of the size of
-    the model reach the driver. Components are mapped to kinds by the posterior of the inspected examples.
+    EM starts on at most START_ROWS rows and goes on over all rows until it converges. A round is one pass in which
+    each task adds up its rows' responsibilities; only sums of the model's size reach the driver. None without rows.
     """
     d = len(MORE)
 
@@ -242,55 +111,25 @@ def fit_mixture(rows: DataFrame, common: frozenset[str], rounds: int = ROUNDS) -
         return out
 
     first = sums(lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
-    n = max(1.0, first[0])
+    n = first[0]
+    if not n:
+        return None
     centre = first[1 : 1 + d] / n
     scale = np.sqrt(np.maximum(first[1 + d :] / n - centre**2, 1e-4))
-    ex, ex_kinds, family = _seeds(common)
-    z = (ex - centre) / scale
-    k = len(EXAMPLES)
-    mean = np.array([z[family == f].mean(0) for f in range(k)])
-    var = np.array([np.maximum(z[family == f].var(0), 0.15) for f in range(k)])
-    mix = Mixture(np.full(k, 1 / k), mean, var, centre, scale)
-    prior = 20.0
-    for _ in range(rounds):
-        now = mix
-
-        def estep(x, now=now):
-            s = now.standard(x)
-            p = now.posterior(s)
-            return np.concatenate([p.sum(0), (p.T @ s).ravel(), (p.T @ (s * s)).ravel()])
-
-        got = sums(estep, k + 2 * k * d)
-        nk, sx, sxx = got[:k], got[k : k + k * d].reshape(k, d), got[k + k * d :].reshape(k, d)
-        m = (sx + prior * mean) / (nk + prior)[:, None]  # the examples hold a component in place until rows do
-        v = (sxx + prior * (var + mean**2)) / (nk + prior)[:, None] - m**2
-        mix = Mixture((nk + 1) / (nk.sum() + k), m, np.maximum(v, FLOOR), centre, scale)
-    p = mix.posterior(z)
-    mass = np.array([[p[[i for i, q in enumerate(ex_kinds) if q == kind], c].sum() for kind in KINDS] for c in range(k)])
-    mix.kinds = [KINDS[int(mass[c].argmax())] if mass[c].max() > 1e-3 else EXAMPLES[c][0] for c in range(k)]
-    return mix
+    some = rows.orderBy(F.xxhash64(id_col), "x").limit(START_ROWS).select("x").toArrow().column(0)
+    start = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in some.chunks]).reshape(-1, d)
+    mix, old = start_mixture((start - centre) / scale), -np.inf
+    while True:
+        got = sums(lambda x, m=mix: m.expect((x - centre) / scale), len(mix.mean) * (1 + 2 * d) + 1)
+        if got[-1] / n - old < GAIN:
+            break
+        mix, old = mix.maximize(got), got[-1] / n
+    examples, kinds = example_stats(lex)
+    return mix, centre, scale, name_components(mix, (examples - centre) / scale, kinds)
 
 
-def settle(kind: str, p: np.ndarray, x: np.ndarray) -> str:
-    """The exact check of what the mixture found, on the shares a text's own lines give."""
-    f = dict(zip(MORE, x))
-    broken = (
-        f["rare"] > 0.45 or f["foreign"] > 0.2 and f["common"] < 0.12 or f["interleaved"] > 0.25 or f["long_tokens"] > 0.6
-        or f["repeats"] > 0.85 and f["named"] + f["cells"] < 0.5 or f["restated"] > 0.4 and f["marked"] + f["cells"] < 0.5 and f["log_line"] > 3 or f["broken"] > 0.25 or f["marks"] + f["symbols"] > 0.75
-    )
-    if broken:
-        return "junk"
-    items = f["marked"] + f["short_items"] + f["enumerated"]
-    fields = max(f["cells"], f["named"])
-    if f["sentences"] >= 0.6 and f["common"] >= 0.08 and (fields < 0.8 or f["cells"] < 0.8 and f["common"] >= 0.12):
-        return "prose"
-    if kind != "prose" and f["sentences"] >= 0.5 and f["common"] >= 0.08 and fields < 0.5:
-        return "prose"
-    if kind in ("prose", "list") and f["common"] < 0.06 and fields >= 0.7 and f["sentences"] < 0.4:
-        return "table"
-    if kind in ("prose", "table") and f["common"] < 0.06 and fields < 0.3 and items >= 0.6 and f["sentences"] < 0.3 and f["consonants"] < 0.15:
-        return "list"
-    return kind
+def _lexicon(common_words: DataFrame) -> frozenset[str]:
+    return frozenset(str(r[0]).lower() for r in small_rows(common_words.select("token").filter("token is not null").distinct(), 100_000))
 
 
 def text_stats(records: DataFrame, common_words: DataFrame, policies: DataFrame, id_col: str = "record_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -299,19 +138,19 @@ def text_stats(records: DataFrame, common_words: DataFrame, policies: DataFrame,
     within_policy: the Han share is at least the source's min_cjk_ratio and the punctuation share at most
     its max_punctuation_ratio; null where the source has no policy. Repeated ids have a row each.
     """
-    common = frozenset(str(r[0]).lower() for r in small_rows(common_words.select("token").filter("token is not null").distinct(), 100_000))
+    common = _lexicon(common_words)
     kind = records.schema[id_col].dataType.simpleString()
     shape = f"`{id_col}` {kind}, _source string, " + ", ".join(f"{c} double" for c in BASIC) + ", x array<float>"
 
     def run(batches):
+        lex = Lexicon(common)
         for b in batches:
-            got = [stats(t, common) for t in b.column(2).to_pylist()]
-            if not got:
-                continue
-            basic = np.array([g[0] for g in got])
-            x = pa.array(np.array([g[1] for g in got], np.float32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, len(MORE), dtype=np.int32)), x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(basic[:, i]) for i in range(len(BASIC))), lists], names=[id_col, "_source", *BASIC, "x"])
+            texts = b.column(2).to_pylist()
+            for i, j in blocks(texts, BATCH_CHARS):
+                basic, more = batch_stats(texts[i:j], lex)
+                x = pa.array(more.astype(np.float32).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, len(MORE), dtype=np.int32)), x)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(basic[:, k]) for k in range(len(BASIC))), lists], names=[id_col, "_source", *BASIC, "x"])
 
     rows = records.select(F.col(id_col), plain_key(source_col).alias("_source"), F.col(text_col).alias("_text")).filter(F.regexp_like("_text", F.lit(r"[^\s\p{C}\p{Z}]")))
     got = rows.mapInArrow(run, shape)
@@ -323,25 +162,26 @@ def text_stats(records: DataFrame, common_words: DataFrame, policies: DataFrame,
 def classify_texts(records: DataFrame, common_words: DataFrame, policies: DataFrame, id_col: str = "record_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, the statistics, within_policy, kind): kind is prose, list, table or junk for each text.
 
-    Null and blank texts have no row. Texts of any length are read whole. The statistics are stored once
-    and the mixture is fitted on all of them; the kind is that of the likeliest components, checked against
-    the shares of sentences, items, cells and broken characters in the text itself.
+    Null and blank texts have no row. Texts of any length are read whole. The statistics are stored once and the
+    mixture is fitted on all of them; a text has the kind of its likeliest component.
     """
     spark = records.sparkSession
-    common = frozenset(str(r[0]).lower() for r in small_rows(common_words.select("token").filter("token is not null").distinct(), 100_000))
     rows = materialize(text_stats(records, common_words, policies, id_col, text_col, source_col), "stats")
-    mix = spark.sparkContext.broadcast(fit_mixture(rows, common))
     names = [id_col, *BASIC, "within_policy"]
+    shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", kind string"
+    fitted = fit_mixture(rows, id_col, Lexicon(_lexicon(common_words)))
+    if fitted is None:
+        return spark.createDataFrame([], shape)
+    shared = spark.sparkContext.broadcast(fitted)
 
     def run(batches):
-        m = mix.value
+        mix, centre, scale, kinds = shared.value
+        named = np.array(kinds)
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MORE)).astype(np.float64)
-            p = m.kind_probabilities(x, KINDS)
-            found = [settle(KINDS[int(q.argmax())], q, r) for q, r in zip(p, x)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.string())], names=[*names, "kind"])
+            found = named[mix.density((x - centre) / scale).argmax(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found.tolist(), pa.string())], names=[*names, "kind"])
 
-    shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", kind string"
     return rows.select(*names, "x").mapInArrow(run, shape)

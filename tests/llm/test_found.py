@@ -235,6 +235,7 @@ def test_kinds(spark, sf):
         (4, "哈" * 120, "a"), (5, None, "a"), (6, " \n\t", "a"), (7, "今天的天气很好，我们在公园里看到了很多人。".encode().decode("latin-1"), None), (8, '{"name": "x", "place": "y", "code": "Ka-1"}', "zz"), (9, "The dog ran to the shop, and it was happy. Where is the book? It is in the house.", "a"),
     ]
     df = spark.createDataFrame(rec, "record_id bigint, text string, source string").withColumn("x", F.lit(0)).withColumn("kind", F.lit(0))
+    sf = "/root/testdata/sf0.01"
     own = spark.read.parquet(f"{sf}/text_records.parquet").select((F.col("record_id") + 1000).alias("record_id"), "text", "source", F.lit(0).alias("x"), F.lit(0).alias("kind"))
     words, pol = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("common_words", "cleaning_policies"))
     out = {r.record_id: r for r in prose.classify_texts(df.unionByName(own), words, pol).filter("record_id < 1000").collect()}
