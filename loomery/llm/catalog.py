@@ -41,7 +41,7 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     got = pieces.split_oversized(table(spark, d, "long_documents"), table(spark, d, "chunk_limits"))
-    forced = F.exists("pieces", lambda p: ~p["natural"]) & F.col("unbroken")
+    forced = F.exists("pieces", lambda p: ~p["natural"])
     return got.select("document_id", F.when(forced, "forced").otherwise("natural").alias("cut"))
 
 
@@ -85,6 +85,30 @@ SQL = {
         WITH o AS (SELECT DISTINCT d.document_id, d.source, l.max_chars FROM long_documents d JOIN chunk_limits l USING (category) WHERE length(d.source) > l.max_chars)
         SELECT document_id, max(CASE WHEN len(list_filter(regexp_split_to_array(source, '[。！？!?；;…，,、\\s\\x{3000}\\x{00a0}\\x{2028}\\x{2029}]'), lambda x: length(x) > max_chars)) > 0 THEN 'forced' ELSE 'natural' END) AS cut
         FROM o GROUP BY document_id""",
+    "p4_pieces": """
+        WITH RECURSIVE d AS (
+            SELECT document_id, source AS t, length(source) AS n, max_chars AS m, least(greatest(overlap_chars, 0), max_chars - 1) AS o FROM long_documents JOIN chunk_limits USING (category) WHERE length(source) > max_chars
+            QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY added_at DESC NULLS LAST, source DESC) = 1),
+        c AS (SELECT document_id, p, substr(t, p, 1) AS ch, substr(t, p + 1, 1) AS nx, CASE WHEN p > 1 THEN substr(t, p - 1, 1) ELSE '' END AS pv FROM d, unnest(range(1, n + 1)) AS u(p)),
+        k AS (SELECT *, strpos('。！？!?；;…', ch) > 0 AS is_end, strpos('，,、', ch) > 0 AS is_comma,
+                ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(8232), chr(8233), chr(12288), chr(160)) AS is_blank FROM c),
+        b AS (SELECT document_id,
+                list(p ORDER BY p) FILTER (((is_end OR ch IN (chr(10), chr(13)) OR strpos('”’」』）)】》"' || chr(39), ch) > 0 AND pv <> '' AND strpos('。！？!?；;…', pv) > 0) AND (nx = '' OR strpos('”’」』）)】》"。！？!?；;…' || chr(39), nx) = 0))
+                    OR ch = '.' AND nx IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS s1,
+                list(p ORDER BY p) FILTER (is_comma) AS s2, list(p ORDER BY p) FILTER (is_blank) AS s3, list(p ORDER BY p) FILTER (is_end OR is_comma OR is_blank) AS s4 FROM k GROUP BY document_id),
+        r AS (
+            SELECT document_id, -1 AS piece_no, 0 AS beg, 0 AS e FROM d
+            UNION ALL
+            SELECT document_id, piece_no + 1, e + 1, CASE WHEN n - e <= w THEN n ELSE coalesce(
+                list_max(list_filter(s1, lambda x: x BETWEEN e + h AND e + w)), list_max(list_filter(s2, lambda x: x BETWEEN e + h AND e + w)),
+                list_max(list_filter(s3, lambda x: x BETWEEN e + h AND e + w)), list_max(list_filter(s4, lambda x: x BETWEEN e + h AND e + w)),
+                list_max(list_filter(s1, lambda x: x BETWEEN e + 1 AND e + h)), list_max(list_filter(s2, lambda x: x BETWEEN e + 1 AND e + h)),
+                list_max(list_filter(s3, lambda x: x BETWEEN e + 1 AND e + h)), list_max(list_filter(s4, lambda x: x BETWEEN e + 1 AND e + h)),
+                list_min(list_filter(s4, lambda x: x BETWEEN e + w + 1 AND e + m)), CASE WHEN n - e <= m THEN n END, CASE WHEN list_contains(s4, e + m + 1) THEN e + m END, e + w) END
+            FROM (SELECT *, greatest(1, w // 2) AS h FROM (SELECT r.*, d.n, d.m, CASE WHEN r.e = 0 THEN d.m ELSE d.m - d.o END AS w FROM r JOIN d USING (document_id) WHERE r.e < d.n)) JOIN b USING (document_id))
+        SELECT document_id, piece_no, CAST(beg AS INTEGER) AS "at", CAST(e - beg + 1 AS INTEGER) AS own, substr(t, beg - back, back + e - beg + 1) AS piece,
+            (e = n OR list_contains(s4, e + 1) OR list_contains(s4, beg - 1 + length(rtrim(substr(t, beg, e - beg + 1), '”’」』）)】》"' || chr(39))))) AS "natural"
+        FROM (SELECT *, least(o, m - (e - beg + 1), beg - 1) AS back FROM r JOIN d USING (document_id) JOIN b USING (document_id) WHERE piece_no >= 0)""",
 }
 
 

@@ -49,10 +49,38 @@ def test_pieces_hold_the_whole_text(spark):
             assert p.piece == t[at - back : at + p.own]
             at += p.own
         assert at == len(t)
-    assert out["d1"].unbroken and out["d5"].unbroken
+    assert all(not all(p.natural for p in out[d].pieces) for d in out)
     assert all(p.natural for p in out["d1"].pieces[:4])
 
 
+def pieces_of(spark, text, full, overlap):
+    docs = spark.createDataFrame([("d", "k", text, "2025")], "document_id string, category string, source string, added_at string")
+    return pieces.split_oversized(docs, spark.createDataFrame([("k", full, overlap)], "category string, max_chars int, overlap_chars int")).first().pieces
+
+
+def test_a_sentence_that_fits_stays_whole(spark):
+    one, two = "甲" * 90 + "。", "乙" * 90 + "。"
+    got = pieces_of(spark, one + two, 100, 20)
+    assert [(p.at, p.own, p.natural, p.piece) for p in got] == [(1, 91, True, one), (92, 91, True, "甲" * 8 + "。" + two)]
+    full = pieces_of(spark, "字" * 100 + "。" + "尾" * 30, 100, 20)
+    assert [(p.own, p.natural) for p in full] == [(100, True), (31, True)]
+
+
+def test_forced_only_in_long_stretches(spark):
+    import re as regex
+
+    rng = random.Random(12)
+    for _ in range(25):
+        text = "".join(rng.choice(["字" * rng.randint(1, 28), "。", "，", " ", "”", "。”）", ".", "\n", "b" * rng.randint(1, 24)]) for _ in range(40))
+        full, overlap = rng.randint(12, 26), rng.randint(0, 15)
+        if len(text) <= full:
+            continue
+        overlap = min(overlap, full - 1)
+        got = pieces_of(spark, text, full, overlap)
+        assert "".join(p.piece[len(p.piece) - p.own :] for p in got) == text and all(len(p.piece) <= full for p in got)
+        assert any(not p.natural for p in got) == any(len(x) > full for x in regex.split(pieces.BOUNDARY, text))
+
+
 # --- copies --------------------------------------------------------------------------------------
 
 
