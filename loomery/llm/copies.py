@@ -17,9 +17,10 @@ from .common import plain_key
 
 #: Rows of one digest are spread over so many tasks before they meet.
 SALTS = 64
-#: Bits of the map that says which digests may occur twice: 2 ** 17 words, however many records there are.
-MAP_BITS = 1 << 23
-_NAMED = re.compile(r"\s*([^：:=;；{}\"]{1,24}?)\s*[：:=]\s*(.+?)\s*\Z", re.S)
+#: Bits of the map that says which digests may occur twice, for each digest that does, and in all: the map then has
+#: at most 2 ** 22 words of 16 bytes. With more digests than bits it would let all forms through and is left out.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+_NAMED = re.compile(r"\s*([^：:=;；{}\"。！？!?]+?)\s*[：:=]\s*(.+?)\s*\Z", re.S)
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -31,9 +32,11 @@ def leaf(value: str) -> str:
 def parse(text: str):
     """The nested record a text holds: pairs for named fields, lists for arrays; None for running text."""
     body = "".join(c for c in text if unicodedata.category(c) != "Cf").strip()
-    if body[:1] == "{":
+    if body[:1] == "{" or body[:1] == "[" and "{" in body:
         try:
-            return json.loads(body, object_pairs_hook=lambda pairs: ("object", pairs), parse_int=str, parse_float=str, parse_constant=str, strict=False)
+            node = json.loads(body, object_pairs_hook=lambda pairs: ("object", pairs), parse_int=str, parse_float=str, parse_constant=str, strict=False)
+            if _has_object(node):  # an array of values alone has its order and compares as running text
+                return node
         except (ValueError, RecursionError):
             pass
     for parts in (re.split(r"[\r\n  \x85]+", body), re.split(r"[;；\r\n]+", body)):
@@ -45,6 +48,10 @@ def parse(text: str):
     return None
 
 
+def _has_object(node) -> bool:
+    return isinstance(node, tuple) or isinstance(node, list) and any(map(_has_object, node))
+
+
 def merkle(node) -> tuple[bytes, str]:
     """Digest and canonical form of a nested record, from the leaves up; children of an object have no order."""
     if isinstance(node, tuple):
@@ -104,13 +111,16 @@ def collapse_copies(
     forms = materialize(_forms(records, policies, id_col, text_col, source_col), "forms")
     # pre-aggregated digests, then one row for each digest held by more than one record
     part = forms.groupBy("_key", "_salt").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    many = part.groupBy("_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")).filter("_n > 1")
+    many = materialize(part.groupBy("_key").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")).filter("_n > 1"), "digests")
     spread = part.select("_key", "_salt").join(many.select("_key", "_first"), "_key")
-    # a map of bounded size keeps most forms that have no copy out of the shuffle; what it lets through is joined exactly
-    place = F.pmod(F.xxhash64("_key"), F.lit(MAP_BITS))
-    word, bit = F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_key), {MAP_BITS}) & 63 as int))")
-    bits = many.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    maybe = forms.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+    maybe, n = forms, many.count()
+    if n <= MOST_BITS:
+        # a map sized by the digests keeps most forms that have no copy out of the shuffle; what it lets through is joined exactly
+        bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * n).bit_length()))
+        place = F.pmod(F.xxhash64("_key"), F.lit(bits))
+        word, bit = F.shiftright(place, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_key), {bits}) & 63 as int))")
+        words = many.groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+        maybe = forms.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
     members = maybe.join(spread, ["_key", "_salt"])
     # the first member's form goes to all tasks that hold members
     first = members.filter("_id = _first").groupBy("_key").agg(F.min("_form").alias("_of_first"))

@@ -105,6 +105,20 @@ def test_fields_behind_breaks_and_rules(spark):
     assert got(copies.collapse_copies(spark.createDataFrame(rows, "record_id bigint, text string, source string"), pol)[1]) == [(1, 2), (1, 3), (1, 4), (1, 5)]
 
 
+def test_arrays_at_the_top_and_long_names(spark, monkeypatch):
+    long = "the name of a field that goes on for much longer than most names do"
+    rows = [
+        (1, '[{"a":1,"b":2}]', "s"), (2, '[{"b":2,"a":1}]', "s"), (3, '[{"b":1,"a":2}]', "s"), (4, "[1, 2]", "s"), (5, "1 2", "s"), (6, "[2, 1]", "s"),
+        (7, f"{long}: x1\nkind: y1", "s"), (8, f"kind: y1\n{long.upper()} = x1", "s"), (9, '[[{"x": [1, {"p": 1, "q": 2}]}]]', "s"), (10, '[[{"X": ["1", {"q": 2, "p": 1}]}]]', "s"), (11, "[注] {见下}", "s"),
+    ]
+    df = spark.createDataFrame(rows, "record_id bigint, text string, source string")
+    pol = spark.createDataFrame([("s", "normalized")], "source string, dedupe_mode string")
+    want = [(1, 2), (4, 5), (7, 8), (9, 10)]
+    assert got(copies.collapse_copies(df, pol)[1]) == want
+    monkeypatch.setattr(copies, "MOST_BITS", 2)  # more digests than bits: no map
+    assert got(copies.collapse_copies(df, pol)[1]) == want
+
+
 def test_prose_with_colons_is_no_record():
     assert copies.parse("甲：今天天气很好。我们去公园。\n乙：好的。") is None and copies.parse("{broken") is None
     assert copies.parse("a：1\na：2") is None
