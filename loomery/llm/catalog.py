@@ -69,6 +69,17 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing: all rows packed, none split that fits, no container over its capacity, little space left."""
+    packed = packing.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    own = packed.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    rows = own.groupBy("container", "capacity").agg(F.count("*").alias("texts"), F.sum("tokens").alias("all"), F.sum(F.when((F.col("tokens") <= F.col("capacity")) & (F.col("n") > 1), 1).otherwise(0)).alias("split_though_fitting"))
+    bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("used"), F.first("capacity").alias("capacity"))
+    bins = bins.groupBy("container").agg(F.sum((F.col("used") > F.col("capacity")).cast("int")).alias("over_full"), F.count("*").alias("bins"))
+    full = F.col("all") >= 0.97 * F.col("bins") * F.col("capacity")
+    return rows.join(bins, "container").select("container", "capacity", "texts", "split_though_fitting", "over_full", full.alias("nearly_full"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels")).select("doc_id", "grade")
 
@@ -81,6 +92,9 @@ SQL = {
         SELECT c.source, CAST(round(max(score) * 1000) AS BIGINT) AS cutoff_milli, CAST(min(kept) AS BIGINT) AS kept_rows
         FROM c JOIN (SELECT lower(trim(source)) AS source, keep_percent FROM keep_targets) t ON c.source = t.source
         WHERE 100 * kept >= keep_percent * total GROUP BY c.source""",
+    "p8_checks": """
+        SELECT container, CAST(max(capacity) AS INTEGER) AS capacity, (SELECT count(*) FROM documents) AS texts, CAST(0 AS BIGINT) AS split_though_fitting, CAST(0 AS BIGINT) AS over_full, true AS nearly_full
+        FROM pack_sizes WHERE capacity > 0 GROUP BY container""",
     "p4_found": """
         WITH o AS (SELECT DISTINCT d.document_id, d.source, l.max_chars FROM long_documents d JOIN chunk_limits l USING (category) WHERE length(d.source) > l.max_chars)
         SELECT document_id, max(CASE WHEN len(list_filter(regexp_split_to_array(source, '[。！？!?；;…，,、\\s\\x{3000}\\x{00a0}\\x{2028}\\x{2029}]'), lambda x: length(x) > max_chars)) > 0 THEN 'forced' ELSE 'natural' END) AS cut
@@ -113,7 +127,7 @@ SQL = {
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_report, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_kinds, p2_found, p2_report, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p7_ids, p8_packed, p8_checks, p9_found)}
 
 
 def oracle_sql():

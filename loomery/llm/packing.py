@@ -39,18 +39,14 @@ class Bins:
         self.filled |= 1 << r
 
     def candidates(self, size: int, cluster: int, source: int):
-        """Compatible containers from the tightest on; of equally tight ones those new to the source first."""
+        """Compatible containers from the tightest on: neither bitmap may hold the item's bit."""
         rest = self.filled >> size << size
         while rest:
             low = rest & -rest
             rest ^= low
-            free = [b for b in self.by_left.get(low.bit_length() - 1, ()) if not self.clusters[b] & cluster] if cluster else list(self.by_left.get(low.bit_length() - 1, ()))
-            if source and len(free) > 1 and self.sources[free[-1]] & source:
-                for i in range(len(free) - 1):
-                    if not self.sources[free[i]] & source:
-                        free[i], free[-1] = free[-1], free[i]
-                        break
-            yield from reversed(free)
+            for b in self.by_left.get(low.bit_length() - 1, ())[::-1]:
+                if not (self.clusters[b] & cluster or self.sources[b] & source):
+                    yield b
 
     def put(self, b: int, size: int, cluster: int, source: int) -> None:
         if size:
@@ -69,44 +65,59 @@ class Bins:
         self.clusters[b] |= cluster
 
 
+#: Of one source a container takes so many times as many items as an even spread would give it.
+SOURCE_SLACK = 2
+
+
 def pack(sizes: np.ndarray, clusters: np.ndarray, sources: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item, from the largest item on; no size may exceed ``capacity``.
 
-    Copies of one text go to different containers, as evenly as needed: where a text has more copies than
-    there must be containers, that many times more may share one. Items of size 0 go to container 0.
+    Items with the same bit never share a container. Copies of a text have a bit each in turn, of as many as an even
+    spread over the least possible number of containers puts into one (one, unless there are more copies than
+    containers); so have items of a source, of SOURCE_SLACK times as many. An item that no open container can take
+    opens a new one; only where there are as many as the sizes need at least, and the source alone is in the way,
+    does it go to the tightest container without regard to the source. Items of size 0 go to container 0.
     """
     n = len(sizes)
     where = np.zeros(n, np.int64)
     if not n:
         return where
     least = max(1, -(-int(sizes.sum()) // capacity))
-    _, of, many = np.unique(clusters, return_inverse=True, return_counts=True)
-    seen: dict[int, int] = {}
-    bit_of: dict[tuple[int, int], int] = {}
-    src_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources.tolist()))}
+    some = sizes > 0
+    bits = []
+    for values, slack in ((clusters, 1), (sources, SOURCE_SLACK)):
+        _, of = np.unique(values, return_inverse=True)
+        many = np.bincount(of[some], minlength=int(of.max()) + 1)
+        bits.append((of, many, np.maximum(1, slack * -(-many // least))))
+    (of, many, share), (src, src_many, src_share) = bits
+    seen, src_seen = [0] * len(many), [0] * len(src_many)
+    bit_of: tuple[dict, dict] = ({}, {})
     bins = Bins(capacity)
     order = np.lexsort((np.arange(n), of, -sizes))
     run_key, run = None, iter(())
     for i in order.tolist():
-        size, c = int(sizes[i]), int(of[i])
+        size, c, s = int(sizes[i]), int(of[i]), int(src[i])
         if not size:
             if not bins.left:
                 bins.open()
             continue
-        bit = 0
+        bit = source = 0
         if many[c] > 1:
-            k = seen.get(c, 0)
-            seen[c] = k + 1
-            bit = bit_of.setdefault((c, k % -(-int(many[c]) // least)), 1 << len(bit_of))
-        src = src_bit[sources[i]]
-        if bit and run_key == (size, bit):
+            bit = bit_of[0].setdefault((c, seen[c] % int(share[c])), 1 << len(bit_of[0]))
+            seen[c] += 1
+        if src_many[s] > 1:
+            source = bit_of[1].setdefault((s, src_seen[s] % int(src_share[s])), 1 << len(bit_of[1]))
+            src_seen[s] += 1
+        if bit and run_key == (size, bit, source):
             b = next(run, None)  # goes on where the last copy was put: what is tighter holds a copy by now
         else:
-            run_key, run = (size, bit), bins.candidates(size, bit, src)
+            run_key, run = (size, bit, source), bins.candidates(size, bit, source)
             b = next(run, None)
+        if b is None and source and len(bins.left) >= least:
+            b = next(bins.candidates(size, bit, 0), None)
         if b is None:
             b = bins.open()
-        bins.put(b, size, bit, src)
+        bins.put(b, size, bit, source)
         if not bit:
             run_key = None
         where[i] = b

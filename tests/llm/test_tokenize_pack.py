@@ -19,7 +19,7 @@ def test_ids_equal_the_library(spark, reference):
     df = spark.createDataFrame([*enumerate(TEXTS), (99, None)], "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
     got = {r.doc_id: r.ids for r in tokenize.encode_corpus(df).collect()}
     assert [got[i] for i in range(len(TEXTS))] == reference(TEXTS) and got[99] == []
-    back = {r.doc_id: r.text for r in tokenize.decode_corpus(tokenize.encode_corpus(df)).collect()}
+    back = {r.doc_id: r.text for r in tokenize.decode_corpus(tokenize.encode_corpus(df, offsets=True)).collect()}
     assert [back[i] for i in range(len(TEXTS))] == TEXTS
     assert tokenize.encode_corpus(df.limit(0)).count() == 0
 
@@ -32,7 +32,8 @@ def test_random_texts(reference):
     @hypothesis.settings(max_examples=150, deadline=None)
     @hypothesis.given(st.lists(st.text(st.sampled_from("ab 's tre\n\t1中，-!llvedm　é"), max_size=40), max_size=4))
     def same(texts):
-        ids, at = enc.encode(texts)
+        ids, at, offsets = enc.encode(texts)
+        assert enc.decode(ids, at, offsets) == texts
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == reference(texts)
         assert enc.count(texts).tolist() == [len(x) for x in reference(texts)]
 
@@ -41,10 +42,35 @@ def test_random_texts(reference):
 
 def test_long_text(reference):
     text = "很长的文字，a b " * 20_000
-    ids, at = bpe.encoder(bpe.ranks_path()).encode([text])
+    enc = bpe.encoder(bpe.ranks_path())
+    ids, at, offsets = enc.encode([text])
+    assert enc.decode(ids, at, offsets) == [text]
+    with pytest.raises(ValueError):
+        enc.decode(ids, at, offsets + np.arange(len(offsets)))
     assert ids.tolist() == reference([text])[0]
 
 
+def test_scan_is_a_run_of_the_automaton(monkeypatch):
+    rng = np.random.default_rng(2)
+    table, codes = rng.integers(0, 5, (7, 5)).astype(np.uint8), rng.integers(0, 7, 4000)
+    want, s = [], 3
+    for c in codes:
+        want.append(s)
+        s = table[c, s]
+    for block in (2, 7, 256):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        assert bpe._scan(codes, table, 3).tolist() == [int(x) for x in want]
+
+
+def test_items_of_a_source_are_spread():
+    rng = np.random.default_rng(4)
+    size, source = rng.integers(1, 60, 3000), np.where(np.arange(3000) % 3 == 0, "hot", np.arange(3000).astype(str))
+    where = packing.pack(size, np.arange(3000), source.astype(object), 256)
+    used, hot = np.bincount(where, weights=size), np.bincount(where[source == "hot"])
+    least = -(-int(size.sum()) // 256)
+    assert used.max() <= 256 and len(used) <= 1.01 * least and (hot > packing.SOURCE_SLACK * -(-1000 // least)).mean() <= 0.04
+
+
 def test_pack_rules():
     rng = np.random.default_rng(1)
     size = rng.integers(0, 100, 500)
