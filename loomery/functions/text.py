@@ -13,6 +13,11 @@ URL = r"(?i)https?://\S+|www\.\S+"
 HTML_TAG = r"<[^>\n]{1,120}>"
 NUMBER_METRIC = r"\p{Nd}+(?:\.\p{Nd}+)?%?"
 NUMBER_SPAN = r"\p{Nd}+(?:[.:：/\-—]\p{Nd}+)*%?"
+#: Digits of any kind: decimal digits, and superscript, circled and other digits without a decimal value.
+DIGIT = (
+    r"[\p{Nd}\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}"
+    r"\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
+)
 SENTENCE_ENDINGS = "。！？.!?；;）)]】》\"'”’"
 CLOSING = "。！？.!?"
 BLANK = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
@@ -118,7 +123,7 @@ def punctuation_ratio(c: Column | str, visible: Column | None = None) -> Column:
 
 
 def digit_ratio(c: Column | str, visible: Column | None = None) -> Column:
-    return ratio(matched_chars(c, r"\p{Nd}"), visible_chars(c) if visible is None else visible)
+    return ratio(matched_chars(c, DIGIT), visible_chars(c) if visible is None else visible)
 
 
 def lines(c: Column | str) -> Column:

@@ -15,16 +15,16 @@ class Policy:
     """Bounds of a cleaning run; a ratio bound below 0 is off."""
 
     min_score: float = 4.0
-    min_chars: int = 20
-    max_chars: int = 4096
-    min_cjk_ratio: float = 0.2
-    normalize_unicode: bool = True
+    min_chars: int = 200
+    max_chars: int = 16_384
+    min_cjk_ratio: float = 0.25
+    normalize_unicode: bool = False
     dedupe_mode: str = "normalized"
-    max_repeated_line_ratio: float = 0.5
-    max_url_ratio: float = 0.2
-    max_html_ratio: float = 0.2
+    max_repeated_line_ratio: float = 0.35
+    max_url_ratio: float = 0.20
+    max_html_ratio: float = 0.10
     max_punctuation_ratio: float = 0.45
-    max_digit_ratio: float = 0.5
+    max_digit_ratio: float = 0.35
 
     def __post_init__(self):
         if self.min_chars < 0 or self.max_chars < max(1, self.min_chars):

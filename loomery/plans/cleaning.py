@@ -183,7 +183,7 @@ _Q = {
     "url": r"(length(t) - length(regexp_replace(t, '(?i)https?://\S+|www\.\S+', '', 'g'))) / greatest(length(t), 1)",
     "html": r"(length(t) - length(regexp_replace(t, '<[^>\n]{1,120}>', '', 'g'))) / greatest(length(t), 1)",
     "punctuation": f"coalesce({_LEN(chr(92) + 'p{P}')} / nullif({_VIS}, 0), 0)",
-    "digits": f"coalesce({_LEN(chr(92) + 'p{Nd}')} / nullif({_VIS}, 0), 0)",
+    "digits": "coalesce(" + _LEN(r"\p{Nd}\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}") + f" / nullif({_VIS}, 0), 0)",
     "repeated_lines": f"CASE WHEN len({_LINES}) >= 4 THEN (len({_LINES}) - len(list_distinct({_LINES}))) / len({_LINES}) ELSE 0 END",
 }
 _REASON = f"""CASE WHEN NOT isnan(coalesce(score, '-inf'::DOUBLE)) AND coalesce(score, '-inf'::DOUBLE) < min_score THEN 'score_below_minimum' WHEN t = '' THEN 'empty_text_after_clean' WHEN contains(t, chr(65533)) THEN 'replacement_character'
@@ -191,8 +191,8 @@ _REASON = f"""CASE WHEN NOT isnan(coalesce(score, '-inf'::DOUBLE)) AND coalesce(
     WHEN max_url_ratio >= 0 AND {_Q["url"]} > max_url_ratio THEN 'high_url_ratio' WHEN max_html_ratio >= 0 AND {_Q["html"]} > max_html_ratio THEN 'high_html_ratio'
     WHEN max_punctuation_ratio >= 0 AND {_Q["punctuation"]} > max_punctuation_ratio THEN 'high_punctuation_ratio' WHEN max_digit_ratio >= 0 AND {_Q["digits"]} > max_digit_ratio THEN 'high_digit_ratio'
     WHEN max_repeated_line_ratio >= 0 AND {_Q["repeated_lines"]} > max_repeated_line_ratio THEN 'high_repeated_line_ratio' END"""
-_DEF = quality.Policy()
-_POL = ", ".join(f"coalesce(p.{k}, {v!r}) AS {k}" for k, v in vars(_DEF).items() if k != "normalize_unicode")
+_POL = """coalesce(p.min_score, 4.0) AS min_score, coalesce(p.min_chars, 200) AS min_chars, coalesce(p.max_chars, 16384) AS max_chars, coalesce(p.min_cjk_ratio, 0.25) AS min_cjk_ratio, coalesce(p.dedupe_mode, 'normalized') AS dedupe_mode,
+    coalesce(p.max_repeated_line_ratio, 0.35) AS max_repeated_line_ratio, coalesce(p.max_url_ratio, 0.2) AS max_url_ratio, coalesce(p.max_html_ratio, 0.1) AS max_html_ratio, coalesce(p.max_punctuation_ratio, 0.45) AS max_punctuation_ratio, coalesce(p.max_digit_ratio, 0.35) AS max_digit_ratio"""
 _FIRST = "row_number() OVER (PARTITION BY {0} ORDER BY source_file, source_row, record_id)"
 
 SQL = {

@@ -7,14 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, single machine) a temporary folder is made.
+    Only where the setting is absent and Spark runs in this process (tests, single machine) a temporary folder is made;
+    on a cluster its absence is an error, for executors would each write to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomery-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -26,11 +31,28 @@ def materialize(df: DataFrame, what: str = "t") -> DataFrame:
     A written table survives the loss of executors and is stored once, by column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomery-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name in the shared folder; ``release`` deletes what was written there."""
+    path = f"{shared_dir(spark)}/loomery-{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this process cut lineages with, once no result that reads them is needed; how many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder.
 
