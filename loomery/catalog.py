@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, curation, evaluation, pairs, tokens
+from .plans import cleaning, curation, evaluation, instruct, pairs, tokens
 
-MODULES = (cleaning, curation, pairs, tokens, evaluation)
+MODULES = (cleaning, curation, pairs, tokens, evaluation, instruct)
 #: Sums that SQL gives in a wider type than Spark does.
 SUMS = {
     "char_class_profile": "han digits punctuation latin chars bytes", "record_summary": "chars", "pair_statistics": "rows unchanged_pairs target_longer_than_source", "length_relations": "source_chars target_chars",

@@ -35,7 +35,8 @@ def source_target(source: Column, target: Column, source_label: str = "", target
 
 
 def reading_prompt(context: Column, question: Column) -> Column:
-    return F.concat(F.lit("阅读下面的材料，回答问题。\n\n材料："), context, F.lit("\n\n问题："), question)
+    """Fixed wording around a passage and a question on it."""
+    return F.concat(F.lit("请根据给定材料回答问题，只依据材料，不补充材料外的信息。\n材料："), context, F.lit("\n问题："), question)
 
 
 def lettered(question: Column, options: Column) -> Column:

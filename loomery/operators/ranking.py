@@ -141,3 +141,30 @@ def stratified_anchors(df: DataFrame, stratum: Column, ratios: dict[str, float],
     spare = inside.filter("_r > _limit").withColumn("_fill", F.lit(1))
     both = taken.unionByName(spare).orderBy("_fill", F.when(F.col("_fill") == 1, F.col("_h")), "stratum", "_h", id_col).limit(target)
     return both.drop("_h", "_limit", "_r", "_fill")
+
+
+def spread_blocks(ranked: DataFrame, rank: str, count: int, block: int) -> DataFrame:
+    """An even sample of at most ``count`` rows from blocks of ``block`` rows spread over all places (from 0)."""
+    n = ranked.count()
+    want = min(count, n)
+    if want >= n or want <= 0:
+        return ranked if want else ranked.limit(0)
+    blocks, far = max(1, -(-want // block)), max(0, n - block)
+    begins = sorted({0} if blocks == 1 else {round(i * far / (blocks - 1)) for i in range(blocks)})
+    inside, held = F.lit(False), []
+    for b in begins:
+        inside = inside | F.col(rank).between(b, b + block - 1)
+        held += [x for x in range(b, min(n, b + block)) if not held or x > held[-1]]  # at most blocks x block places
+    k = min(want, len(held))
+    picked = {len(held) // 2} if k == 1 else {round(i * (len(held) - 1) / (k - 1)) for i in range(k)}
+    return ranked.filter(inside & F.col(rank).isin([held[i] for i in sorted(picked)]))
+
+
+def rotating_pick(ranked: DataFrame, rank: str, count: int, offset: int) -> DataFrame:
+    """``count`` picks in turn from the rows by place (from 0), begun at ``offset``: the rows with ``pick``; more picks than
+    rows go round again."""
+    n = ranked.count()
+    if not n:
+        return ranked.withColumn("pick", F.lit(None).cast("bigint")).limit(0)
+    picks = ranked.sparkSession.range(count).select(F.col("id").alias("pick"), ((F.col("id") + offset) % n).alias("_r"))
+    return ranked.join(picks, F.col(rank) == F.col("_r")).drop("_r")
