@@ -65,29 +65,29 @@ def running_starts(docs: DataFrame, order: str, size: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_p").withColumn("start", (F.col("_before") + local).cast("bigint")).drop("_p", "_before")
 
 
-def fill_shards(docs: DataFrame, order: str, size: str, most: int, groups: int = 8) -> DataFrame:
-    """(rows, group, shard): in order, the next shard begins where a document would pass ``most``; none is split.
+def fill_shards(docs: DataFrame, order: str, size: str, most: int, stretch: int | None = None) -> DataFrame:
+    """(order, size, group, shard): in order, the next shard begins where a document would pass ``most``; none is split.
 
-    Filling in order is a chain, so the order is cut into ``groups`` ranges that are filled apart.
+    Filling in order is a chain, so the order is cut into stretches of ``stretch`` tokens (by where a document begins;
+    1,000 shards' worth by default) that are filled apart: as many tasks as the tokens need, none larger than that.
+    Null sizes count as 0. ``order`` must be unique.
     """
-    rows = docs.repartitionByRange(groups, order).sortWithinPartitions(order).withColumn("_g", F.spark_partition_id())
-    names = [c for c in docs.columns]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", group int, shard int"
+    stretch = stretch or 1000 * most
+    own = docs.select(F.col(order).alias(order), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias(size))
+    rows = running_starts(own, order, size).withColumn("group", F.floor(F.col("start") / stretch).cast("bigint"))
+    kind = docs.schema[order].dataType.simpleString()
 
-    def run(batches):
-        shard = used = 0
-        for b in batches:
-            if not len(b):
-                continue
-            out = np.zeros(len(b), np.int32)
-            for i, n in enumerate(b[size].fillna(0).to_numpy(np.int64)):
-                if used and used + n > most:
-                    shard, used = shard + 1, 0
-                used += int(n)
-                out[i] = shard
-            yield b[names].assign(group=b["_g"].astype("int32"), shard=out)
-
-    return rows.mapInPandas(run, shape)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        out, shard, used = np.zeros(len(g), np.int32), 0, 0
+        for i, n in enumerate(g[size].to_numpy(np.int64)):
+            if used and used + n > most:
+                shard, used = shard + 1, 0
+            used += int(n)
+            out[i] = shard
+        return g[[order, size, "group"]].assign(shard=out)
+
+    return rows.groupBy("group").applyInPandas(run, f"`{order}` {kind}, `{size}` bigint, group bigint, shard int")
 
 
 def first_fit(docs: DataFrame, id_col: str, size: str, group: Column, width: int) -> DataFrame:

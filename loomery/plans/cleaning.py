@@ -207,6 +207,14 @@ SQL = {
     "seed_anti_dedup": f"{_T}, k AS (SELECT record_id, lower(trim(source)) AS s, {_FORM} AS f FROM c) SELECT record_id FROM k WHERE NOT coalesce(s, '') LIKE 'wiki%' AND f NOT IN (SELECT f FROM k WHERE s LIKE 'wiki%')",
     "dedup_bucket_skew": f"{_T}, k AS (SELECT sha256({_FORM}) AS h FROM c) SELECT CAST('0x' || substr(h, 1, 2) AS INTEGER) AS bucket, count(*) AS rows, count(DISTINCT h) AS digests FROM k GROUP BY 1",
     "duplicate_audit": f"{_T} SELECT count(*) - count(DISTINCT t) AS exact, count(*) - count(DISTINCT {_FORM}) AS normalized, count(*) - count(DISTINCT (source_file, source_row)) AS deliveries, count(*) - count(DISTINCT record_id) AS ids FROM c",
+    "anchor_jaccard_near_dup": r"""
+        WITH f AS (SELECT pair_id, coalesce(lower(trim(split)) = 'train', false) AS train, lower(regexp_replace(source, '[^\p{L}\p{N}]+', '', 'g')) AS f FROM pair_records WHERE source IS NOT NULL),
+        k AS (SELECT train, f, min(pair_id) AS id, list_distinct(CASE WHEN length(f) >= 4 THEN list_transform(range(1, length(f) - 2), lambda i: substr(f, i, 4)) ELSE [f] END) AS g FROM f WHERE f <> '' GROUP BY train, f),
+        e AS (SELECT train, list_sort(g) AS g, min(id) AS id FROM k GROUP BY 1, 2), x AS (SELECT train, id, len(g) AS n, unnest(g) AS t FROM e),
+        j AS (SELECT a.id AS q, b.id AS c, count(*) AS inter, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t WHERE NOT a.train AND b.train GROUP BY 1, 2),
+        s AS (SELECT q, c, round(inter / (na + nb - inter), 9) AS jac FROM j WHERE round(inter / (na + nb - inter), 9) >= 0.85), m AS (SELECT q, max(jac) AS jac, arg_max(c, (jac, -c)) AS c FROM s GROUP BY 1),
+        w AS (SELECT f.pair_id, e.id AS q FROM f JOIN k ON NOT f.train AND NOT k.train AND f.f = k.f JOIN e ON NOT e.train AND e.g = list_sort(k.g))
+        SELECT w.pair_id, m.c AS best_id, m.jac AS jaccard FROM w JOIN m USING (q)""",
     "repetition_profile": r"""WITH k AS (SELECT doc_id, category, regexp_replace(text, '[\s\p{Z}\x{1c}-\x{1f}\x{85}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
         g AS (SELECT doc_id, category, CASE WHEN length(t) >= 4 THEN list_transform(generate_series(1, length(t) - 3), lambda i: substr(t, i, 4)) ELSE [] END AS g FROM k)
         SELECT doc_id, category, round(coalesce((len(g) - len(list_distinct(g))) / nullif(len(g), 0), 0), 6) AS repetition FROM g""",

@@ -205,15 +205,50 @@ def record_summary(spark, d):
     return ranked.groupBy("source").agg(F.sum("c").alias("docs"), F.sum(F.col("n") * F.col("c")).alias("chars"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 6).alias("mean_chars"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"))
 
 
-# Scenarios and their marks.
-SCENARIOS = {"dialogue": r"[“”]|<\|im_start\|>", "procedure": r"步骤|首先|\bfirst\b", "legal": r"合同|责任|争议|诉", "statistics": r"[0-9.]+%", "code": r"[A-Za-z]{2,}-[0-9]+|版本", "story": r"小[猫狗鸟兔熊鸭马鱼]|\bMum\b"}
+# Scenarios, the sources that belong to each whole, and terms of categories that do.
+SCENARIOS = (
+    ("conversation", ("smoltalk_chinese", "duconv", "kdconv", "crosswoz", "oasst2_zh"), ("everyday", "task_oriented", "knowledge_dialogue", "human_feedback_dialogue")),
+    ("knowledge_qa", ("coig_cqia",), ("knowledge", "information-seeking", "问答", "概念解析", "百科")),
+    ("reading_comprehension", ("cmrc2018", "drcd", "dolly_closed_qa"), ("reading_comprehension", "document-qa", "understanding", "english_closed_qa")),
+    ("writing_revision", ("doit_creative_writing", "dolly_creative_writing", "dolly_brainstorming"), ("writing", "editing", "rewrite", "brainstorming", "写", "纠错", "扩写", "对联")),
+    ("summarization_translation", (), ("summary", "summarization", "摘要", "translate", "翻译", "简繁", "繁体")),
+    ("math", ("gsm8k_zh", "synthetic_math_verified"), ("arithmetic", "add_subtract", "multiply_divide", "percentage", "数学")),
+    ("programming", ("coig_leetcode", "doit_code"), ("code", "代码", "SQL")),
+    ("reasoning", ("doit_reasoning",), ("reasoning", "推理", "因果分析", "判断")),
+    ("nlp_structured_output", ("synthetic_instruction_verified", "dolly_classification", "dolly_information_extraction"), ("classification", "information_extraction", "分类", "抽取", "json", "fixed_list", "key_value", "table")),
+    ("strict_instruction_following", ("synthetic_instruction_verified", "tulu_instruction_following"), ("strict_instruction_following",)),
+    ("planning_advice", (), ("planning", "advice-seeking", "wikihow")),
+    ("safety_values", ("coig_human_value", "synthetic_safety_verified"), ("safe", "privacy", "safety", "credentials", "phishing", "fraud", "human_value")),
+    ("identity", ("synthetic_identity_verified",), ("identity_", "capability_boundary", "experience_boundary")),
+    ("creative_roleplay", ("doit_creative_writing", "doit_role_play"), ("creative_writing", "role_play", "故事", "诗词")),
+    ("factual_correction", ("coig_counterfactual",), ("factual_correction",)),
+    ("humanities_chinese", ("doit_chinese", "doit_history"), ("古诗", "文言", "作者介绍", "历史")),
+)
+
+
+def scenarios(records: DataFrame) -> DataFrame:
+    """(scenario, records, share): overlapping scenarios by source and category, and ``any`` for records of at least one.
+
+    Null sources and categories are ``unknown``. Rules are judged once for each source and category.
+    """
+    own = records.groupBy(F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"))
+    hit = lambda sources, terms: F.col("source").isin(*sources) | F.regexp_like("category", F.lit("|".join(terms)))
+    found = [hit(s, t) for _, s, t in SCENARIOS]
+    some = F.lit(False)
+    for h in found:
+        some = some | h
+    keys = [*(k for k, _, _ in SCENARIOS), "any"]
+    counts = own.agg(F.sum("n").alias("total"), *(F.coalesce(F.sum(F.when(h, F.col("n"))), F.lit(0)).alias(k) for k, h in zip(keys, [*found, some])))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.col(k).alias("records"), F.round(tx.ratio(F.col(k), F.col("total")), 6).alias("share")) for k in keys))).alias("x")).select("x.*")
 
 
 def scenario_coverage(spark, d):
-    """Overlapping scenarios: texts each rule matches, and its share of all."""
-    own = _docs(spark, d)
-    hits = own.agg(F.count("*").alias("n"), *(F.count_if(F.regexp_like("text", F.lit(p))).alias(k) for k, p in SCENARIOS.items()))
-    return hits.select(F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.col(k).alias("texts"), F.round(F.col(k) / F.col("n"), 6).alias("share")) for k in SCENARIOS))).alias("x")).select("x.*")
+    """Documents and pairs by scenario, with names of public sets and abilities among their sources and categories."""
+    docs = table(spark, d, "documents").select("source", "category")
+    names = F.array(*(F.lit(x) for x in ("coig_cqia", "gsm8k_zh", "doit_code", "drcd", "kdconv", "tulu_instruction_following", "other", "dolly_brainstorming", "coig_human_value", "doit_history")))
+    kinds = F.array(*(F.lit(x) for x in ("writing", "code_x", "knowledge_dialogue", "identity_y", "摘要", "table", "role_play")))
+    pairs = table(spark, d, "pair_records").select(F.get(names, F.pmod("pair_id", F.lit(10)).cast("int")).alias("source"), F.get(kinds, F.pmod("pair_id", F.lit(7)).cast("int")).alias("category"))
+    return scenarios(docs.unionByName(pairs))
 
 
 def script_profile(spark, d):
@@ -232,8 +267,18 @@ def union_base_additions(spark, d):
 
 _H = f"sha256('{SEED}' || ':' || {{0}})"
 _D = "WITH d AS (SELECT * FROM documents WHERE text IS NOT NULL)"
+_MESSAGE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), chr(0), ''), '[ \t]+', ' ', 'g'), '(?m)^[ \x{{a0}}\x{{3000}}]+|[ \x{{a0}}\x{{3000}}]+$', '', 'g'), '([\x{{3400}}-\x{{9fff}}]) +([\x{{3400}}-\x{{9fff}}])', '\1\2', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_CONVERSATIONS = f"""
+        WITH p AS (SELECT doc_id, source, list_filter(string_split(text, '<|im_start|>')[2:], lambda x: regexp_matches(x, '^[0-9A-Za-z_]+\\n')) AS p FROM documents WHERE contains(text, '<|im_start|>')),
+        a AS (SELECT *, list_transform(p, lambda x: {{'r': CASE lower(regexp_extract(x, '^([0-9A-Za-z_]+)\\n', 1)) WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'usr' THEN 'user' WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'sys' THEN 'assistant' WHEN 'system' THEN 'system' END,
+            'c': {_MESSAGE.format("string_split(regexp_replace(x, '^[0-9A-Za-z_]+" + chr(92) + "n', ''), '<|im_end|>')[1]")}}}) AS m FROM p),
+        k AS (SELECT doc_id, source, list_filter(m, lambda x: x.r IS NOT NULL AND x.c <> '') AS m FROM a WHERE len(list_filter(m, lambda x: x.r IS NOT NULL AND x.c <> '')) > 0)"""
 SQL = {
-    "conversation_dedup": None,
+    "conversation_reasons": _CONVERSATIONS + """
+        SELECT CASE WHEN len(m) < 2 THEN 'too_few_messages' WHEN m[-1].r <> 'assistant' THEN 'does_not_end_assistant' WHEN coalesce(s[1], '') <> 'user' THEN 'does_not_start_user' WHEN len(list_filter(range(2, len(s) + 1), lambda i: s[i] = s[i - 1])) > 0 THEN 'roles_not_alternating'
+            WHEN n < 12 THEN 'too_short' WHEN w > 12000 THEN 'single_message_too_long' ELSE 'accepted' END AS reason, count(*) AS conversations, CAST(sum(len(m)) AS BIGINT) AS messages
+        FROM (SELECT *, list_filter(list_transform(m, lambda x: x.r), lambda r: r <> 'system') AS s, list_sum(list_transform(m, lambda x: length(x.c))) AS n, list_max(list_transform(m, lambda x: length(x.c))) AS w FROM k) GROUP BY 1""",
+    "conversation_dedup": _CONVERSATIONS + " SELECT coalesce(source, 'unknown') AS source, count(*) AS conversations, count(DISTINCT m) AS distinct_contents FROM k GROUP BY 1",
     "hash_topk_per_source": f"{_D} SELECT doc_id, source, score FROM (SELECT doc_id, source, {_H.format(chr(115) + 'ource || ' + repr(':') + ' || doc_id')} AS score, row_number() OVER (PARTITION BY source ORDER BY {_H.format('source || ' + repr(':') + ' || doc_id')}) AS rn FROM d WHERE source IS NOT NULL) WHERE rn <= 5",
     "category_caps": f"{_D}, o AS (SELECT doc_id, category, coalesce(score, -1) >= 4 AS good, {_H.format('doc_id')} AS h FROM d WHERE category IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY good DESC, h) AS rn FROM o), c AS (SELECT * FROM r WHERE rn <= CASE category WHEN 'news' THEN 20 WHEN 'legal' THEN 10 ELSE 60 END) SELECT doc_id, category FROM c ORDER BY good DESC, h LIMIT 60",
     "deterministic_shuffle_rank": f"{_D} SELECT doc_id, row_number() OVER (ORDER BY {_H.format('doc_id')}, doc_id) - 1 AS rank FROM d",
@@ -246,7 +291,28 @@ SQL = {
     "split_overlap_audit": "WITH p AS (SELECT lower(trim(split)) = 'train' AS train, source, target FROM pair_records WHERE source IS NOT NULL AND target IS NOT NULL) SELECT 'source' AS key, (SELECT count(*) FROM (SELECT source FROM p GROUP BY 1 HAVING bool_or(train) AND bool_or(NOT train))) AS n UNION ALL SELECT 'pair', (SELECT count(*) FROM (SELECT source, target FROM p GROUP BY 1, 2 HAVING bool_or(train) AND bool_or(NOT train)))",
     "record_summary": f"{_D}, o AS (SELECT source, length(text) AS n FROM d WHERE source IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) - 1 AS r, count(*) OVER (PARTITION BY source) AS k FROM o) SELECT source, count(*) AS docs, sum(n) AS chars, min(n) AS shortest, max(n) AS longest, round(avg(n), 6) AS mean_chars, "
     + ", ".join(f"max(CASE WHEN r = least(k - 1, floor(k * {q})) THEN n END) AS {a}" for q, a in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"))) + " FROM r GROUP BY source",
-    "scenario_coverage": f"{_D} " + " UNION ALL ".join(f"SELECT '{k}' AS scenario, count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS texts, round(count(*) FILTER (WHERE regexp_matches(text, '{p}')) / count(*), 6) AS share FROM d" for k, p in SCENARIOS.items()),
+    "scenario_coverage": """
+        WITH r AS (SELECT coalesce(source, 'unknown') AS source, coalesce(category, 'unknown') AS category FROM documents UNION ALL
+            SELECT ['coig_cqia', 'gsm8k_zh', 'doit_code', 'drcd', 'kdconv', 'tulu_instruction_following', 'other', 'dolly_brainstorming', 'coig_human_value', 'doit_history'][pair_id % 10 + 1], ['writing', 'code_x', 'knowledge_dialogue', 'identity_y', '摘要', 'table', 'role_play'][pair_id % 7 + 1] FROM pair_records),
+        h AS (SELECT [
+            {'k': 'conversation', 'h': source IN ('smoltalk_chinese', 'duconv', 'kdconv', 'crosswoz', 'oasst2_zh') OR regexp_matches(category, 'everyday|task_oriented|knowledge_dialogue|human_feedback_dialogue')},
+            {'k': 'knowledge_qa', 'h': source IN ('coig_cqia') OR regexp_matches(category, 'knowledge|information-seeking|问答|概念解析|百科')},
+            {'k': 'reading_comprehension', 'h': source IN ('cmrc2018', 'drcd', 'dolly_closed_qa') OR regexp_matches(category, 'reading_comprehension|document-qa|understanding|english_closed_qa')},
+            {'k': 'writing_revision', 'h': source IN ('doit_creative_writing', 'dolly_creative_writing', 'dolly_brainstorming') OR regexp_matches(category, 'writing|editing|rewrite|brainstorming|写|纠错|扩写|对联')},
+            {'k': 'summarization_translation', 'h': source IN ('') OR regexp_matches(category, 'summary|summarization|摘要|translate|翻译|简繁|繁体')},
+            {'k': 'math', 'h': source IN ('gsm8k_zh', 'synthetic_math_verified') OR regexp_matches(category, 'arithmetic|add_subtract|multiply_divide|percentage|数学')},
+            {'k': 'programming', 'h': source IN ('coig_leetcode', 'doit_code') OR regexp_matches(category, 'code|代码|SQL')},
+            {'k': 'reasoning', 'h': source IN ('doit_reasoning') OR regexp_matches(category, 'reasoning|推理|因果分析|判断')},
+            {'k': 'nlp_structured_output', 'h': source IN ('synthetic_instruction_verified', 'dolly_classification', 'dolly_information_extraction') OR regexp_matches(category, 'classification|information_extraction|分类|抽取|json|fixed_list|key_value|table')},
+            {'k': 'strict_instruction_following', 'h': source IN ('synthetic_instruction_verified', 'tulu_instruction_following') OR regexp_matches(category, 'strict_instruction_following')},
+            {'k': 'planning_advice', 'h': source IN ('') OR regexp_matches(category, 'planning|advice-seeking|wikihow')},
+            {'k': 'safety_values', 'h': source IN ('coig_human_value', 'synthetic_safety_verified') OR regexp_matches(category, 'safe|privacy|safety|credentials|phishing|fraud|human_value')},
+            {'k': 'identity', 'h': source IN ('synthetic_identity_verified') OR regexp_matches(category, 'identity_|capability_boundary|experience_boundary')},
+            {'k': 'creative_roleplay', 'h': source IN ('doit_creative_writing', 'doit_role_play') OR regexp_matches(category, 'creative_writing|role_play|故事|诗词')},
+            {'k': 'factual_correction', 'h': source IN ('coig_counterfactual') OR regexp_matches(category, 'factual_correction')},
+            {'k': 'humanities_chinese', 'h': source IN ('doit_chinese', 'doit_history') OR regexp_matches(category, '古诗|文言|作者介绍|历史')}] AS h FROM r),
+        u AS (SELECT unnest(list_append(h, {'k': 'any', 'h': len(list_filter(h, lambda x: x.h)) > 0})) AS x FROM h)
+        SELECT x.k AS scenario, count(*) FILTER (WHERE x.h) AS records, round(count(*) FILTER (WHERE x.h) / (SELECT count(*) FROM r), 6) AS share FROM u GROUP BY 1""",
     "script_profile": f"{_D}, c AS (SELECT c, count(*) AS n FROM (SELECT unnest(list_filter(string_split(text, ''), lambda x: x <> '')) AS c FROM d) GROUP BY 1) SELECT CASE WHEN regexp_matches(c, '[\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}]') THEN 'han' WHEN regexp_matches(c, '[A-Za-z]') THEN 'latin' WHEN regexp_matches(c, '\\p{{Nd}}') THEN 'digit' WHEN regexp_matches(c, '\\p{{P}}') THEN 'punctuation' ELSE 'other' END AS script, count(*) AS alphabet, CAST(sum(n) AS BIGINT) AS chars FROM c GROUP BY 1",
     "union_base_additions": f"{_D}, u AS (SELECT category, text FROM d WHERE category IN ('news', 'formal') UNION ALL SELECT category, text FROM d WHERE category IN ('legal', 'academic') AND text NOT IN (SELECT text FROM d WHERE category IN ('news', 'formal'))) SELECT category, count(*) AS rows, count(DISTINCT text) AS contents FROM u GROUP BY 1",
     "stratified_anchors": f"""{_D}, o AS (SELECT doc_id, CASE WHEN category IN ('legal', 'academic') THEN 'specialist' WHEN category IN ('news', 'formal') THEN 'general' WHEN category = 'spoken' THEN 'plain' END AS stratum FROM d), h AS (SELECT *, sha256('{SEED}:' || stratum || ':' || doc_id) AS h FROM o WHERE stratum IS NOT NULL),

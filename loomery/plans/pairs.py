@@ -15,7 +15,12 @@ from ..session import table
 # Bins of source length, and groups of topic words.
 LENGTHS = [("1-20", 1, 20), ("21-40", 21, 40), ("41-60", 41, 60), ("61-80", 61, 80), ("81-120", 81, 120), ("121-200", 121, 200), (">200", 201, float("inf"))]
 EXTRA = [("1", 1, 1), ("2-3", 2, 3), ("4-5", 4, 5), ("6-10", 6, 10), ("11-20", 11, 20), (">20", 21, float("inf"))]
-TOPICS = {"weather": ["降雨", "气温", "风力", "光照"], "equipment": ["设备", "传感器", "终端"], "supply": ["供应", "库存", "原料"]}
+TOPICS = {
+    "party_state": ["共产党", "中共中央", "政治局", "党委", "党组织", "毛泽东", "习近平", "邓小平", "社会主义", "共产主义", "马克思"],
+    "government_law": ["国务院", "全国人大", "政府", "人民法院", "国家主席", "总理", "法律", "条例", "法院", "司法"],
+    "foreign_sensitive": ["台湾", "香港", "澳门", "美国", "苏联", "外交", "殖民主义", "帝国主义"],
+    "military": ["解放军", "军队", "全军", "国防", "军事"],
+}
 
 
 def newest_decisions(decisions: DataFrame) -> DataFrame:
@@ -92,13 +97,23 @@ def length_bins(spark, d):
     return own.groupBy("bin").agg(F.count("*").alias("rows"), *(F.count_if(F.col("more").between(a, b)).alias("extra_" + k.replace("-", "_").replace(">", "over_")) for k, a, b in EXTRA))
 
 
-def topic_risk(spark, d):
-    """Share of unchanged pairs with and without each group's words, and their quotient."""
-    own = _pairs(spark, d).withColumn("same", (F.col("source") == F.col("target")).cast("int"))
-    rows = own.select("same", F.explode(F.array(*(F.struct(F.lit(g).alias("topic"), F.array_contains(F.array(*(F.contains("source", F.lit(w)) for w in ws)), True).alias("hit")) for g, ws in TOPICS.items()))).alias("t"))
-    agg = rows.groupBy("t.topic").agg(*(F.count_if(c).alias(k) for k, c in (("matched", F.col("t.hit")), ("unmatched", ~F.col("t.hit")), ("matched_same", F.col("t.hit") & (F.col("same") == 1)), ("unmatched_same", ~F.col("t.hit") & (F.col("same") == 1)))))
+def topic_rates(pairs: DataFrame, topics: dict[str, list[str]] = TOPICS) -> DataFrame:
+    """(topic, matched, unmatched, their unchanged pairs and shares, risk_ratio): how often sources with a topic's words
+    are left unchanged, and the others; ``any`` is all topics together. A ratio is null where the others never are."""
+    own = pairs.select((F.col("source") == F.col("target")).alias("same"), *(F.regexp_like("source", F.lit("|".join(ws))).alias(g) for g, ws in topics.items()))
+    own = own.groupBy("same", *topics).agg(F.count("*").alias("n"))  # a row for each combination of topics
+    hit = F.lit(False)
+    for g in topics:
+        hit = hit | F.col(g)
+    rows = own.withColumn("any", hit).select("same", "n", F.explode(F.array(*(F.struct(F.lit(g).alias("topic"), F.col(g).alias("hit")) for g in [*topics, "any"]))).alias("t"))
+    many = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    agg = rows.groupBy("t.topic").agg(many(F.col("t.hit")).alias("matched"), many(~F.col("t.hit")).alias("unmatched"), many(F.col("t.hit") & F.col("same")).alias("matched_same"), many(~F.col("t.hit") & F.col("same")).alias("unmatched_same"))
     a, b = tx.ratio(F.col("matched_same"), F.col("matched")), tx.ratio(F.col("unmatched_same"), F.col("unmatched"))
-    return agg.select("topic", "matched", "unmatched", F.round(a, 6).alias("matched_rate"), F.round(b, 6).alias("unmatched_rate"), F.round(F.try_divide(a, b), 6).alias("risk_ratio"))
+    return agg.select("topic", "matched", "unmatched", "matched_same", "unmatched_same", F.round(a, 6).alias("matched_rate"), F.round(b, 6).alias("unmatched_rate"), F.round(F.try_divide(a, b), 6).alias("risk_ratio"))
+
+
+def topic_risk(spark, d):
+    return topic_rates(_pairs(spark, d))
 
 
 def newest_decision_reasons(spark, d):
@@ -116,8 +131,13 @@ def pair_issue_report(spark, d):
 
 
 def candidate_decisions(spark, d):
-    """Reasons found again in each pair's texts, counted."""
-    own = _scored(spark, d).select("pair_id", quality.candidate_reasons("source", "candidate", F.lit(False)).alias("r"))
+    """All eleven reasons found again in each pair and its newest candidate, counted. Compatibility forms are folded; a
+    candidate that isn't there is empty."""
+    new = newest_decisions(table(spark, d, "quality_decisions")).select("pair_id", "candidate", "truncated")
+    own = _pairs(spark, d).join(new, "pair_id").withColumns({"s": udfs.nfkc("source"), "c": udfs.nfkc(F.coalesce("candidate", F.lit("")))})
+    a, b = tx.surface("s"), tx.surface("c")
+    alike = F.when((a == "") | (b == ""), 0.0).otherwise(udfs.sequence_ratio(a, b))
+    own = own.select("pair_id", quality.candidate_reasons("s", "c", "truncated", alike).alias("r"))
     return own.select(F.explode_outer("r").alias("reason")).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("pairs"))
 
 
@@ -268,7 +288,12 @@ SQL = {
     + " UNION ALL ".join([f"SELECT split, '{rule}' AS rule, " + ", ".join(f"max(CASE WHEN r = {at.format(q)} THEN v END)::DOUBLE AS {k}" for k, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95))) + " FROM r GROUP BY split" for rule, at in (("floor", "least(n - 1, floor(n * {0}))"), ("round", "round_even((n - 1) * {0}::DOUBLE, 0)"))] + ["SELECT split, 'linear' AS rule, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95 FROM r GROUP BY split"]),
     "length_relations": f"{_P}, o AS (SELECT split, {_CMP('source')} AS s, {_CMP('target')} AS t FROM p) SELECT coalesce(split, 'all') AS split, count(*) AS rows, count(*) FILTER (WHERE t < s) AS shorter, count(*) FILTER (WHERE t = s) AS equal, count(*) FILTER (WHERE t > s) AS longer, sum(s) AS source_chars, sum(t) AS target_chars FROM o GROUP BY GROUPING SETS ((split), ())",
     "length_bins": f"{_P}, o AS (SELECT {_CMP('source')} AS s, {_CMP('target')} - {_CMP('source')} AS more FROM p) SELECT CASE {_LCASE} END AS bin, count(*) AS rows, " + ", ".join(f"count(*) FILTER (WHERE more BETWEEN {a} AND {b if b != float('inf') else 10**9}) AS extra_{k.replace('-', '_').replace('>', 'over_')}" for k, a, b in EXTRA) + " FROM o GROUP BY 1",
-    "topic_risk": f"{_P}, t AS (" + " UNION ALL ".join(f"SELECT '{g}' AS topic, source = target AS same, (" + " OR ".join(f"contains(source, '{w}')" for w in ws) + ") AS hit FROM p" for g, ws in TOPICS.items()) + "), a AS (SELECT topic, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE NOT hit) AS unmatched, coalesce(count(*) FILTER (WHERE hit AND same) / nullif(count(*) FILTER (WHERE hit), 0), 0) AS a, coalesce(count(*) FILTER (WHERE NOT hit AND same) / nullif(count(*) FILTER (WHERE NOT hit), 0), 0) AS b FROM t GROUP BY 1) SELECT topic, matched, unmatched, round(a, 6) AS matched_rate, round(b, 6) AS unmatched_rate, round(a / nullif(b, 0), 6) AS risk_ratio FROM a",
+    "topic_risk": f"""{_P}, t AS (SELECT source = target AS same, regexp_matches(source, '共产党|中共中央|政治局|党委|党组织|毛泽东|习近平|邓小平|社会主义|共产主义|马克思') AS a, regexp_matches(source, '国务院|全国人大|政府|人民法院|国家主席|总理|法律|条例|法院|司法') AS b,
+            regexp_matches(source, '台湾|香港|澳门|美国|苏联|外交|殖民主义|帝国主义') AS c, regexp_matches(source, '解放军|军队|全军|国防|军事') AS d FROM p),
+        u AS (SELECT same, unnest([{{'k': 'party_state', 'h': a}}, {{'k': 'government_law', 'h': b}}, {{'k': 'foreign_sensitive', 'h': c}}, {{'k': 'military', 'h': d}}, {{'k': 'any', 'h': a OR b OR c OR d}}]) AS x FROM t),
+        g AS (SELECT x.k AS topic, count(*) FILTER (WHERE x.h) AS matched, count(*) FILTER (WHERE NOT x.h) AS unmatched, count(*) FILTER (WHERE x.h AND same) AS matched_same, count(*) FILTER (WHERE NOT x.h AND same) AS unmatched_same FROM u GROUP BY 1)
+        SELECT *, round(coalesce(matched_same / nullif(matched, 0), 0), 6) AS matched_rate, round(coalesce(unmatched_same / nullif(unmatched, 0), 0), 6) AS unmatched_rate,
+            round(coalesce(matched_same / nullif(matched, 0), 0) / nullif(coalesce(unmatched_same / nullif(unmatched, 0), 0), 0), 6) AS risk_ratio FROM g""",
     "newest_decision_reasons": f"WITH {_N}, e AS (SELECT accepted, CASE WHEN reasons IS NULL OR len(reasons) = 0 THEN [NULL] ELSE reasons END AS r FROM n) SELECT accepted, reason, count(*) AS decisions FROM (SELECT accepted, unnest(r) AS reason FROM e) GROUP BY 1, 2",
     "merged_targets": f"WITH {_N}, a AS (SELECT pair_id, candidate FROM n WHERE accepted AND candidate IS NOT NULL) SELECT lower(trim(split)) AS split, count(*) AS rows, count(*) FILTER (WHERE candidate IS NOT NULL AND candidate IS DISTINCT FROM target) AS changed, sum(length(coalesce(candidate, target))) AS target_chars FROM pair_records LEFT JOIN a USING (pair_id) GROUP BY 1",
     "pair_issue_report": f"WITH {_N}, o AS (SELECT coalesce(p.pair_id, n.pair_id) AS id, p.pair_id AS a, n.pair_id AS b, p.source, p.target, n.accepted, n.candidate, n.reasons FROM pair_records p FULL OUTER JOIN n ON p.pair_id = n.pair_id), i AS (SELECT 'missing_decision' AS code FROM o WHERE b IS NULL UNION ALL SELECT 'withdrawn_pair' FROM o WHERE a IS NULL UNION ALL SELECT 'accepted_with_reasons' FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND accepted AND len(coalesce(reasons, [])) > 0 UNION ALL SELECT 'empty_candidate' FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND regexp_replace(coalesce(candidate, ''), '[\\s\\p{{Z}}]', '', 'g') = '' UNION ALL SELECT 'number_mismatch' FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND accepted AND list_sort({_NSP('source')}) <> list_sort({_NSP('candidate')}) UNION ALL SELECT 'changed_while_rejected' FROM o WHERE a IS NOT NULL AND b IS NOT NULL AND NOT accepted AND candidate IS DISTINCT FROM target) SELECT code, count(*) AS issues FROM i GROUP BY 1",

@@ -58,17 +58,19 @@ def position_lookup(spark, d):
     """The document at every 1,000th token of all documents put together."""
     starts = tokens.running_starts(_docs(spark, d).select("doc_id", (F.length("text") + 2).alias("n")), "doc_id", "n")
     total = starts.agg(F.max(F.col("start") + F.col("n")).alias("n"))
-    points = total.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(1000).cast("bigint"))).alias("position"))
+    points = spark.range(0, total.first()[0] or 0, 1000).select(F.col("id").alias("position"))
     return joins.position_lookup(points, starts, "position", "start", "n", "doc_id", 4096)
 
 
 def shard_fill(spark, d):
-    own = tokens.fill_shards(_docs(spark, d).select("doc_id", F.length("text").alias("n")), "doc_id", "n", 20_000)
+    own = tokens.fill_shards(_docs(spark, d).select("doc_id", F.length("text").alias("n")), "doc_id", "n", 20_000, 200_000)
     return own.groupBy("group", "shard").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
 def pack_windows(spark, d):
-    own = tokens.first_fit(_docs(spark, d).select("doc_id", F.length("text").alias("n")), "doc_id", "n", F.pmod(F.xxhash64("doc_id"), F.lit(8)), 2048)
+    docs = _docs(spark, d).select("doc_id", F.length("text").alias("n"))
+    groups = max(1, -(-docs.count() // 20_000))  # as many as the documents need
+    own = tokens.first_fit(docs, "doc_id", "n", F.pmod(F.xxhash64("doc_id"), F.lit(groups)), 2048)
     return own.groupBy("group", "window").agg(F.count("*").alias("pieces"), F.sum("n").alias("tokens"))
 
 
@@ -146,6 +148,9 @@ SQL = {
     "char_vocabulary": f"{_D}, {_CH}, {_V} SELECT char, id FROM v WHERE id <= 60003",
     "token_starts": f"{_D} SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d",
     "position_lookup": f"{_D}, s AS (SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d), p AS (SELECT unnest(generate_series(0, (SELECT max(start + n) - 1 FROM s)::BIGINT, 1000)) AS position) SELECT position, doc_id FROM p JOIN s ON position >= start AND position < start + n",
+    "shard_fill": f"""{_D.replace("WITH", "WITH RECURSIVE")}, s AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200000 AS g FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i FROM s),
+        r AS (SELECT g, i, n AS used, 0 AS shard, n FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN r.shard + 1 ELSE r.shard END, o.n FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
+        SELECT CAST(g AS BIGINT) AS "group", shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY 1, 2""",
     "target_masks": f"{_D} SELECT doc_id, greatest(n - 1, 0) + 1 AS inside FROM d",
     "synthetic_math": "WITH r AS (SELECT i AS id, i * 7 % 97 + 3 AS a, i * 13 % 89 + 2 AS b FROM range(3000) t(i)) SELECT id, CASE id % 3 WHEN 0 THEN a || ' + ' || b WHEN 1 THEN a || ' * ' || b ELSE b || '% of ' || (a * 100) END AS question, CASE id % 3 WHEN 0 THEN a + b ELSE a * b END AS answer FROM r",
     "synthetic_json": """SELECT i AS id, '{"name":"item-' || i || '","amount":' || (i * 17 % 101) || '}' AS answer, 'Give item-' || i || ' with amount ' || (i * 17 % 101) || ' as JSON.' AS question FROM range(1000) t(i)""",
