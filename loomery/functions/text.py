@@ -139,13 +139,13 @@ def repeated_line_ratio(c: Column | str) -> Column:
 def char_ngrams(c: Column | str, n: int, whole_if_short: bool = False) -> Column:
     """All n-grams of characters; of a shorter text none, or itself if ``whole_if_short`` (the empty text has none)."""
 
-    def of(t: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    def of(cs: Column) -> Column:  # characters one by one, so that a gram is found without counting from the text's start
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))), lambda i: F.concat(*(F.get(cs, i + j) for j in range(n))))
         none = F.array().cast("array<string>")
-        short = F.when(F.length(t) > 0, F.array(t)).otherwise(none) if whole_if_short else none
-        return F.when(F.length(t) >= n, grams).otherwise(F.when(t.isNotNull(), short))
+        short = F.when(F.size(cs) > 0, F.array(F.array_join(cs, ""))).otherwise(none) if whole_if_short else none
+        return F.when(F.size(cs) >= n, grams).otherwise(F.when(cs.isNotNull(), short))
 
-    return let(col(c), of)
+    return let(F.filter(F.split(col(c), ""), lambda x: x != ""), of)
 
 
 def repetition_ratio(c: Column | str, n: int = 4) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +93,34 @@ def simhash_near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold
     return out.select(F.col("id").alias(id_col), "class_id", (F.coalesce("_gone", F.lit(False)) | (F.col("id") != F.col("class_id"))).alias("duplicate"))
 
 
-def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str, text_a: str, text_b: str, anchors: int = 12, least: float = 0.85) -> DataFrame:
+#: Counters of how many corpus texts hold a 4-gram, by its hash; whatever the corpus holds, there are no more.
+COUNTERS = 1 << 20
+
+
+def _gram_hashes(texts: list[str]):
+    """Of each text the distinct hashes of its 4-grams (of the whole text, if it is shorter)."""
+    for t in texts:
+        cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = max(1, len(cp) - 3)
+        h = np.zeros(n, np.uint64)
+        for j in range(min(4, len(cp))):
+            h = (h ^ cp[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+        yield np.unique(h)
+
+
+def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str, text_a: str, text_b: str, least: float = 0.85) -> DataFrame:
     """(id_a, best_id, jaccard): for each query text the most similar corpus text by 4-gram sets, from ``least`` on.
 
-    Candidates share one of the ``anchors`` smallest CRC32 values of their 4-grams; none is cut off. Copies of a
-    corpus text are one, named by their smallest id, and query texts of one set are compared once. Queries and
-    corpus texts without letters have no row.
+    No candidate is cut off. Copies of a corpus text are one, named by their smallest id, and query texts of one set
+    are compared once. Queries and corpus texts without letters have no row; equal similarities go to the smaller id.
 
-    A set that the corpus holds too has its answer at once. The others meet on their anchors: the smallest value that
-    two sets share stands behind at most (1 - least) of either set, sizes can't be further apart than ``least``
-    allows, and neither set can have more than its part of the difference in bits of its 4-grams' hashes that the
-    other lacks. Pairs that so can't reach ``least`` are dropped before their texts are fetched.
+    A set that the corpus holds too has its answer at once. The others meet on their anchors: with all 4-grams in one
+    order, two sets that reach ``least`` share one among the first (1 - least) of either. The order is by how many
+    corpus texts hold a 4-gram's hash, counted in COUNTERS counters, so texts meet on what is rare and not on
+    boilerplate. Sizes can't be further apart than ``least`` allows. What is left is compared by whole sets.
     """
+    spark = queries.sparkSession
     grams = lambda f: F.array_distinct(tx.char_ngrams(f, 4, whole_if_short=True))
     digest = lambda g: F.unhex(F.sha2(F.array_join(F.array_sort(g), "\0"), 256))
 
@@ -117,19 +135,37 @@ def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str,
     same = q.filter("cb is not null").select("q", F.struct("cb", F.lit(1.0).alias("j")).alias("m"))
     ask = q.filter("cb is null").select("q", "fa")
 
-    def word(codes: Column, w: int) -> Column:
-        return F.aggregate(F.filter(codes, lambda x: x.bitwiseAND(F.lit(64)) == 64 * w), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    def counted(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for h in _gram_hashes(b.column(0).to_pylist()):
+                np.add.at(total, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
+        hot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(total[hot])], names=["k", "n"])
+
+    table = c.select("fb").mapInArrow(counted, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    often = np.zeros(COUNTERS, np.int32)
+    often[table.column("k").to_numpy()] = np.minimum(table.column("n").to_numpy(), 2**31 - 1)
+    shared = spark.sparkContext.broadcast(often)
 
     def anchored(df: DataFrame, key: str, text: str, end: str) -> DataFrame:
-        """(key, size, two words of bits, anchor): a row for each anchor that a pair may meet on."""
-        sets = df.select(key, grams(text).alias("g")).select(key, F.size("g").alias("n"), F.array_sort(F.array_distinct(F.transform("g", lambda x: F.crc32(x.cast("binary"))))).alias("c"))
-        first = F.least(F.lit(anchors), F.floor(F.col("n") * (1 - least) + 1e-6).cast("int") + 1)
-        return sets.select(key, F.col("n").alias(f"n{end}"), word(F.col("c"), 0).alias(f"u{end}"), word(F.col("c"), 1).alias(f"v{end}"), F.explode(F.slice("c", F.lit(1), first)).alias("k"))
+        """(key, size, anchor): a row for each 4-gram that a pair may meet on."""
+
+        def run(batches):
+            for b in batches:
+                ids, size, found = [], [], []
+                for i, h in enumerate(_gram_hashes(b.column(1).to_pylist())):
+                    first = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))[: int(len(h) * (1 - least) + 1e-6) + 1]
+                    ids.append(np.full(len(first), i))
+                    size.append(np.full(len(first), len(h), np.int32))
+                    found.append(h[first].view(np.int64))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(size)), pa.array(np.concatenate(found))], names=[key, f"n{end}", "k"])
+
+        return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n{end} int, k bigint")
 
     both = (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6  # 4-grams that a pair must share
-    lacks = lambda x, y: F.bit_count(F.col(f"u{x}").bitwiseAND(F.bitwise_not(F.col(f"u{y}")))) + F.bit_count(F.col(f"v{x}").bitwiseAND(F.bitwise_not(F.col(f"v{y}"))))
-    may = (F.least("na", "nb") >= both) & (lacks("a", "b") <= F.col("na") - both) & (lacks("b", "a") <= F.col("nb") - both)
-    hits = anchored(ask, "q", "fa", "a").join(anchored(c, "cb", "fb", "b"), "k").filter(may).select("q", "cb").distinct()
+    hits = anchored(ask, "q", "fa", "a").join(anchored(c, "cb", "fb", "b"), "k").filter(F.least("na", "nb") >= both).select("q", "cb").distinct()
     scored = hits.join(ask, "q").join(c.select("cb", "fb"), "cb").select("q", "cb", F.round(tx.jaccard(grams("fa"), grams("fb")), 9).alias("j")).filter(F.col("j") >= least)
     best = scored.groupBy("q").agg(F.max_by(F.struct("cb", "j"), F.struct("j", -F.col("cb"))).alias("m")).unionByName(same)
     return own.join(q.select("h", "q"), "h").join(best, "q").select(F.col("id").alias(id_a), F.col("m.cb").alias("best_id"), F.col("m.j").alias("jaccard"))
