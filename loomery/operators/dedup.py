@@ -118,7 +118,8 @@ def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str,
     A set that the corpus holds too has its answer at once. The others meet on their anchors: with all 4-grams in one
     order, two sets that reach ``least`` share one among the first (1 - least) of either. The order is by how many
     corpus texts hold a 4-gram's hash, counted in COUNTERS counters, so texts meet on what is rare and not on
-    boilerplate. Sizes can't be further apart than ``least`` allows. What is left is compared by whole sets.
+    boilerplate. From the first anchor two sets share on, both must have as many 4-grams left as they need to share.
+    What is left is compared by whole sets.
     """
     spark = queries.sparkSession
     grams = lambda f: F.array_distinct(tx.char_ngrams(f, 4, whole_if_short=True))
@@ -149,23 +150,24 @@ def anchor_overlap(queries: DataFrame, corpus: DataFrame, id_a: str, id_b: str,
     shared = spark.sparkContext.broadcast(often)
 
     def anchored(df: DataFrame, key: str, text: str, end: str) -> DataFrame:
-        """(key, size, anchor): a row for each 4-gram that a pair may meet on."""
+        """(key, 4-grams from the anchor on, size, anchor): a row for each 4-gram that a pair may meet on."""
 
         def run(batches):
             for b in batches:
-                ids, size, found = [], [], []
+                ids, size, rest, found = [], [], [], []
                 for i, h in enumerate(_gram_hashes(b.column(1).to_pylist())):
                     first = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))[: int(len(h) * (1 - least) + 1e-6) + 1]
                     ids.append(np.full(len(first), i))
                     size.append(np.full(len(first), len(h), np.int32))
+                    rest.append(np.arange(len(h), len(h) - len(first), -1, dtype=np.int32))
                     found.append(h[first].view(np.int64))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(size)), pa.array(np.concatenate(found))], names=[key, f"n{end}", "k"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(size)), pa.array(np.concatenate(rest)), pa.array(np.concatenate(found))], names=[key, f"n{end}", f"r{end}", "k"])
 
-        return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n{end} int, k bigint")
+        return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n{end} int, r{end} int, k bigint")
 
     both = (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-6  # 4-grams that a pair must share
-    hits = anchored(ask, "q", "fa", "a").join(anchored(c, "cb", "fb", "b"), "k").filter(F.least("na", "nb") >= both).select("q", "cb").distinct()
+    hits = anchored(ask, "q", "fa", "a").join(anchored(c, "cb", "fb", "b"), "k").filter(F.least("ra", "rb") >= both).select("q", "cb").distinct()
     scored = hits.join(ask, "q").join(c.select("cb", "fb"), "cb").select("q", "cb", F.round(tx.jaccard(grams("fa"), grams("fb")), 9).alias("j")).filter(F.col("j") >= least)
     best = scored.groupBy("q").agg(F.max_by(F.struct("cb", "j"), F.struct("j", -F.col("cb"))).alias("m")).unionByName(same)
     return own.join(q.select("h", "q"), "h").join(best, "q").select(F.col("id").alias(id_a), F.col("m.cb").alias("best_id"), F.col("m.j").alias("jaccard"))
