@@ -124,3 +124,57 @@ def first_fit(docs: DataFrame, id_col: str, size: str, group: Column, width: int
 def target_mask(documents: Column) -> Column:
     """1 for each place after which the same document goes on: targets that cross documents are masked."""
     return tx.let(documents, lambda d: F.transform(F.sequence(F.lit(1), F.greatest(F.size(d) - 1, F.lit(1))), lambda i: (F.element_at(d, i) == F.try_element_at(d, i + 1)).cast("int")))
+
+
+def boundary_settings(config: dict) -> dict:
+    """Which documents attention and targets may cross, from a policy name or from the older switches.
+
+    ``document_boundary_policy`` is none, label_only, strict (strict_dense), strict_varlen or single_doc_windows. An older
+    ``document_attention`` that says otherwise is an error; without a policy it and ignore_cross_document_targets decide.
+    """
+    names = {"none": "none", "label_only": "label_only", "strict": "strict", "strict_dense": "strict", "strict_varlen": "strict_varlen", "single_doc_windows": "single_doc_windows"}
+    given, old = config.get("document_boundary_policy"), config.get("document_attention")
+    if given is not None:
+        policy = names.get(str(given).strip().lower())
+        if policy is None:
+            raise ValueError(f"unknown document_boundary_policy {given!r}")
+        attention = policy.startswith("strict")
+        if old is not None and bool(old) != attention:
+            raise ValueError("document_boundary_policy and document_attention disagree")
+        ignore = bool(config.get("ignore_cross_document_targets", policy != "none"))
+        return {"policy": policy, "document_attention": attention, "ignore_cross_document_targets": ignore, "single_document_windows": policy == "single_doc_windows"}
+    attention, ignore = bool(True if old is None else old), bool(config.get("ignore_cross_document_targets", True))
+    return {"policy": "strict" if attention else "label_only" if ignore else "none", "document_attention": attention, "ignore_cross_document_targets": ignore, "single_document_windows": False}
+
+
+def language_windows(tokens: Column, width: int, stride: int | None = None, pad: int = PAD) -> Column:
+    """Windows of width + 1 tokens, padded, one each ``stride`` until one reaches the end; null for null, and a text of at
+    most that many tokens is one window. Inputs are all but a window's last token, targets all but its first."""
+    step, size = stride or width, width + 1
+
+    def cut(t: Column) -> Column:
+        many = F.when(F.size(t) <= size, F.lit(1)).otherwise(F.ceil((F.size(t) - size) / step).cast("int") + 1)
+        own = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(t, i * step + 1, size))
+        return F.transform(own, lambda w: F.concat(w, F.array_repeat(F.lit(pad).cast("int"), size - F.size(w))))
+
+    return F.when(tokens.isNotNull(), tx.let(tokens, cut))
+
+
+def window_targets(window: Column, pad: int = PAD, ignore: int = -100) -> Column:
+    """The targets of a window: its tokens from the second on, ``ignore`` in place of padding."""
+    return F.transform(F.slice(window, 2, F.greatest(F.size(window) - 1, F.lit(0))), lambda x: F.when(x == pad, F.lit(ignore)).otherwise(x))
+
+
+def boundary_stats(starts: DataFrame, start: str, size: str, width: int, stride: int) -> DataFrame:
+    """One row on windows of ``width`` tokens each ``stride`` over all documents put together: windows, those that hold
+    the begin of another document behind their first token, and targets whose document isn't that of their input.
+
+    Each document's begin lies in at most width / stride windows, which are found from its place.
+    """
+    n = starts.agg(F.max(F.col(start) + F.col(size))).first()[0] or 0
+    many = max((n - width) // stride + 1, 0)
+    first = lambda s: F.greatest(F.ceil((s - width + 1) / stride), F.lit(0))
+    inner = starts.filter((F.col(start) > 0) & (F.col(size) > 0)).select(F.col(start).alias("s")).distinct()
+    hit = inner.select(first(F.col("s")).cast("bigint").alias("a"), F.least(F.floor((F.col("s") - 1) / stride), F.lit(many - 1)).cast("bigint").alias("b")).filter("a <= b").select(F.explode(F.sequence("a", "b")).alias("w"))
+    per = hit.groupBy("w").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("crossing_windows"), F.coalesce(F.sum("n"), F.lit(0)).alias("crossing_targets")).select(F.lit(many).cast("bigint").alias("windows"), F.lit(many * (width - 1)).cast("bigint").alias("targets"), "crossing_windows", "crossing_targets")

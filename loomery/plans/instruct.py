@@ -239,7 +239,8 @@ def written_shards(spark, d):
     listed = sinks.write_shards(own, path, 500)
     same = sinks.verify(spark, path, listed)
     back = readers.jsonl(spark, path, "doc_id bigint, text string", strict=True)
-    return back.agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars")).join(same.agg(F.count_if(F.col("state") != "same").alias("changed")))
+    changed = same.filter(F.col("state") != "same").count()
+    return back.agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars")).withColumn("changed", F.lit(changed).cast("bigint"))
 
 
 def _chat(c: str) -> str:

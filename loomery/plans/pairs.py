@@ -237,10 +237,30 @@ def bootstrap_ci(spark, d):
 
 
 def scorecard(spark, d):
-    """Dimensions in points of 100 and their weighted sum, by origin."""
-    own = _scored(spark, d).select(F.coalesce("origin", F.lit("unknown")).alias("origin"), tx.ratio(F.length("candidate"), F.length("source")).alias("r"), tx.numbers_kept(tx.numbers("source"), tx.numbers("candidate")).cast("double").alias("facts"), "accepted")
-    by = own.groupBy("origin").agg(F.avg("facts").alias("facts"), F.avg(F.col("accepted").cast("double")).alias("quality"), F.avg(F.greatest(F.lit(0.0), 1 - F.abs(F.col("r") - 0.6) / 0.6)).alias("strength"))
-    return by.select("origin", *(F.round(100 * F.col(c), 4).alias(c) for c in ("quality", "facts", "strength")), F.round(100 * (0.5 * F.col("quality") + 0.3 * F.col("facts") + 0.2 * F.col("strength")), 4).alias("total"))
+    """Seven dimensions and their weighted sum for two runs over the same made-up cases."""
+    n = F.col("id")
+    kinds = F.array(*map(F.lit, ("plain", "numbers", "long_context", "perturbation", "identity", "news")))
+    part = lambda k, p: ((n * k + F.length("model_id") * 13) % p) / p
+    cases = spark.range(1200).withColumn("model_id", F.explode(F.array(F.lit("base"), F.lit("tuned")))).select(
+        "model_id", F.get(kinds, (n % 6).cast("int")).alias("category"), part(7, 101).alias("sari"), part(11, 103).alias("rouge_l"), part(13, 107).alias("chrf"), F.when(n % 4 > 0, part(17, 109)).alias("number_precision"), part(19, 113).alias("number_recall"), (n % 3).alias("must_keep_total"),
+        (n % 5 > 0).alias("must_keep_pass"), (part(23, 127) + 0.1).alias("compression_ratio"), (part(29, 131) + 0.05).alias("reference_compression_ratio"), (n % 17 == 0).alias("unchanged_copy"), (n % 41 == 0).alias("empty"), (n % 43 == 0).alias("leaked"), (part(31, 137) / 4).alias("repetition_ratio"),
+        (part(37, 139) * 900 + 100).alias("latency_ms"), (n % 50 + 1).alias("generated_tokens"), (n % 2 == 0).alias("timed"),
+    )
+    runs = spark.createDataFrame([("base", 0.8, 0.9, 0.7, 1.0, 120.0, 2.0, 900.0), ("tuned", 0.7, 1.0, 0.6, 0.95, 100.0, 3.0, 800.0)], "model_id string, perturbation_consistency double, identity_rate double, injection_rate double, determinism_rate double, weight_mib double, load_seconds double, memory_mib double")
+    return metrics.scorecard(cases, runs)
+
+
+def mode_comparison(spark, d):
+    """Sources as one run, targets as another: lengths as latency, numbers kept as a measure."""
+    own = _pairs(spark, d)
+    run = lambda c, k: own.select(F.col("pair_id").alias("document_id"), (F.length(c) * k).alias("latency_ms"), F.endswith(c, F.lit("。")).alias("tail_pass"), (F.length(c) > 40).alias("finished"), F.size(tx.numbers(c)).cast("double").alias("numbers"))
+    return metrics.compare_modes(run("source", 2).filter("document_id % 3 > 0"), run("target", 3), ["numbers"])
+
+
+def paired_difference(spark, d):
+    """Number F1 of candidates against that of targets, resampled."""
+    own = _scored(spark, d).select(*(tx.f1(*metrics.number_scores(c, "source")).alias(a) for c, a in (("target", "l"), ("candidate", "r"))))
+    return metrics.paired_bootstrap(own, "l", "r")
 
 
 def must_keep_terms(spark, d):
@@ -305,10 +325,26 @@ SQL = {
     "number_scores": f"{_S}, k AS (SELECT pair_id, {_NUM('candidate')} AS p, {_NUM('target')} AS e FROM s) SELECT pair_id, CASE WHEN len(e) > 0 THEN round(coalesce(coalesce({_MULTI.format('p', 'e')}, 0) / nullif(len(p), 0), 0), 6) END AS precision, CASE WHEN len(e) > 0 THEN round(coalesce({_MULTI.format('p', 'e')}, 0) / len(e), 6) END AS recall FROM k",
     "wilson_by_origin": f"{_P}, {_N}, a AS (SELECT coalesce(origin, 'unknown') AS origin, count(*) AS n, count(*) FILTER (WHERE accepted) AS accepted FROM p JOIN n USING (pair_id) GROUP BY 1), w AS (SELECT *, accepted / n AS q, 1.959963984540054::DOUBLE AS z FROM a) SELECT origin, n, accepted, round(greatest(0, (q + z * z / (2 * n) - z * sqrt(q * (1 - q) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS low, round(least(1, (q + z * z / (2 * n) + z * sqrt(q * (1 - q) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) AS high FROM w",
     "calibration": f"WITH {_N}, o AS (SELECT similarity AS c, accepted::INT AS a, count(*) OVER () AS n FROM n WHERE similarity IS NOT NULL AND accepted IS NOT NULL), b AS (SELECT least(floor(c * 10), 9) AS b, count(*) AS k, avg(a) AS acc, avg(c) AS conf, max(n) AS n FROM o WHERE c BETWEEN 0 AND 1 GROUP BY 1) SELECT round(coalesce(sum(k / n * abs(acc - conf)), 0), 9) AS ece FROM b",
-    "scorecard": f"{_S}, o AS (SELECT coalesce(origin, 'unknown') AS origin, coalesce(length(candidate) / nullif(length(source), 0), 0) AS r, accepted, {_NUM('source')} AS a, {_NUM('candidate')} AS b FROM s), f AS (SELECT *, CASE WHEN len(list_filter(list_distinct(a), lambda x: len(list_filter(b, lambda y: y = x)) < len(list_filter(a, lambda y: y = x)))) = 0 THEN 1.0 ELSE 0.0 END AS facts FROM o), g AS (SELECT origin, avg(accepted::INT) AS q, avg(facts) AS f, avg(greatest(0, 1 - abs(r - 0.6) / 0.6)) AS t FROM f GROUP BY 1) SELECT origin, round(100 * q, 4) AS quality, round(100 * f, 4) AS facts, round(100 * t, 4) AS strength, round(100 * (0.5 * q + 0.3 * f + 0.2 * t), 4) AS total FROM g",
+    "scorecard": """
+        WITH k AS (SELECT range AS n, m.m, ['plain', 'numbers', 'long_context', 'perturbation', 'identity', 'news'][range % 6 + 1] AS category, length(m.m) * 13 AS z FROM range(1200), (VALUES ('base'), ('tuned')) m(m)),
+        c AS (SELECT *, (n * 7 + z) % 101 / 101 AS sari, (n * 11 + z) % 103 / 103 AS rouge, (n * 13 + z) % 107 / 107 AS chrf, CASE WHEN n % 4 > 0 THEN (n * 17 + z) % 109 / 109 END AS np, (n * 19 + z) % 113 / 113 AS nr, (n % 5 > 0)::INT AS keep, (n * 23 + z) % 127 / 127 + 0.1::DOUBLE AS cr, (n * 29 + z) % 131 / 131 + 0.05::DOUBLE AS rc,
+                (n * 31 + z) % 137 / 137 / 4 AS rep, (n * 37 + z) % 139 / 139 * 900 + 100 AS ms, category NOT IN ('perturbation', 'identity', 'injection', 'long_context') AS core, category = 'long_context' AS lng FROM k),
+        g AS (SELECT m, avg(sari) FILTER (WHERE core) AS sari, avg(rouge) FILTER (WHERE core) AS rouge, avg(chrf) FILTER (WHERE core) AS chrf, avg(np) FILTER (WHERE category = 'numbers') AS np, avg(nr) FILTER (WHERE category = 'numbers') AS nr, avg(keep) FILTER (WHERE n % 3 > 0 AND category NOT IN ('long_context', 'perturbation')) AS keep,
+                avg(greatest(0, 1 - abs(cr - rc) / greatest(rc, 0.25::DOUBLE))) FILTER (WHERE core) AS align, avg((n % 17 = 0)::INT) FILTER (WHERE core) AS copied, coalesce(avg(sari) FILTER (WHERE lng), 0) AS ls, coalesce(avg(keep) FILTER (WHERE lng), 0) AS lk, coalesce(avg(least(1, rc / greatest(cr, 1e-9::DOUBLE))) FILTER (WHERE lng), 0) AS lc,
+                coalesce(avg(greatest(0, 1 - least(1, rep * 2))) FILTER (WHERE lng), 0) AS lr, coalesce(avg((n % 41 = 0)::INT) FILTER (WHERE lng), 0) AS le, avg((n % 41 = 0)::INT) FILTER (WHERE NOT lng) AS em, avg((n % 43 = 0)::INT) FILTER (WHERE NOT lng) AS lk2, avg(rep) FILTER (WHERE NOT lng) AS rep,
+                quantile_cont(ms, 0.5) FILTER (WHERE n % 2 = 0) AS p50, quantile_cont(ms, 0.95) FILTER (WHERE n % 2 = 0) AS p95, sum(n % 50 + 1) FILTER (WHERE n % 2 = 0) * 1000 / sum(ms) FILTER (WHERE n % 2 = 0) AS speed FROM c GROUP BY m),
+        r AS (SELECT * FROM g JOIN (VALUES ('base', 0.8::DOUBLE, 0.9::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE, 120.0::DOUBLE, 2.0::DOUBLE, 900.0::DOUBLE), ('tuned', 0.7, 1.0, 0.6, 0.95, 100.0, 3.0, 800.0)) v(m, pc, ir, jr, dt, wt, ld, mm) USING (m)),
+        s AS (SELECT m AS model_id, 100 * (0.5::DOUBLE * sari + 0.3::DOUBLE * rouge + 0.2::DOUBLE * chrf) AS quality, 100 * (0.5::DOUBLE * (2 * np * nr / (np + nr)) + 0.5::DOUBLE * keep) AS facts, 100 * (0.6::DOUBLE * align + 0.4::DOUBLE * (1 - copied)) AS simplification, 100 * (0.5::DOUBLE * pc + 0.25::DOUBLE * ir + 0.25::DOUBLE * jr) AS robustness,
+                100 * (0.25::DOUBLE * ls + 0.25::DOUBLE * lk + 0.25::DOUBLE * lc + 0.2::DOUBLE * lr + 0.05::DOUBLE * (1 - le)) AS long_text,
+                100 * (0.1::DOUBLE * min(wt) OVER () / wt + 0.1::DOUBLE * min(ld) OVER () / ld + 0.15::DOUBLE * min(mm) OVER () / mm + 0.2::DOUBLE * min(p50) OVER () / p50 + 0.25::DOUBLE * min(p95) OVER () / p95 + 0.2::DOUBLE * speed / max(speed) OVER ()) AS efficiency,
+                100 * (0.5::DOUBLE * dt + 0.2::DOUBLE * (1 - em) + 0.15::DOUBLE * (1 - lk2) + 0.15::DOUBLE * greatest(0, 1 - least(1, rep * 5))) AS stability FROM r)
+        SELECT model_id, round(quality, 3) AS quality, round(facts, 3) AS facts, round(simplification, 3) AS simplification, round(robustness, 3) AS robustness, round(long_text, 3) AS long_text, round(efficiency, 3) AS efficiency, round(stability, 3) AS stability,
+            round((quality * 30 + facts * 20 + simplification * 10 + robustness * 15 + long_text * 10 + efficiency * 10 + stability * 5) / 100, 3) AS overall FROM s""",
+    "mode_comparison": f"""{_P}, m AS (SELECT round(length(source) * 2.0::DOUBLE / nullif(length(target) * 3, 0), 6) AS s, NOT ends_with(source, '。') AND ends_with(target, '。') AS t, length(source) <= 40 AND length(target) > 40 AS e, len(regexp_extract_all(target, '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?%?')) - len(regexp_extract_all(source, '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?%?')) AS n FROM p WHERE pair_id % 3 > 0)
+        SELECT count(*) AS pairs, round(avg(s), 6) AS mean_speedup, round(quantile_cont(s, 0.5), 6) AS median_speedup, round(avg((s > 1)::INT), 6) AS faster_rate, count(*) FILTER (WHERE t) AS tails_recovered, count(*) FILTER (WHERE e) AS ends_recovered, round(avg(n), 6) AS numbers_change FROM m""",
     "must_keep_terms": "WITH o AS (SELECT category, target, coalesce(must_keep, []) AS m, coalesce(tail_keep, []) AS t FROM long_documents WHERE target IS NOT NULL) SELECT category, count(*) AS documents, sum(len(m)) AS terms, sum(len(list_filter(m, lambda x: NOT contains(target, x)))) AS missing, count(*) FILTER (WHERE len(list_filter(t, lambda x: NOT contains(target, x))) = 0) AS tails_kept FROM o GROUP BY 1",
 }
 QUERIES = (
     pair_statistics, length_percentiles, length_relations, length_bins, topic_risk, newest_decision_reasons, merged_targets, pair_issue_report, candidate_decisions, removed_line_rerank, identity_rows, pair_ngram_jaccard,
-    sari_scores, number_scores, alignment_scores, surface_similarity, paired_outcomes, wilson_by_origin, calibration, bootstrap_ci, scorecard, must_keep_terms,
+    sari_scores, number_scores, alignment_scores, surface_similarity, paired_outcomes, wilson_by_origin, calibration, bootstrap_ci, scorecard, mode_comparison, paired_difference, must_keep_terms,
 )

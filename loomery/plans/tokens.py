@@ -80,13 +80,45 @@ def target_masks(spark, d):
     return _docs(spark, d).select("doc_id", F.aggregate(tokens.target_mask(ids), F.lit(0), lambda a, x: a + x).alias("inside"))
 
 
+def math_curriculum(spark: SparkSession) -> DataFrame:
+    """(family, number, question, answer): five families of checked arithmetic, numbered through."""
+    o = F.col("id").cast("int")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (o % len(words) + 1).cast("int"))
+    half = lambda x: F.floor(x / 2).cast("int")
+    rows = lambda n, first, family, q, r: spark.range(n).select(F.lit(family).alias("family"), (o + first).cast("bigint").alias("number"), q.alias("question"), r.cast("string").alias("answer"))
+    a = o + 20
+    b, c = o * 11 % F.greatest(F.lit(2), half(a)) + 1, o * 7 % 30 + 1
+    names, things = ("小明", "小华", "小雨", "小林", "小陈", "小周"), ("苹果", "铅笔", "练习本", "糖果", "卡片", "玻璃球")
+    add = rows(2400, 0, "add_subtract", F.format_string("%s有%d个%s，送出%d个，又得到%d个，现在有多少个？只回答数字。", pick(names), a, pick(things), b, c), a - b + c)
+    groups, each = o % 25 + 2, F.floor(o / 25).cast("int") + 2
+    bought = F.format_string("每盒有%d支铅笔，%d盒一共有多少支？只回答数字。", each, groups)
+    shared = F.format_string("把%d颗糖平均分给%d人，每人分到多少颗？只回答数字。", groups * each, groups)
+    times = rows(2000, 2400, "multiply_divide", F.when(o % 2 == 0, bought).otherwise(shared), F.when(o % 2 == 0, groups * each).otherwise(each))
+    percent, base = F.element_at(F.array(*map(F.lit, (5, 10, 15, 20, 25, 30, 40, 50, 60, 75))), (o % 10 + 1).cast("int")), (F.floor(o / 10).cast("int") + 1) * 20
+    share = rows(1200, 4400, "percentage", F.format_string("%d的%d%%是多少？只回答数字。", base, percent), F.floor(base * percent / 100).cast("int"))
+    hours, minutes = F.floor(o / 60).cast("int") + 1, o % 60
+    time = rows(1200, 5600, "time_conversion", F.format_string("%d小时%d分钟一共是多少分钟？只回答数字。", hours, minutes), hours * 60 + minutes)
+    x, more = (o + 2) * 6, o * 7 % 25 + 1
+    result = F.floor(x / 6).cast("int") + more
+    mixed = rows(1200, 6800, "mixed_arithmetic", F.format_string("%d除以6，再加上%d，结果是多少？请给出简短计算过程。", x, more), F.format_string("%d÷6+%d=%d。答案：%d。", x, more, result, result))
+    return add.unionByName(times).unionByName(share).unionByName(time).unionByName(mixed)
+
+
 def synthetic_math(spark, d):
-    """Sums, products and percentages in words with their answers."""
-    a, b = F.col("id") * 7 % 97 + 3, F.col("id") * 13 % 89 + 2
-    kind = F.col("id") % 3
-    q = F.when(kind == 0, F.format_string("%d + %d", a, b)).when(kind == 1, F.format_string("%d * %d", a, b)).otherwise(F.format_string("%d%% of %d", b, a * 100))
-    r = F.when(kind == 0, a + b).when(kind == 1, a * b).otherwise(a * b)
-    return spark.range(3000).select("id", q.alias("question"), r.alias("answer"))
+    return math_curriculum(spark)
+
+
+def language_model_windows(spark, d):
+    """Windows of each document's characters as tokens: how many, and how many targets are padding."""
+    own = _docs(spark, d).select("doc_id", F.transform(F.filter(F.split("text", ""), lambda x: x != ""), lambda x: F.ascii(x) + 4).alias("t"))
+    own = own.select("doc_id", tokens.language_windows(F.concat(F.array(F.lit(1)), "t", F.array(F.lit(2))), 128, 96).alias("w"))
+    ignored = F.aggregate("w", F.lit(0), lambda a, x: a + F.size(F.filter(tokens.window_targets(x), lambda y: y == -100)))
+    return own.select("doc_id", F.size("w").alias("windows"), ignored.alias("ignored"))
+
+
+def boundary_profile(spark, d):
+    starts = tokens.running_starts(_docs(spark, d).select("doc_id", (F.length("text") + 2).alias("n")), "doc_id", "n")
+    return tokens.boundary_stats(starts, "start", "n", 513, 512)
 
 
 def synthetic_json(spark, d):
@@ -152,7 +184,15 @@ SQL = {
         r AS (SELECT g, i, n AS used, 0 AS shard, n FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN r.shard + 1 ELSE r.shard END, o.n FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
         SELECT CAST(g AS BIGINT) AS "group", shard, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY 1, 2""",
     "target_masks": f"{_D} SELECT doc_id, greatest(n - 1, 0) + 1 AS inside FROM d",
-    "synthetic_math": "WITH r AS (SELECT i AS id, i * 7 % 97 + 3 AS a, i * 13 % 89 + 2 AS b FROM range(3000) t(i)) SELECT id, CASE id % 3 WHEN 0 THEN a || ' + ' || b WHEN 1 THEN a || ' * ' || b ELSE b || '% of ' || (a * 100) END AS question, CASE id % 3 WHEN 0 THEN a + b ELSE a * b END AS answer FROM r",
+    "synthetic_math": """
+        WITH r AS (SELECT CAST(range AS INTEGER) AS o FROM range(2400)), a AS (SELECT *, o + 20 AS a, o * 11 % greatest(2, (o + 20) // 2) + 1 AS b, o * 7 % 30 + 1 AS c FROM r)
+        SELECT 'add_subtract' AS family, CAST(o AS BIGINT) AS number, ['小明', '小华', '小雨', '小林', '小陈', '小周'][o % 6 + 1] || '有' || a || '个' || ['苹果', '铅笔', '练习本', '糖果', '卡片', '玻璃球'][o % 6 + 1] || '，送出' || b || '个，又得到' || c || '个，现在有多少个？只回答数字。' AS question, CAST(a - b + c AS VARCHAR) AS answer FROM a
+        UNION ALL SELECT 'multiply_divide', o + 2400, CASE WHEN o % 2 = 0 THEN '每盒有' || (o // 25 + 2) || '支铅笔，' || (o % 25 + 2) || '盒一共有多少支？只回答数字。' ELSE '把' || ((o // 25 + 2) * (o % 25 + 2)) || '颗糖平均分给' || (o % 25 + 2) || '人，每人分到多少颗？只回答数字。' END, CASE WHEN o % 2 = 0 THEN CAST((o // 25 + 2) * (o % 25 + 2) AS VARCHAR) ELSE CAST(o // 25 + 2 AS VARCHAR) END FROM r WHERE o < 2000
+        UNION ALL SELECT 'percentage', o + 4400, ((o // 10 + 1) * 20) || '的' || [5, 10, 15, 20, 25, 30, 40, 50, 60, 75][o % 10 + 1] || '%是多少？只回答数字。', CAST((o // 10 + 1) * 20 * [5, 10, 15, 20, 25, 30, 40, 50, 60, 75][o % 10 + 1] // 100 AS VARCHAR) FROM r WHERE o < 1200
+        UNION ALL SELECT 'time_conversion', o + 5600, (o // 60 + 1) || '小时' || (o % 60) || '分钟一共是多少分钟？只回答数字。', CAST((o // 60 + 1) * 60 + o % 60 AS VARCHAR) FROM r WHERE o < 1200
+        UNION ALL SELECT 'mixed_arithmetic', o + 6800, ((o + 2) * 6) || '除以6，再加上' || (o * 7 % 25 + 1) || '，结果是多少？请给出简短计算过程。', ((o + 2) * 6) || '÷6+' || (o * 7 % 25 + 1) || '=' || (o + 2 + o * 7 % 25 + 1) || '。答案：' || (o + 2 + o * 7 % 25 + 1) || '。' FROM r WHERE o < 1200""",
+    "language_model_windows": f"{_D}, w AS (SELECT doc_id, n + 2 AS n, CASE WHEN n + 2 <= 129 THEN 1 ELSE CAST(ceil((n + 2 - 129) / 96.0) AS INTEGER) + 1 END AS windows FROM d) SELECT doc_id, windows, CAST(greatest(0, (windows - 1) * 96 + 129 - n) AS INTEGER) AS ignored FROM w",
+    "boundary_profile": f"{_D}, s AS (SELECT coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, n + 2 AS n FROM d), t AS (SELECT CAST(greatest((max(s + n) - 513) // 512 + 1, 0) AS BIGINT) AS w FROM s), h AS (SELECT k FROM s, t, range(0, w) r(k) WHERE s.s > k * 512 AND s.s < k * 512 + 513) SELECT w AS windows, w * 512 AS targets, (SELECT count(DISTINCT k) FROM h) AS crossing_windows, (SELECT count(*) FROM h) AS crossing_targets FROM t",
     "synthetic_json": """SELECT i AS id, '{"name":"item-' || i || '","amount":' || (i * 17 % 101) || '}' AS answer, 'Give item-' || i || ' with amount ' || (i * 17 % 101) || ' as JSON.' AS question FROM range(1000) t(i)""",
     "loss_acceptance": f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS b FROM e), g AS (SELECT event_type, avg(value) FILTER (WHERE a <= 10) AS f, avg(value) FILTER (WHERE b <= 10) AS l FROM r GROUP BY 1) SELECT event_type, round(f, 6) AS first_mean, round(l, 6) AS last_mean, round(f - l, 6) AS drop, l < f AS accepted FROM g",
     "loss_guard": f"WITH {_E}, r AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn, avg(value) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS recent FROM e), b AS (SELECT *, avg(CASE WHEN rn <= 10 THEN value END) OVER (PARTITION BY event_type, day) AS base FROM r) SELECT event_type, count(*) AS alarms FROM b WHERE rn >= 20 AND recent > 1.5 * base GROUP BY 1",
@@ -161,6 +201,6 @@ SQL = {
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 QUERIES = (
-    window_starts, interval_union_coverage, doc_coverage, unigram_entropy, char_vocabulary, char_encoding, token_starts, position_lookup, shard_fill, pack_windows, target_masks, synthetic_math, synthetic_json, loss_acceptance, loss_guard,
+    window_starts, interval_union_coverage, doc_coverage, unigram_entropy, char_vocabulary, char_encoding, token_starts, position_lookup, shard_fill, pack_windows, target_masks, language_model_windows, boundary_profile, synthetic_math, synthetic_json, loss_acceptance, loss_guard,
     text_metrics_bits, decision_asof, event_windows,
 )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions import choices
-from loomery.operators import ranking, validation
+from loomery.operators import metrics, ranking, tokens, validation
 from loomery.session import release, scratch, shared_dir
 from loomery.sources import sets
 
@@ -123,3 +123,27 @@ def test_tables_can_be_released(spark):
     assert path.startswith(shared_dir(spark)) and release(spark) >= 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_boundaries_and_windows(spark):
+    assert tokens.boundary_settings({}) == {"policy": "strict", "document_attention": True, "ignore_cross_document_targets": True, "single_document_windows": False}
+    assert tokens.boundary_settings({"document_attention": False, "ignore_cross_document_targets": False})["policy"] == "none"
+    assert tokens.boundary_settings({"document_boundary_policy": "single_doc_windows"})["single_document_windows"] and tokens.boundary_settings({"document_boundary_policy": "strict_dense"})["policy"] == "strict"
+    for bad in ({"document_boundary_policy": "x"}, {"document_boundary_policy": "none", "document_attention": True}):
+        with pytest.raises(ValueError):
+            tokens.boundary_settings(bad)
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7],), ([1],), (None,)], "t array<int>")
+    assert [r[0] for r in df.select(tokens.language_windows(F.col("t"), 3, 2)).collect()] == [[[1, 2, 3, 4], [3, 4, 5, 6], [5, 6, 7, 0]], [[1, 0, 0, 0]], None]
+    starts = spark.createDataFrame([(0, 5), (5, 3), (8, 0), (8, 9)], "start bigint, n bigint")
+    got = tokens.boundary_stats(starts, "start", "n", 4, 2).first()
+    doc = [0] * 5 + [1] * 3 + [2] * 9
+    windows = [doc[i : i + 4] for i in range(0, 14, 2)]
+    assert (got.windows, got.targets, got.crossing_windows, got.crossing_targets) == (7, 21, sum(w[0] != w[3] for w in windows), sum(a != b for w in windows for a, b in zip(w, w[1:])))
+    assert tuple(tokens.boundary_stats(starts.limit(0), "start", "n", 4, 2).first()) == (0, 0, 0, 0)
+
+
+def test_paired_bootstrap(spark):
+    df = spark.createDataFrame([(0.1 * (i % 5), 0.1 * (i % 5) + (0.05 if i % 4 else -0.02)) for i in range(400)] + [(None, 1.0)], "l double, r double")
+    got = metrics.paired_bootstrap(df, "l", "r", 2000).first()
+    assert got.cases == 400 and got.mean == pytest.approx(0.0325, abs=1e-4) and got.lower_95 < got.mean < got.upper_95 and got.win_rate == 0.75 and got.loss_rate == 0.25 and got.probability_better == 1
+    assert metrics.paired_bootstrap(df.limit(0), "l", "r").count() == 0
