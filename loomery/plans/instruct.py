@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import choices
 from ..functions import text as tx
-from ..operators import ranking, validation
+from ..operators import ranking, tokens, validation
 from ..session import scratch, table
-from ..sources import readers, sets, sinks
+from ..sources import cache, readers, sets, sinks
 from .pairs import newest_decisions
 
 
@@ -243,6 +243,26 @@ def written_shards(spark, d):
     return back.agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars")).withColumn("changed", F.lit(changed).cast("bigint"))
 
 
+def token_cache(spark, d):
+    """Documents' characters as ids, written in shards, read back and checked."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    ids = tokens.encode_chars(docs, tokens.char_vocabulary(docs, "text", None), "doc_id", "text")
+    path = scratch(spark, "cache")
+    cache.write_cache(ids, path, "doc_id", "tokens", 20_000, 200_000)
+    back = cache.read_cache(spark, path)
+    wrong = cache.cache_errors(back, 1_200_000, 20_000).count()
+    return back.groupBy("group", "shard").agg(F.count("*").alias("documents"), F.sum(F.size("tokens")).alias("tokens")).withColumn("errors", F.lit(wrong).cast("bigint"))
+
+
+def content_identity(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.coalesce("category", F.lit("")).alias("category"))
+    return cache.content_digest(own, ["doc_id"])
+
+
+def run_preflight(spark, d):
+    return cache.preflight(_pairs(spark, d))
+
+
 def _chat(c: str) -> str:
     """The SQL of tx.chat_text."""
     t = f"regexp_replace(replace(regexp_replace(coalesce({c}, ''), '\\r\\n?', chr(10), 'g'), chr(0), ''), '[ \\t]+', ' ', 'g')"
@@ -376,9 +396,20 @@ SQL = {
         WITH f AS (SELECT source_file AS f, bool_or(record_id % 2 = 0 AND source_row % 3 < 2) AS b, bool_or(record_id % 2 <> 0) AS e FROM text_records WHERE source_file IS NOT NULL GROUP BY 1)
         SELECT state, count(*) AS files FROM (SELECT CASE WHEN coalesce(b, false) AND coalesce(e, false) THEN 'in_both' WHEN NOT coalesce(b, false) AND NOT coalesce(e, false) THEN 'only_in_full' END AS state FROM f) WHERE state IS NOT NULL GROUP BY 1""",
     "resume_audit": "SELECT state, count(*) AS rows FROM (SELECT CASE WHEN pair_id % 70 = 0 THEN 'beyond_input' WHEN pair_id % 50 = 0 AND source IS NOT NULL THEN 'source_differs' WHEN coalesce(target, '') = '' THEN 'invalid_target' END AS state FROM pair_records) WHERE state IS NOT NULL GROUP BY 1",
+    "token_cache": """
+        WITH RECURSIVE d AS (SELECT doc_id, length(text) + 2 AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200000 AS g FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i FROM s),
+        r AS (SELECT g, i, n AS used, 0 AS shard, n FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN r.shard + 1 ELSE r.shard END, o.n FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
+        SELECT CAST(g AS BIGINT) AS "group", shard, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS errors FROM r GROUP BY 1, 2""",
+    "content_identity": """
+        WITH h AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, sha256('{"category":"' || coalesce(category, '') || '","doc_id":' || doc_id || '}') AS h FROM documents), b AS (SELECT i // 1000 AS b, CASE WHEN (SELECT count(*) FROM h) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM h GROUP BY 1)
+        SELECT (SELECT count(*) FROM documents) AS rows, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY b)) END AS digest FROM b""",
+    "run_preflight": f"""
+        WITH p AS (SELECT lower(trim(split)) AS split, source, target FROM pair_records), t AS (SELECT DISTINCT source FROM p WHERE split = 'train' AND source IS NOT NULL)
+        SELECT split, count(*) AS rows, count(*) FILTER (WHERE {_STRIP("coalesce(source, '')")} = '' OR {_STRIP("coalesce(target, '')")} = '') AS unusable, count(*) FILTER (WHERE regexp_matches(coalesce(source, '') || chr(10) || coalesce(target, ''), '<\\|[A-Za-z_]+\\|>')) AS labelled,
+            count(*) FILTER (WHERE split <> 'train' AND source IN (SELECT source FROM t)) AS also_in_train FROM p GROUP BY 1""",
     "written_shards": "SELECT count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS changed FROM documents",
 }
 QUERIES = (
     record_filter, target_issues, output_issue_report, surface_revert_report, review_report, reviewed_outputs, expected_answers, format_probes, stored_row_errors, bundle_check, banned_texts, curated_instructions, language_tags, ability_categories,
-    chat_normalised, question_answer_set, values_set, reading_set, conversation_set, rewarded_set, reply_paths, exam_questions, gap_questions, spread_blocks, rotating_pick, layouts, union_audit, resume_audit, written_shards,
+    chat_normalised, question_answer_set, values_set, reading_set, conversation_set, rewarded_set, reply_paths, exam_questions, gap_questions, spread_blocks, rotating_pick, layouts, union_audit, resume_audit, written_shards, token_cache, content_identity, run_preflight,
 )

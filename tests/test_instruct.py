@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomery.functions import choices
 from loomery.operators import metrics, ranking, tokens, validation
 from loomery.session import release, scratch, shared_dir
-from loomery.sources import sets
+from loomery.sources import cache, sets
 
 MS = "array<struct<role string, content string>>"
 
@@ -147,3 +147,28 @@ def test_paired_bootstrap(spark):
     got = metrics.paired_bootstrap(df, "l", "r", 2000).first()
     assert got.cases == 400 and got.mean == pytest.approx(0.0325, abs=1e-4) and got.lower_95 < got.mean < got.upper_95 and got.win_rate == 0.75 and got.loss_rate == 0.25 and got.probability_better == 1
     assert metrics.paired_bootstrap(df.limit(0), "l", "r").count() == 0
+
+
+def test_cache_and_stages(spark, tmp_path):
+    docs = spark.createDataFrame([(i, [1, *range(4, 4 + i), 2]) for i in range(12)], "doc_id bigint, t array<int>")
+    listed = cache.write_cache(docs, str(tmp_path / "c"), "doc_id", "t", 15, 60)
+    back = cache.read_cache(spark, str(tmp_path / "c"))
+    assert sorted((r.group, r.shard, r.documents, r.tokens) for r in listed.collect())[0] == (0, 0, 4, 14) and back.count() == 12
+    assert cache.cache_errors(back, 30, 15).count() == 0
+    assert {r.code for r in cache.cache_errors(back.withColumn("start", F.col("start") + 1), 10, 13).collect()} == {"id_out_of_range", "gap_or_overlap", "shard_too_large"}
+    assert cache.cache_errors(back.withColumn("tokens", F.slice("tokens", 2, 100)), 30, 15).filter("code = 'not_framed'").count() == 12
+    built = []
+    make = lambda: built.append(1) or spark.range(3)
+    runs = [cache.stage(spark, str(tmp_path), "s", k, make) for k in ({"a": 1, "b": 2}, {"b": 2, "a": 1}, {"a": 2, "b": 2})]
+    assert [r[1] for r in runs] == [False, True, False] and len(built) == 2 and runs[1][0].count() == 3
+    with pytest.raises(ValueError, match="b 2 and 3"):
+        cache.same_settings({"a": 1, "b": 2}, {"a": 1, "b": 3})
+
+
+def test_content_digest_and_masks(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else str(i)) for i in range(50)], "k int, v string")
+    one, two = (cache.content_digest(x, ["k"], 7).first() for x in (df, df.repartition(5).select("v", "k")))
+    assert one == two and one.rows == 50 and cache.content_digest(df.filter("k > 0"), ["k"], 7).first().digest != one.digest
+    assert tuple(cache.content_digest(df.limit(0), ["k"]).first()) == (0, None)
+    m = spark.createDataFrame([([0, 1, 1],), ([0, 0],), ([1],), ([],)], "m array<int>")
+    assert [[r[0] for r in m.select(cache.window_kept(F.col("m"), p)).collect()] for p in ("any", "all", "majority")] == [[True, False, True, False], [False, False, True, False], [True, False, True, False]]
