@@ -136,3 +136,17 @@ def obeys_value(prompt: str, answer: str) -> bool:
 
 
 obeys = _each(obeys_value, T.BooleanType())
+
+
+def generation_prompt(instruction: Column, extra: Column, template: str = "chatml", system: str = "You are a helpful assistant.") -> Column:
+    """What a model is asked with before it answers: chatml, alpaca, chinese_alpaca or legacy. Blanks around the texts go;
+    an empty ``extra`` leaves its part out."""
+    q, x = tx.strip(F.coalesce(instruction, F.lit(""))), tx.strip(F.coalesce(extra, F.lit("")))
+    if template == "chatml":
+        head = f"<|im_start|>system\n{system.strip()}<|im_end|>\n" if system.strip() else ""
+        return F.concat(F.lit(head + "<|im_start|>user\n"), F.when(x == "", q).otherwise(F.concat(q, F.lit("\n\n"), x)), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    labels = {"alpaca": ("### Instruction:\n", "\n\n### Input:\n", "\n\n### Response:\n"), "chinese_alpaca": ("### 指令：\n", "\n\n### 输入：\n", "\n\n### 回答：\n"), "legacy": ("用户：", "\n输入：", "\n助手：")}
+    if template not in labels:
+        raise ValueError("template is chatml, alpaca, chinese_alpaca or legacy")
+    a, b, c = map(F.lit, labels[template])
+    return F.concat(a, q, F.when(x == "", "").otherwise(F.concat(b, x)), c)

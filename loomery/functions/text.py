@@ -199,3 +199,23 @@ def hash_fraction(key: Column, seed: int | None = None) -> Column:
 def hash_mod(key: Column, m: int) -> Column:
     """The first 64 bits of the sha256 as an unsigned number, modulo m."""
     return (F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)") % m).cast("int")
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes in the largest unit up to TB in which it is at least 1; negative numbers count as 0."""
+    v = F.greatest(n.cast("bigint"), F.lit(0))
+    out = F.when(n.isNotNull(), F.format_string("%.2f TB", v / float(1 << 40)))
+    for k, unit in ((30, "GB"), (20, "MB"), (10, "KB")):
+        out = F.when(v < float(1 << (k + 10)), F.format_string(f"%.2f {unit}", v / float(1 << k))).otherwise(out)
+    return F.when(v < 1024, F.format_string("%d B", v)).otherwise(out)
+
+
+def duration_text(seconds: Column) -> Column:
+    """Whole seconds as hours, minutes and seconds; negative ones count as 0."""
+    s = F.greatest(seconds.cast("bigint"), F.lit(0))
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
+
+
+def softmax(scores: Column) -> Column:
+    """Of an array of scores the probabilities; empty for an empty one."""
+    return let(scores, lambda x: let(F.transform(x, lambda y: F.exp(y - F.array_max(x))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda y: y / total))))

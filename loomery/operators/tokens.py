@@ -53,6 +53,33 @@ def encode_chars(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col:
     return own.mapInArrow(run, f"`{id_col}` {own.schema[id_col].dataType.simpleString()}, tokens array<int>")
 
 
+def decode_chars(encoded: DataFrame, vocabulary: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """(id, text) of encoded characters: PAD, BOS and EOS are passed over, UNK and other ids without a character become the
+    replacement character. Null lists give an empty text."""
+    codes = vocabulary.select("char", "id").toArrow()  # Unicode bounds the rows
+    cp = np.frombuffer("".join(codes.column("char").to_pylist()).encode("utf-32-le"), np.uint32)
+    ids = codes.column("id").to_numpy().astype(np.int64)
+    char = np.full(int(ids.max()) + 1 if len(ids) else 4, 0xFFFD, np.uint32)
+    char[ids] = cp
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for t in b.column(1).to_pylist():
+                x = np.asarray(t or [], np.int64)
+                x = x[(x != PAD) & (x != BOS) & (x != EOS)]
+                texts.append(np.where((x >= 0) & (x < len(char)), char[np.clip(x, 0, len(char) - 1)], 0xFFFD).astype(np.uint32).tobytes().decode("utf-32-le"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return encoded.select(id_col, tokens_col).mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string")
+
+
+def fit_length(tokens: Column, most: int, fill: bool = False) -> Column:
+    """At most ``most`` ids, the last of a cut list EOS; ``fill`` makes shorter ones up with PAD."""
+    cut = F.when(F.size(tokens) > most, F.concat(F.slice(tokens, 1, most - 1), F.array(F.lit(EOS)))).otherwise(tokens)
+    return tx.let(cut, lambda t: F.concat(t, F.array_repeat(F.lit(PAD), F.greatest(F.lit(most) - F.size(t), F.lit(0))))) if fill else cut
+
+
 def running_starts(docs: DataFrame, order: str, size: str) -> DataFrame:
     """The rows with ``start``, the sum of sizes before them in the total order, without one task for all rows."""
     from ..session import materialize

@@ -207,6 +207,9 @@ SQL = {
     "seed_anti_dedup": f"{_T}, k AS (SELECT record_id, lower(trim(source)) AS s, {_FORM} AS f FROM c) SELECT record_id FROM k WHERE NOT coalesce(s, '') LIKE 'wiki%' AND f NOT IN (SELECT f FROM k WHERE s LIKE 'wiki%')",
     "dedup_bucket_skew": f"{_T}, k AS (SELECT sha256({_FORM}) AS h FROM c) SELECT CAST('0x' || substr(h, 1, 2) AS INTEGER) AS bucket, count(*) AS rows, count(DISTINCT h) AS digests FROM k GROUP BY 1",
     "duplicate_audit": f"{_T} SELECT count(*) - count(DISTINCT t) AS exact, count(*) - count(DISTINCT {_FORM}) AS normalized, count(*) - count(DISTINCT (source_file, source_row)) AS deliveries, count(*) - count(DISTINCT record_id) AS ids FROM c",
+    "normalizer_profile": f"""{_T}, v AS (SELECT t, regexp_replace(t, '[\\s\\p{{Z}}\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}]+', '', 'g') AS c FROM c),
+        f AS (SELECT unnest([{{'k': 'clean', 't': t}}, {{'k': 'dedupe', 't': {_FORM}}}, {{'k': 'compact', 't': c}}, {{'k': 'surface', 't': lower(regexp_replace(c, '[^\\p{{L}}\\p{{N}}_\\x{{3400}}-\\x{{9fff}}]+', '', 'g'))}}, {{'k': 'answer', 't': regexp_replace(c, '[。！？.!?]+$', '')}}]) AS x FROM v)
+        SELECT x.k AS form, count(DISTINCT x.t) AS distinct_texts, CAST(sum(length(x.t)) AS BIGINT) AS chars FROM f GROUP BY 1""",
     "anchor_jaccard_near_dup": r"""
         WITH f AS (SELECT pair_id, coalesce(lower(trim(split)) = 'train', false) AS train, lower(regexp_replace(source, '[^\p{L}\p{N}]+', '', 'g')) AS f FROM pair_records WHERE source IS NOT NULL),
         k AS (SELECT train, f, min(pair_id) AS id, list_distinct(CASE WHEN length(f) >= 4 THEN list_transform(range(1, length(f) - 2), lambda i: substr(f, i, 4)) ELSE [f] END) AS g FROM f WHERE f <> '' GROUP BY train, f),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import choices
+from ..functions import choices, forms
 from ..functions import text as tx
 from ..operators import ranking, tokens, validation
 from ..session import scratch, table
@@ -263,6 +263,19 @@ def run_preflight(spark, d):
     return cache.preflight(_pairs(spark, d))
 
 
+def generation_prompts(spark, d):
+    """Each pair's question in four templates."""
+    own = _pairs(spark, d)
+    return own.select("pair_id", *(F.md5(forms.generation_prompt(F.col("source"), F.col("origin"), t)).alias(t) for t in ("chatml", "alpaca", "chinese_alpaca", "legacy")))
+
+
+def formatted_numbers(spark, d):
+    """Orders' keys as bytes and as seconds, and the softmax of three measures of each."""
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    p = tx.softmax(F.array(*((F.col("k") % m).cast("double") / m for m in (3, 5, 7))))
+    return own.select("k", tx.bytes_text(F.col("k") * F.col("k") * 7919).alias("bytes"), tx.duration_text(F.col("k") - 100).alias("duration"), F.round(p[0], 9).alias("p0"), F.round(p[2], 9).alias("p2"))
+
+
 def _chat(c: str) -> str:
     """The SQL of tx.chat_text."""
     t = f"regexp_replace(replace(regexp_replace(coalesce({c}, ''), '\\r\\n?', chr(10), 'g'), chr(0), ''), '[ \\t]+', ' ', 'g')"
@@ -396,6 +409,16 @@ SQL = {
         WITH f AS (SELECT source_file AS f, bool_or(record_id % 2 = 0 AND source_row % 3 < 2) AS b, bool_or(record_id % 2 <> 0) AS e FROM text_records WHERE source_file IS NOT NULL GROUP BY 1)
         SELECT state, count(*) AS files FROM (SELECT CASE WHEN coalesce(b, false) AND coalesce(e, false) THEN 'in_both' WHEN NOT coalesce(b, false) AND NOT coalesce(e, false) THEN 'only_in_full' END AS state FROM f) WHERE state IS NOT NULL GROUP BY 1""",
     "resume_audit": "SELECT state, count(*) AS rows FROM (SELECT CASE WHEN pair_id % 70 = 0 THEN 'beyond_input' WHEN pair_id % 50 = 0 AND source IS NOT NULL THEN 'source_differs' WHEN coalesce(target, '') = '' THEN 'invalid_target' END AS state FROM pair_records) WHERE state IS NOT NULL GROUP BY 1",
+    "generation_prompts": f"""
+        WITH p AS (SELECT pair_id, {_STRIP("coalesce(source, '')")} AS q, {_STRIP("coalesce(origin, '')")} AS x FROM pair_records)
+        SELECT pair_id, md5('<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || q || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || x END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS chatml,
+            md5('### Instruction:' || chr(10) || q || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || '### Input:' || chr(10) || x END || chr(10) || chr(10) || '### Response:' || chr(10)) AS alpaca,
+            md5('### 指令：' || chr(10) || q || CASE WHEN x = '' THEN '' ELSE chr(10) || chr(10) || '### 输入：' || chr(10) || x END || chr(10) || chr(10) || '### 回答：' || chr(10)) AS chinese_alpaca,
+            md5('用户：' || q || CASE WHEN x = '' THEN '' ELSE chr(10) || '输入：' || x END || chr(10) || '助手：') AS legacy FROM p""",
+    "formatted_numbers": """
+        WITH k AS (SELECT o_orderkey AS k, o_orderkey::BIGINT * o_orderkey * 7919 AS v, greatest(o_orderkey - 100, 0) AS s, exp((o_orderkey % 3) / 3.0::DOUBLE) AS a, exp((o_orderkey % 5) / 5.0::DOUBLE) AS b, exp((o_orderkey % 7) / 7.0::DOUBLE) AS c FROM orders)
+        SELECT k, CASE WHEN v < 1024 THEN printf('%d B', v) WHEN v < 1048576 THEN printf('%.2f KB', v / 1024.0::DOUBLE) WHEN v < 1073741824 THEN printf('%.2f MB', v / 1048576.0::DOUBLE) WHEN v < 1099511627776 THEN printf('%.2f GB', v / 1073741824.0::DOUBLE) ELSE printf('%.2f TB', v / 1099511627776.0::DOUBLE) END AS bytes,
+            printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS duration, round(a / (a + b + c), 9) AS p0, round(c / (a + b + c), 9) AS p2 FROM k""",
     "token_cache": """
         WITH RECURSIVE d AS (SELECT doc_id, length(text) + 2 AS n FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200000 AS g FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i FROM s),
         r AS (SELECT g, i, n AS used, 0 AS shard, n FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END, CASE WHEN r.used > 0 AND r.used + o.n > 20000 THEN r.shard + 1 ELSE r.shard END, o.n FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
@@ -411,5 +434,5 @@ SQL = {
 }
 QUERIES = (
     record_filter, target_issues, output_issue_report, surface_revert_report, review_report, reviewed_outputs, expected_answers, format_probes, stored_row_errors, bundle_check, banned_texts, curated_instructions, language_tags, ability_categories,
-    chat_normalised, question_answer_set, values_set, reading_set, conversation_set, rewarded_set, reply_paths, exam_questions, gap_questions, spread_blocks, rotating_pick, layouts, union_audit, resume_audit, written_shards, token_cache, content_identity, run_preflight,
+    chat_normalised, question_answer_set, values_set, reading_set, conversation_set, rewarded_set, reply_paths, exam_questions, gap_questions, spread_blocks, rotating_pick, layouts, union_audit, resume_audit, written_shards, token_cache, content_identity, run_preflight, generation_prompts, formatted_numbers,
 )

@@ -200,7 +200,7 @@ def calibration(spark, d):
     return profiles.calibration_error(own, "similarity", "accepted")
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 500, seed: int = 17) -> DataFrame:
+def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 17) -> DataFrame:
     """(key, n, mean, low, high): percentile interval of the mean under resampling.
 
     Values are counted first; each round draws how often each value occurs (a Poisson count for its rows), so

@@ -49,6 +49,21 @@ def char_encoding(spark, d):
     return got.select("doc_id", F.size("tokens").alias("n"), F.size(F.filter("tokens", lambda x: x == tokens.UNK)).alias("unknown"), F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
+def char_round_trip(spark, d):
+    """Documents encoded by characters and decoded again."""
+    docs = _docs(spark, d)
+    vocabulary = tokens.char_vocabulary(docs, "text", None)
+    back = tokens.decode_chars(tokens.encode_chars(docs, vocabulary, "doc_id", "text"), vocabulary, "doc_id")
+    return back.select("doc_id", F.md5("text").alias("digest"))
+
+
+def fitted_ids(spark, d):
+    """Documents' ids cut and filled to 256: the sum of the last eight, and how many are padding."""
+    docs = _docs(spark, d)
+    own = tokens.encode_chars(docs, tokens.char_vocabulary(docs, "text", None), "doc_id", "text").select("doc_id", tokens.fit_length(F.col("tokens"), 256, True).alias("t"))
+    return own.select("doc_id", F.size("t").alias("n"), F.element_at("t", 256).alias("last"), F.size(F.filter("t", lambda x: x == tokens.PAD)).alias("padding"))
+
+
 def token_starts(spark, d):
     own = _docs(spark, d).select("doc_id", (F.length("text") + 2).alias("n"))
     return tokens.running_starts(own, "doc_id", "n")
@@ -178,6 +193,8 @@ SQL = {
     "doc_coverage": f"{_D} SELECT count(*) AS docs, sum(n) AS tokens, " + ", ".join(f"count(*) FILTER (WHERE n >= {w}) AS docs_{w}, coalesce(sum(n) FILTER (WHERE n >= {w}), 0) AS tokens_{w}" for w in (256, 512, 1024)) + " FROM d",
     "unigram_entropy": f"{_D}, {_CH}, k AS (SELECT c, count(*) AS k FROM c GROUP BY 1), p AS (SELECT k, k / sum(k) OVER () AS p FROM k), h AS (SELECT sum(k) AS tokens, count(*) AS vocabulary, -sum(p * ln(p)) AS h FROM p) SELECT tokens, vocabulary, round(h, 6) AS entropy, round(exp(h), 4) AS perplexity FROM h",
     "char_vocabulary": f"{_D}, {_CH}, {_V} SELECT char, id FROM v WHERE id <= 60003",
+    "char_round_trip": f"{_D} SELECT doc_id, md5(text) AS digest FROM d",
+    "fitted_ids": f"{_D} SELECT doc_id, CAST(256 AS INTEGER) AS n, CAST(CASE WHEN n + 2 >= 256 THEN 2 ELSE 0 END AS INTEGER) AS last, CAST(greatest(0, 256 - n - 2) AS INTEGER) AS padding FROM d",
     "token_starts": f"{_D} SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d",
     "position_lookup": f"{_D}, s AS (SELECT doc_id, n + 2 AS n, coalesce(sum(n + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d), p AS (SELECT unnest(generate_series(0, (SELECT max(start + n) - 1 FROM s)::BIGINT, 1000)) AS position) SELECT position, doc_id FROM p JOIN s ON position >= start AND position < start + n",
     "shard_fill": f"""{_D.replace("WITH", "WITH RECURSIVE")}, s AS (SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 200000 AS g FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i FROM s),
@@ -201,6 +218,6 @@ SQL = {
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
 QUERIES = (
-    window_starts, interval_union_coverage, doc_coverage, unigram_entropy, char_vocabulary, char_encoding, token_starts, position_lookup, shard_fill, pack_windows, target_masks, language_model_windows, boundary_profile, synthetic_math, synthetic_json, loss_acceptance, loss_guard,
+    window_starts, interval_union_coverage, doc_coverage, unigram_entropy, char_vocabulary, char_encoding, char_round_trip, fitted_ids, token_starts, position_lookup, shard_fill, pack_windows, target_masks, language_model_windows, boundary_profile, synthetic_math, synthetic_json, loss_acceptance, loss_guard,
     text_metrics_bits, decision_asof, event_windows,
 )

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomery.functions import choices
+from loomery.functions import choices, forms
+from loomery.functions import text as tx
 from loomery.operators import metrics, ranking, tokens, validation
 from loomery.session import release, scratch, shared_dir
 from loomery.sources import cache, sets
@@ -172,3 +173,24 @@ def test_content_digest_and_masks(spark):
     assert tuple(cache.content_digest(df.limit(0), ["k"]).first()) == (0, None)
     m = spark.createDataFrame([([0, 1, 1],), ([0, 0],), ([1],), ([],)], "m array<int>")
     assert [[r[0] for r in m.select(cache.window_kept(F.col("m"), p)).collect()] for p in ("any", "all", "majority")] == [[True, False, True, False], [False, False, True, False], [True, False, True, False]]
+
+
+def test_texts_of_numbers_and_prompts(spark):
+    df = spark.createDataFrame([(0, 0), (1023, -5), (1536, 59), (1 << 20, 3661), ((1 << 50) * 3, 360000), (-1, None), (None, 1)], "b bigint, s bigint")
+    assert [r[0] for r in df.select(tx.bytes_text(F.col("b"))).collect()] == ["0 B", "1023 B", "1.50 KB", "1.00 MB", "3072.00 TB", "0 B", None]
+    assert [r[0] for r in df.select(tx.duration_text(F.col("s"))).collect()] == ["00:00:00", "00:00:00", "00:00:59", "01:01:01", "100:00:00", None, "00:00:01"]
+    x = spark.createDataFrame([([0.0, 0.0],), ([1000.0, 0.0],), ([],), (None,)], "x array<double>")
+    assert [r[0] for r in x.select(tx.softmax(F.col("x"))).collect()] == [[0.5, 0.5], [1.0, 0.0], [], None]
+    q = spark.createDataFrame([(" 问 ", None)], "q string, x string")
+    assert q.select(forms.generation_prompt(F.col("q"), F.col("x"), "legacy")).first()[0] == "用户：问\n助手："
+    with pytest.raises(ValueError):
+        forms.generation_prompt(F.col("q"), F.col("x"), "other")
+
+
+def test_characters_decoded(spark):
+    docs = spark.createDataFrame([(1, "天a😀"), (2, ""), (3, None)], "id int, t string")
+    v = tokens.char_vocabulary(docs.filter("t is not null"), "t", 2)
+    got = {r.id: r.text for r in tokens.decode_chars(tokens.encode_chars(docs, v, "id", "t"), v, "id").collect()}
+    assert len(got[1]) == 3 and got[1].count("�") == 1 and got[2] == got[3] == ""
+    t = spark.createDataFrame([([1, 5, 6, 2],), ([1, 2],), (None,)], "t array<int>")
+    assert [r[0] for r in t.select(tokens.fit_length(F.col("t"), 3, True)).collect()] == [[1, 5, 2], [1, 2, 0], None]
