@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,20 +354,30 @@ def near_overlaps(pairs: DataFrame, id_col: str = "pair_id") -> tuple[DataFrame,
         parts = max(1, math.ceil(sum(train[c] for c in found) / TASK_SYMBOLS))
         work += [(k, sorted({c[0] for c in found}), p, parts) for p in range(parts) if found]
 
+    def matching(sh: Shard, folders: list[int], part: int, parts: int):
+        """The training classes of a part whose lengths can match, SEARCH_ROWS and more at a time, across files."""
+        keys, s, t = [], [], []
+        files = _dataset([f"{path}/classes/evaluation=false/sc={c}" for c in folders])
+        for row_no, batch in enumerate(x for f in files for x in f.to_batches(columns=["key", "s", "t"], batch_size=SEARCH_ROWS)):
+            if row_no % parts != part or not batch.num_rows:
+                continue
+            length = np.stack([pc.utf8_length(batch.column(k)).to_numpy() for k in (1, 2)], 1).astype(np.int64)
+            kept = batch.filter(pa.array(sh.may_match(length)))
+            for own, column in zip((keys, s, t), kept.columns):
+                own += column.to_pylist()
+            if len(keys) >= SEARCH_ROWS:
+                yield keys, s, t
+                keys, s, t = [], [], []
+        if keys:
+            yield keys, s, t
+
     def run(batches):
         for b in batches:
             for i in b.column(0).to_pylist():
                 k, folders, part, parts = work[i]
                 sh = load_shard(f"{path}/index", k)
-                if sh is None:
-                    continue
-                files = _dataset([f"{path}/classes/evaluation=false/sc={c}" for c in folders])
-                for row_no, batch in enumerate(x for f in files for x in f.to_batches(columns=["key", "s", "t"], batch_size=SEARCH_ROWS)):
-                    if row_no % parts != part or not batch.num_rows:
-                        continue
-                    keys, s, t = (c.to_pylist() for c in batch.columns)
-                    keep = np.flatnonzero(sh.may_match(np.array([[len(x), len(y)] for x, y in zip(s, t)], np.int64))).tolist()
-                    got = search_shard(sh, [keys[i] for i in keep], [s[i] for i in keep], [t[i] for i in keep]) if keep else []
+                for keys, s, t in matching(sh, folders, part, parts) if sh else ():
+                    got = search_shard(sh, keys, s, t)
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.binary(), pa.binary(), pa.int32(), pa.int32()))], names=["train_key", "eval_key", "spans", "covered"])
 
