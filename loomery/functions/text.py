@@ -204,10 +204,10 @@ def hash_mod(key: Column, m: int) -> Column:
 def bytes_text(n: Column) -> Column:
     """A number of bytes in the largest unit up to TB in which it is at least 1; negative numbers count as 0."""
     v = F.greatest(n.cast("bigint"), F.lit(0))
-    out = F.when(n.isNotNull(), F.format_string("%.2f TB", v / float(1 << 40)))
+    out = F.format_string("%.2f TB", v / float(1 << 40))
     for k, unit in ((30, "GB"), (20, "MB"), (10, "KB")):
         out = F.when(v < float(1 << (k + 10)), F.format_string(f"%.2f {unit}", v / float(1 << k))).otherwise(out)
-    return F.when(v < 1024, F.format_string("%d B", v)).otherwise(out)
+    return F.when(n.isNotNull(), F.when(v < 1024, F.format_string("%d B", v)).otherwise(out))
 
 
 def duration_text(seconds: Column) -> Column:
