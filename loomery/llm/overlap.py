@@ -18,7 +18,7 @@ from .bpe import codepoints
 from .common import plain_key
 from .fmindex import CLOSE, KINDS, Index, symbols
 
-#: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give each core a shard, down to LEAST.
+#: Symbols of one index shard: MOST fits a task's memory many times over; smaller inputs give two cores three shards, down to LEAST.
 MOST_SYMBOLS, LEAST_SYMBOLS = 8_000_000, 400_000
 #: Training symbols of one task.
 TASK_SYMBOLS = 20_000_000
@@ -118,14 +118,19 @@ class Shard:
         self.length = np.frombuffer(row["lengths"], np.int32).reshape(-1, 2).astype(np.int64)
         self.text = row["texts"].decode()
         self.at = np.concatenate([[0], np.cumsum(self.length.ravel())])
-        self.least, self.most = (self.length.min(0), self.length.max(0)) if len(self.length) else (np.zeros(2), np.zeros(2))
+        step = np.floor(np.log1p(self.length[:, 0]) * _SOURCE_STEPS)
+        #: For each stretch of source lengths the least and the greatest length of either field.
+        self.bounds = [(own.min(0), own.max(0)) for own in (self.length[step == x] for x in np.unique(step))]
 
     def field(self, i: int, f: int) -> str:
         return self.text[self.at[2 * i + f] : self.at[2 * i + f + 1]]
 
     def may_match(self, length: np.ndarray) -> np.ndarray:
         """Which texts have, in both fields, a length near one of the shard's."""
-        return ((length * ONE_IN >= self.least * (ONE_IN - 1)) & (length * (ONE_IN - 1) <= self.most * ONE_IN)).all(1)
+        ok = np.zeros(len(length), bool)
+        for least, most in self.bounds:
+            ok |= ((length * ONE_IN >= least * (ONE_IN - 1)) & (length * (ONE_IN - 1) <= most * ONE_IN)).all(1)
+        return ok
 
 
 def load_shard(path: str, shard: int) -> Shard | None:
@@ -330,11 +335,11 @@ def near_overlaps(pairs: DataFrame, id_col: str = "pair_id") -> tuple[DataFrame,
     ev, train = ({(r.sc, r.tc): r.n for r in cells if r.evaluation == e} for e in (True, False))
     if not ev or not train:
         return spark.createDataFrame([], _LINKS), members
-    most = max(LEAST_SYMBOLS, min(MOST_SYMBOLS, sum(ev.values()) // spark.sparkContext.defaultParallelism))
+    most = max(LEAST_SYMBOLS, min(MOST_SYMBOLS, sum(ev.values()) * 2 // (3 * spark.sparkContext.defaultParallelism)))
     plan: list[tuple[int, int, int, int]] = []  # source class, target class, first shard, shards
     shards, used = 0, 0
     for (sc, tc), n in ev.items():
-        if used and (used + n > most or sc != plan[-1][0]):
+        if used and used + n > most:
             shards, used = shards + 1, 0
         parts = max(1, math.ceil(n / most))
         plan.append((sc, tc, shards, parts))
